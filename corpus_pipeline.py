@@ -4,16 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docindex.llm import byte_bpe, exact_dedup, source_mix
+from docindex.llm import byte_bpe, exact_dedup, language_id, ngram_join, source_mix
 from docindex.llm.common import cut
 from docindex.llm.queries import vocabulary
 
 
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is rejected go."""
+    return language_id.identified(docs)
+
+
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays."""
     return exact_dedup.distinct_texts(docs)
 
 
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near duplicates stays."""
+    return ngram_join.representatives(docs)
+
+
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of the sources takes them."""
     return source_mix.mixed_documents(docs)
@@ -24,7 +34,7 @@ def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return byte_bpe.digests(docs, vocabulary("byte_bpe_50k.json"))
 
 
-STAGES = [("exact_dedup", dedup_stage), ("source_mix", mix_stage), ("byte_bpe", encode_stage)]
+STAGES = [("language_id", language_stage), ("exact_dedup", dedup_stage), ("ngram_join", near_stage), ("source_mix", mix_stage), ("byte_bpe", encode_stage)]
 #: The stages train a model, and encode and hash in Python: brute force stands in for SQL in the tests.
 ORACLE_SQL = None
 
