@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, language_id, ngram_join, source_mix, substring_dedup, token_files, url_filter
+from . import byte_bpe, curve_search, exact_dedup, language_id, ngram_join, source_mix, substring_dedup, token_files, url_filter
 from .common import table
 
 #: Where the public vocabularies are; a parameter, never copied.
@@ -20,6 +21,10 @@ def vocabulary(name: str) -> str:
         return f"{TOKENIZERS}/{name}"
 
 
+def op1_curve_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curve_search.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(table(spark, sf_dir, "documents"))[0]
 
@@ -59,7 +64,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_source_mix, op4_substring_dedup, op5_ngram_join, op6_url_filter, op7_byte_bpe, op8_exact_dedup, op9_language_id, op10_token_files)}
+    return {f.__name__: f for f in (op1_curve_search, op3_source_mix, op4_substring_dedup, op5_ngram_join, op6_url_filter, op7_byte_bpe, op8_exact_dedup, op9_language_id, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
