@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, curve_search, exact_dedup, language_id, ngram_join, source_mix, substring_dedup, token_files, url_filter
+from . import byte_bpe, chat_format, curve_search, exact_dedup, language_id, ngram_join, source_mix, substring_dedup, token_files, url_filter
 from .common import table
 
 #: Where the public vocabularies are; a parameter, never copied.
@@ -25,6 +25,15 @@ def op1_curve_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curve_search.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+#: Arguments of the tool in the conversations' calls.
+REPLY = {"reply": {"text": ("string", True), "turn": ("integer", True)}}
+
+
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messages = chat_format.as_tool_messages(table(spark, sf_dir, "conversations"))
+    return chat_format.linked(messages, REPLY).withColumn("errors", F.array_join("errors", "; "))
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(table(spark, sf_dir, "documents"))[0]
 
@@ -64,8 +73,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_curve_search, op3_source_mix, op4_substring_dedup, op5_ngram_join, op6_url_filter, op7_byte_bpe, op8_exact_dedup, op9_language_id, op10_token_files)}
+    return {f.__name__: f for f in (op1_curve_search, op2_chat_format, op3_source_mix, op4_substring_dedup, op5_ngram_join, op6_url_filter, op7_byte_bpe, op8_exact_dedup, op9_language_id, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import oracles
+
+    return oracles.SQL
