@@ -18,7 +18,7 @@ doc_ids stay, in the order of their texts' hashes; other columns are ignored; an
 
 from __future__ import annotations
 
-import json
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -35,6 +35,9 @@ from .common import cut, shared_dir
 
 #: Runs of at most RUN bytes that a worker remembers.
 RUNS_KEPT, RUN = 500_000, 48
+# A run with a tail of ASCII punctuation (no apostrophe) behind a letter or digit; a run of letters.
+TAIL = re.compile(rb"(.*[a-z0-9])([!-&(-/:-@\[-`{-~]+)", re.DOTALL)
+LETTERS = re.compile(rb"[a-z]+")
 #: Stands for a null doc_id in an index.
 NO_ID = -(2**63)
 
@@ -49,29 +52,48 @@ class RunEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        spec = json.loads(self.tokenizer.to_str())
-        self.specials = [t["content"].encode() for t in spec["added_tokens"]]
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.kept: dict[bytes, bytes] = {}
 
+    def piece(self, piece: bytes) -> bytes:
+        """Ids of one run of a-z, or of ASCII punctuation: the library's model alone, as its splitting would leave the run whole."""
+        ids = self.kept.get(piece)
+        if ids is None:
+            ids = self.kept[piece] = np.array([t.id for t in self.tokenizer.model.tokenize(piece.decode())], self.dtype).tobytes()
+        return ids
+
+    def fresh(self, runs: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of runs that aren't remembered. A tail of punctuation behind a letter or digit is a piece of its own."""
+        stems, out = {}, {}
+        for run in runs:
+            m = None if b"<|" in run else TAIL.fullmatch(run)
+            stems[run] = m.groups() if m else (run, b"")
+        whole = list({s for s, _ in stems.values() if not LETTERS.fullmatch(s) and s not in self.kept})
+        found = {}
+        for at in range(0, len(whole), 4096):
+            some = whole[at : at + 4096]
+            for s, e in zip(some, self.tokenizer.encode_batch_fast([s.decode() for s in some], add_special_tokens=False), strict=True):
+                found[s] = np.array(e.ids, self.dtype).tobytes()
+        for run, (stem, tail) in stems.items():
+            ids = found.get(stem)
+            if ids is None:
+                ids = self.kept[stem] if stem in self.kept else self.piece(stem)
+            out[run] = ids + self.piece(tail) if tail else ids
+        for known in (found, out):
+            self.kept.update((w, ids) for w, ids in known.items() if len(w) <= RUN)
+        return out
+
     def encode(self, texts: list[bytes | None], end: int) -> list[bytes]:
         kept, last = self.kept, np.array([end], self.dtype).tobytes()
         if len(kept) > RUNS_KEPT:
             for key in list(kept)[: len(kept) // 2]:
                 del kept[key]
-        out = []
         # the vocabulary is lower-case; special tokens are matched before lower-casing
-        split = [(t if any(s in t for s in self.specials) or b"<|" in t else t.lower()).split() if t else [] for t in texts]
-        new = list({w for words in split for w in words if w not in kept})
-        fresh = {}
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
-                fresh[w] = np.array(e.ids, self.dtype).tobytes()
-        kept.update((w, ids) for w, ids in fresh.items() if len(w) <= RUN)
-        for words in split:
-            out.append(b"".join([kept[w] if w in kept else fresh[w] for w in words]) + last)
-        return out
+        split = [(t if b"<|" in t else t.lower()).split() if t else [] for t in texts]
+        ids = [list(map(kept.get, words)) for words in split]
+        new = {w for words, own in zip(split, ids, strict=True) if None in own for w, x in zip(words, own, strict=True) if x is None}
+        fresh = self.fresh(new)
+        return [b"".join([fresh[w] if x is None else x for w, x in zip(words, own, strict=True)] if None in own else own) + last for words, own in zip(split, ids, strict=True)]
 
 
 _encoders: dict[str, RunEncoder] = {}
