@@ -62,7 +62,7 @@ class _Markdown(HTMLParser):
 
     def handle_data(self, data):
         if not self.skip:
-            self.out.append(" ".join(data.split()) + " " * (data[-1:].isspace()) if data.strip() else " ")
+            self.out.append(" " * data[:1].isspace() + " ".join(data.split()) + " " * data[-1:].isspace() if data.strip() else " ")
 
 
 def html_to_markdown(html: str) -> str:
@@ -71,7 +71,7 @@ def html_to_markdown(html: str) -> str:
     p = _Markdown()
     p.feed(html)
     p.close()
-    text = re.sub(r"[ \t]+\n|\n[ \t]+(?=\n)", "\n", "".join(p.out))
+    text = re.sub(r" *\n *", "\n", re.sub(r" {2,}", " ", "".join(p.out)))
     return re.sub(r"\n{3,}", "\n\n", text).strip()
 
 
