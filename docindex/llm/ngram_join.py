@@ -11,11 +11,12 @@ documents link when 9 * overlap >= 4 * (size + size), that is Jaccard >= 0.8.
    and, by the prefix argument, on one among the first (difference + 1) in any order that both share. That order puts group
    contents that many documents share last, so common passages don't gather unlike documents. (The contents counted as common
    are the HEAVY most frequent ones over all documents; any choice gives the same links.)
-3. Classes that agree on a group's content meet in the cell of the least of them. A cell is one R-tree, or several blocks
-   with every two of them compared if it has more than BLOCK_CLASSES classes or BLOCK_SHINGLES shingles.
-4. In a block, packed R-tree nodes and then points are dropped when the sum of coordinate minima stays under the overlap
-   needed; what survives is verified on whole sets, unless earlier links already connect it. Links that come out span
-   the components of all links.
+3. Classes that agree on a group's content meet in the cell of the least of them; of common contents the cell is known
+   beforehand, so that no task gathers what many documents share. A cell is one R-tree, or several blocks with every two of
+   them compared if it has more than BLOCK_CLASSES classes or BLOCK_SHINGLES shingles.
+4. Packed R-tree nodes and then points are dropped when the sum of coordinate minima stays under the overlap needed. Only count
+   vectors travel for that. Of the classes that have a near one left, texts are fetched and the surviving pairs verified on
+   whole sets, unless earlier links already connect them. Links that come out span the components of all links.
 
 For sizes of 64 and more, a class has too few groups for step 2 with a chance under 1e-9 (groups are at least 0.45 times the
 size); smaller sizes use single shingles, where it cannot happen. Shingles and classes are told apart by 64-bit hashes.
@@ -29,9 +30,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import WordHashes, cut, mixed, packed_text, rolling, unpacked
@@ -89,60 +90,84 @@ def levels(n: int) -> list[tuple[int, int]]:
     return [(own, most_different(n, 0) + 1)] + ([(below, most_different(n, 1) + 1)] if below != own else [])
 
 
+def counts_of(s: np.ndarray) -> np.ndarray:
+    return np.bincount((s & np.uint64(DIMENSIONS - 1)).astype(np.int64), minlength=DIMENSIONS)
+
+
+def packed_counts(s: np.ndarray) -> bytes:
+    """A count vector in bytes, one a dimension where that is enough, else four."""
+    c = counts_of(s)
+    return c.astype(np.uint8 if c.max() < 256 else "<u4").tobytes()
+
+
+def unpacked_counts(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint8 if len(data) == DIMENSIONS else "<u4").astype(np.int32)
+
+
 def sets_and_heavy(docs: DataFrame) -> DataFrame:
-    """kind 0: a = row key, b = class, n = size, id = doc_id; kind 1: a = group content, n = documents of a batch that share it."""
+    """kind 0: a = row key, b = class, n = size, id = doc_id, counts; kind 1: a = group content, b = least class that has it,
+    n = documents of a batch that share it."""
 
-    def heavy(pending: list[np.ndarray]) -> pa.RecordBatch:
-        keys, n = np.unique(np.concatenate(pending), return_counts=True)
-        keys, n = keys[n >= SHARED_BY], n[n >= SHARED_BY]
-        return rows(1, keys.view(np.int64), np.zeros(len(keys), np.int64), n, pa.nulls(len(keys), pa.int64()))
+    def heavy(pending: list[np.ndarray], classes: list[int]) -> pa.RecordBatch:
+        contents, owners = np.concatenate(pending), np.repeat(np.array(classes, np.int64), [len(p) for p in pending])
+        order = np.lexsort((owners, contents))
+        contents, owners = contents[order], owners[order]
+        at = np.flatnonzero(np.concatenate([[True], contents[1:] != contents[:-1]]))
+        n = np.diff(np.append(at, len(contents)))
+        at, n = at[n >= SHARED_BY], n[n >= SHARED_BY]
+        return rows(1, contents[at].view(np.int64), owners[at], n, pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.binary()))
 
-    def rows(kind: int, a, b, n, ids) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64()), ids], ["kind", "a", "b", "n", "id"])
+    def rows(kind: int, a, b, n, ids, counts) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64()), ids, counts], ["kind", "a", "b", "n", "id", "counts"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pending, words_in, met = [], 0, set()
+        pending, owners, words_in, met = [], [], 0, set()
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
-                classes, sizes = [], []
+                classes, sizes, counts = [], [], []
                 for text in part.column("text"):
                     s = shingles(text.as_py() or b"")
                     c = class_of(s)
                     classes.append(c)
                     sizes.append(len(s))
+                    counts.append(packed_counts(s) if len(s) > 3 else None)
                     words_in += len(s)
                     if c not in met:
                         met.add(c)
-                        pending += [group_contents(s, bits) for bits, _ in levels(len(s))]
-                yield rows(0, part.column("key"), np.array(classes, np.int64), np.array(sizes, np.int64), part.column("doc_id"))
+                        for bits, _ in levels(len(s)):
+                            pending.append(group_contents(s, bits))
+                            owners.append(c)
+                yield rows(0, part.column("key"), np.array(classes, np.int64), np.array(sizes, np.int64), part.column("doc_id"), pa.array(counts, pa.binary()))
                 if words_in >= BATCH_WORDS and pending:
-                    yield heavy(pending)
-                    pending, words_in, met = [], 0, set()
+                    yield heavy(pending, owners)
+                    pending, owners, words_in, met = [], [], 0, set()
         if pending:
-            yield heavy(pending)
+            yield heavy(pending, owners)
 
-    return docs.mapInArrow(work, "kind int, a long, b long, n long, id long")
+    return docs.mapInArrow(work, "kind int, a long, b long, n long, id long, counts binary")
 
 
 def signatures(docs: DataFrame, heavy: np.ndarray) -> DataFrame:
-    """sig, class: the group contents by which a class meets others, each once a batch."""
+    """key, class, cell: the group contents by which a class meets others, each once a batch. Of common contents the cell is
+    told, and the key is one of the row's own."""
     sent = docs.sparkSession.sparkContext.broadcast(heavy)
 
-    def chosen(s: np.ndarray, common: np.ndarray) -> Iterator[np.ndarray]:
+    def chosen(s: np.ndarray, c: int, common: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         for bits, n in levels(len(s)):
             g = group_contents(s, bits)
-            if n < len(g):
-                at = np.minimum(np.searchsorted(common["sig"], g), max(len(common) - 1, 0))
-                weight = np.where(common["sig"][at] == g, common["n"][at], 0) if len(common) else np.zeros(len(g), np.int64)
-                g = g[np.lexsort((g, weight))[:n]]
-            yield g
+            at = np.minimum(np.searchsorted(common["sig"], g), max(len(common) - 1, 0)) if len(common) else None
+            weight = np.where(common["sig"][at] == g, common["n"][at], 0) if len(common) else np.zeros(len(g), np.int64)
+            first = np.lexsort((g, weight))[:n]
+            g, known = g[first], weight[first] > 0
+            cell = common["cell"][at[first]] if len(common) else np.zeros(len(g), np.int64)
+            yield np.where(known, mixed(g + np.uint64(c & (1 << 64) - 1)), g), cell, known
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
         for b in batches:
             for at in range(0, b.num_rows, 256):
-                sigs, classes = [], []
+                found, classes = [], []
                 for text in b.column("text").slice(at, 256):
                     s = shingles(text.as_py() or b"")
                     if len(s) < 4 or (c := class_of(s)) in met:
@@ -150,13 +175,14 @@ def signatures(docs: DataFrame, heavy: np.ndarray) -> DataFrame:
                     met.add(c)
                     if len(met) > 1_000_000:
                         met.clear()
-                    for g in chosen(s, sent.value):
-                        sigs.append(g)
-                        classes.append(np.full(len(g), c, np.int64))
-                if sigs:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(classes))], ["sig", "class"])
+                    for part in chosen(s, c, sent.value):
+                        found.append(part)
+                        classes.append(np.full(len(part[0]), c, np.int64))
+                if found:
+                    key, cell, known = (np.concatenate(x) for x in zip(*found, strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.concatenate(classes)), pa.array(cell, pa.int64(), mask=~known)], ["key", "class", "cell"])
 
-    return docs.mapInArrow(work, "sig long, class long")
+    return docs.mapInArrow(work, "key long, class long, cell long")
 
 
 class RTree:
@@ -196,12 +222,21 @@ class RTree:
         return self.order[which]
 
 
+def pairs_near(tree: RTree, points: np.ndarray, sizes: np.ndarray, side: np.ndarray, two: bool, i: int) -> np.ndarray:
+    """Points before i that may link with it, those of the largest bound first."""
+    near = tree.within(points[i], int(sizes[i]))
+    near = near[(near < i) & (5 * sizes[near] >= 4 * sizes[i]) & (4 * sizes[near] <= 5 * sizes[i])]
+    if two:
+        near = near[side[near] != side[i]]
+    return near[np.lexsort((near, -np.minimum(points[near], points[i]).sum(axis=1)))] if len(near) > 1 else near
+
+
 def links(names: np.ndarray, sets: list[np.ndarray], side: np.ndarray) -> list[tuple[int, int]]:
     """Links that span the components of all links between the sets (of different sides, if there are two)."""
     sizes = np.array([len(s) for s in sets])
-    points = np.stack([np.bincount((s & np.uint64(DIMENSIONS - 1)).astype(np.int64), minlength=DIMENSIONS) for s in sets]).astype(np.int32)
+    points = np.stack([counts_of(s) for s in sets]).astype(np.int32)
     tree, two = RTree(points, sizes), len(np.unique(side)) > 1
-    parent = np.arange(len(sets))
+    parent = list(range(len(sets)))
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -211,11 +246,7 @@ def links(names: np.ndarray, sets: list[np.ndarray], side: np.ndarray) -> list[t
 
     found = []
     for i in range(len(sets)):
-        near = tree.within(points[i], int(sizes[i]))
-        near = near[(near < i) & (5 * sizes[near] >= 4 * sizes[i]) & (4 * sizes[near] <= 5 * sizes[i])]
-        if two:
-            near = near[side[near] != side[i]]
-        near = near[np.lexsort((near, -np.minimum(points[near], points[i]).sum(axis=1)))]
+        near = pairs_near(tree, points, sizes, side, two, i)
         while len(near):
             mine = root(i)
             near = near[[root(j) != mine for j in near.tolist()]]
@@ -233,12 +264,74 @@ def links(names: np.ndarray, sets: list[np.ndarray], side: np.ndarray) -> list[t
     return found
 
 
-def _block(pdf: pd.DataFrame) -> pd.DataFrame:
-    sets = [shingles(t) for t in unpacked(pa.array(pdf["packed"], pa.binary()))]
-    one = (pdf["i"] == pdf["j"]).iloc[0]
-    side = np.zeros(len(pdf), np.int64) if one else pdf["block"].to_numpy()
-    found = links(pdf["class"].to_numpy(), sets, side) if len(pdf) > 1 else []
-    return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of equal (cell, i, j) from batches that are sorted by it."""
+    rest: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys = np.stack([b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("cell", "i", "j")])
+        cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+        first = tuple(keys[:, 0])
+        if rest and tuple(rest[0].column(c)[0].as_py() for c in ("cell", "i", "j")) != first:
+            yield pa.Table.from_batches(rest)
+            rest = []
+        start = 0
+        for end in cuts.tolist():
+            yield pa.Table.from_batches([*rest, b.slice(start, end - start)])
+            rest, start = [], end
+        rest.append(b.slice(start))
+    if rest:
+        yield pa.Table.from_batches(rest)
+
+
+def by_block(rows: DataFrame) -> DataFrame:
+    return rows.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
+
+
+def sides(t: pa.Table) -> np.ndarray:
+    """All one where a block is compared with itself."""
+    return np.zeros(t.num_rows, np.int64) if t.column("i")[0] == t.column("j")[0] else t.column("block").to_numpy().astype(np.int64)
+
+
+def with_near(rows: DataFrame) -> DataFrame:
+    """rows (cell, class, block, i, j, n, counts) that have a near one in their block, by the bound alone."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in grouped(batches):
+            if t.num_rows < 2:
+                continue
+            points = np.stack([unpacked_counts(c.as_py()) for c in t.column("counts")])
+            sizes, side = t.column("n").to_numpy(), sides(t)
+            if t.num_rows == 2:
+                ok = 9 * int(np.minimum(points[0], points[1]).sum()) >= 4 * int(sizes.sum()) and 5 * sizes.min() >= 4 * sizes.max()
+                hit = np.full(2, ok and (side[0] != side[1] or t.column("i")[0] == t.column("j")[0]))
+            else:
+                tree, two, hit = RTree(points, sizes), len(np.unique(side)) > 1, np.zeros(t.num_rows, bool)
+                if two or t.column("i")[0] == t.column("j")[0]:
+                    for i in range(t.num_rows):
+                        near = pairs_near(tree, points, sizes, side, two, i)
+                        hit[near] = True
+                        hit[i] |= len(near) > 0
+            if hit.any():
+                yield from t.select(["cell", "class", "block", "i", "j"]).filter(pa.array(hit)).to_batches()
+
+    return by_block(rows).mapInArrow(work, "cell long, class long, block int, i int, j int")
+
+
+def verified(rows: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes of each block; rows: cell, class, block, i, j, packed text."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in grouped(batches):
+            if t.num_rows < 2:
+                continue
+            found = links(t.column("class").to_numpy(), [shingles(x) for x in unpacked(t.column("packed"))], sides(t))
+            if found:
+                a, b = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return by_block(rows).mapInArrow(work, "a long, b long")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -251,25 +344,27 @@ def linked(docs: DataFrame) -> DataFrame:
     rows = keyed(docs)
     first = cut(sets_and_heavy(rows))
     sets = first.filter("kind = 0").select(F.col("a").alias("key"), F.col("b").alias("class"), "n", F.col("id").alias("doc_id"))
-    common = first.filter("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "a").limit(HEAVY).collect()
-    heavy = np.array([(r["a"] & (1 << 64) - 1, r["n"]) for r in common], dtype=[("sig", np.uint64), ("n", np.int64)])
+    common = first.filter("kind = 1").groupBy("a").agg(F.sum("n").alias("n"), F.min("b").alias("cell")).orderBy(F.desc("n"), "a").limit(HEAVY).collect()
+    heavy = np.array([(r["a"] & (1 << 64) - 1, r["n"], r["cell"]) for r in common], dtype=[("sig", np.uint64), ("n", np.int64), ("cell", np.int64)])
     heavy.sort(order="sig")
 
-    sigs = signatures(rows.select("text"), heavy)
-    shared = sigs.groupBy("sig").agg(F.min("class").alias("cell"), F.max("class").alias("most")).filter("cell <> most").select("sig", "cell")
-    cells = sigs.join(shared, "sig").select("cell", "class").distinct()
+    # common contents have keys of their own, so what a window holds is what few classes share
+    by = W.partitionBy("key")
+    met = signatures(rows.select("text"), heavy).select("class", F.col("cell").alias("told"), F.min("class").over(by).alias("least"), F.max("class").over(by).alias("most"))
+    cells = met.filter("told is not null or least <> most").select(F.coalesce("told", "least").alias("cell"), "class").distinct()
 
-    # one row of each class carries its text
-    classes = sets.filter("n > 3").groupBy("class").agg(F.min("key").alias("key"), F.first("n").alias("n"))
+    # one row of each class stands for it
+    classes = first.filter("kind = 0 and n > 3").groupBy(F.col("b").alias("class")).agg(F.min(F.struct("a", "n", "counts")).alias("r")).select("class", F.col("r.a").alias("key"), "r.n", "r.counts")
     cells = cut(cells.join(classes, "class"))
     size = cells.groupBy("cell").agg(F.count("*").alias("m"), F.sum("n").alias("words")).filter("m > 1")
     blocks = F.greatest(F.ceil(F.col("m") / BLOCK_CLASSES), F.ceil(F.col("words") / BLOCK_SHINGLES)).cast("int")
     cells = cells.join(size.select("cell", blocks.alias("blocks")), "cell")
     cells = cells.withColumn("block", F.pmod(F.xxhash64("class", F.lit(3)), F.col("blocks")).cast("int"))
     cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.select("cell", "class", "key", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    texts = packed_text(rows, ["key"]).join(cells.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
-    found = cells.join(texts, "key").select("cell", "class", "block", "i", "j", "packed").groupBy("cell", "i", "j").applyInPandas(_block, "a long, b long")
+    near = cut(with_near(cells.select("cell", "class", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "n", "counts")))
+    named = near.select("class").distinct().join(classes.select("class", "key"), "class")
+    texts = packed_text(rows, ["key"]).join(named, "key").dropDuplicates(["class"])
+    found = verified(near.join(texts.select("class", "packed"), "class"))
 
     tree = components(found)
     order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "key")
