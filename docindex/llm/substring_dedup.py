@@ -6,7 +6,8 @@ D. So two equal runs of `window` words share an equal anchor of window - v + 1 w
 documents. Only anchors are shuffled at first (a quarter of the places for 35 words); the windows around anchors that occur
 twice are then compared whole, by 128-bit hashes, and no pairs are ever formed.
 
-Occurrences of one hash are counted where they are met first: a task sends one row per hash and batch, and what occurs twice
+Documents with equal texts count once: where there are several, all their words repeat, and beyond that only what other texts
+share with them matters. (Texts are told apart by 64-bit hashes.) Occurrences of one hash are counted where they are met first: a task sends one row per hash and batch, and what occurs twice
 inside a batch is known to repeat without leaving it. A passage that a third of all documents share thus sends one row per
 batch, not one per document. Each document's repeated places come back to it by a key of its content, and its words are
 removed in one pass.
@@ -99,12 +100,13 @@ def anchors(docs: DataFrame, window: int) -> DataFrame:
     period, _ = cover(window)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pending, size, words_in = [], 0, 0
+        pending, size, words_in, met = [], 0, 0, set()
         for b in batches:
             for doc, text in zip(b.column("doc").to_pylist(), b.column("text"), strict=True):
-                words = (text.as_py() or b"").split()
+                words = [] if doc in met else (text.as_py() or b"").split()
                 if len(words) < window:
                     continue
+                _remember(met, doc)
                 at = anchor_places(len(words), window)
                 h = rolling(_words.of(words), window - period + 1)[at]
                 pending.append((h, np.zeros(len(h), np.uint64), np.full(len(h), doc, np.int64), at))
@@ -117,16 +119,26 @@ def anchors(docs: DataFrame, window: int) -> DataFrame:
     return docs.mapInArrow(work, OCCURRENCES)
 
 
+def _remember(met: set[int], doc: int) -> None:
+    """Notes a text, so that its copies in the task are passed over (those of other tasks don't count as repeats either)."""
+    if len(met) >= 1_000_000:
+        met.clear()
+    met.add(doc)
+
+
 def windows(docs: DataFrame, window: int) -> DataFrame:
     """Occurrences of the windows of docs (doc, packed, places of repeated anchors) around those anchors."""
     period, _ = cover(window)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pending, size = [], 0
+        pending, size, met = [], 0, set()
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
                 for doc, text, found in zip(part.column("doc").to_pylist(), unpacked(part.column("packed")), part.column("runs").to_pylist(), strict=True):
+                    if doc in met:
+                        continue
+                    _remember(met, doc)
                     words = text.split()
                     near = covered(len(words), found, 1)
                     starts = len(words) - window + 1
@@ -146,11 +158,11 @@ def windows(docs: DataFrame, window: int) -> DataFrame:
 
 
 def repeated(occurrences: DataFrame) -> DataFrame:
-    """doc and runs (array of place, length) of the occurrences whose key occurs more than once."""
+    """doc and runs (array of place, length) of the occurrences whose key occurs more than once in one text, or in several."""
     by = W.partitionBy("key", "second")
-    rows = occurrences.withColumn("n", F.count("*").over(by)).withColumn("known", F.min("run").over(by) == 0)
-    rows = rows.filter(F.col("doc").isNotNull() & ((F.col("run") < 0) | (F.col("n") > 1) | F.col("known")))
-    return rows.groupBy("doc").agg(F.collect_list(F.struct("place", F.abs("run").alias("length"))).alias("runs"))
+    rows = occurrences.withColumns({"least": F.min("doc").over(by), "most": F.max("doc").over(by), "known": F.min("run").over(by) == 0})
+    rows = rows.filter(F.col("doc").isNotNull() & ((F.col("run") < 0) | (F.col("least") != F.col("most")) | F.col("known")))
+    return rows.groupBy("doc").agg(F.collect_set(F.struct("place", F.abs("run").alias("length"))).alias("runs"))
 
 
 def covered(n: int, runs: list[dict] | None, width: int) -> np.ndarray:
@@ -165,19 +177,22 @@ def covered(n: int, runs: list[dict] | None, width: int) -> np.ndarray:
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and with texts the kept text) of every row."""
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("doc"), "text")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("doc"), "text")
     found = repeated(anchors(keyed.select("doc", F.col("text").cast("binary").alias("text")), window))
     packed = packed_text(keyed, ["doc_id", "doc"])
     again = repeated(windows(packed.join(found, "doc"), window))
+    copied = keyed.groupBy("doc").count().filter("count > 1").select("doc", F.lit(True).alias("copied"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
                 rows = []
-                for text, runs in zip(unpacked(part.column("packed")), part.column("runs").to_pylist(), strict=True):
+                for text, runs, copies in zip(unpacked(part.column("packed")), part.column("runs").to_pylist(), part.column("copied").to_pylist(), strict=True):
                     words = text.split()
-                    if runs:
+                    if copies and len(words) >= window:
+                        gone, kept = np.ones(len(words)), b""
+                    elif runs:
                         gone = covered(len(words), runs, window)
                         kept = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g])
                     else:
@@ -187,5 +202,5 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = False) -
                 out = [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(r, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.string())]
                 yield pa.RecordBatch.from_arrays(out, ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
-    out = packed.join(again, "doc", "left").mapInArrow(work, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    out = packed.join(again, "doc", "left").join(copied, "doc", "left").mapInArrow(work, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
     return out if texts else out.drop("kept_text")
