@@ -126,8 +126,11 @@ def learn(docs: DataFrame) -> Model:
     if not langs:
         return train([], [])
     each = SAMPLE // len(langs)
+    # a hash lets about twice as many rows through as are wanted, of each language its share; only those are ordered
+    drawn = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 30))
+    share = F.create_map(*[F.lit(x) for r in langs for x in (r["lang"], int(min(1.0, 2 * each / r["count"]) * (1 << 30)))])
+    sample = labelled.filter(drawn < share[F.col("lang")]).select("doc_id", "lang", F.substring("text", 1, CLIP).alias("text"))
     first = W.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id")
-    sample = labelled.select("doc_id", "lang", F.substring("text", 1, CLIP).alias("text")).filter(F.col("lang").isin([r["lang"] for r in langs]))
     rows = sample.withColumn("i", F.row_number().over(first)).filter(F.col("i") <= each).orderBy("lang", "i").collect()
     return train([r["text"] for r in rows], [r["lang"] for r in rows])
 
