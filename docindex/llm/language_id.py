@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 #: Bounds of the training sample: rows, code points of a row, languages.
 SAMPLE, CLIP, LANGUAGES = 6000, 1500, 128
 BUCKETS, DIM, RUNS = 1 << 16, 16, (2, 3, 4)
-EPOCHS, RATE, SEED = 4, 8.0, 7
+#: Passes over the sample (more over a small one, so that there are STEPS updates), learning rate.
+EPOCHS, STEPS, RATE, SEED = 4, 12_000, 8.0, 7
 #: A prediction is rejected below the score that this share of rightly predicted calibration texts doesn't reach, and at
 #: most below DOUBT, where it is as likely wrong as right.
 REJECTED, DOUBT = 0.0005, 0.5
@@ -86,8 +87,9 @@ def train(texts: list[str], langs: list[str]) -> Model:
         bags[i] = rows, (counts / counts.sum()).astype(np.float32)
     embedding = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     layer, bias = np.zeros((DIM, len(languages)), np.float32), np.zeros(len(languages), np.float32)
-    steps, step = EPOCHS * len(learned), 0
-    for _ in range(EPOCHS):
+    epochs = max(EPOCHS, -(-STEPS // max(len(learned), 1)))
+    steps, step = epochs * len(learned), 0
+    for _ in range(epochs):
         for i in rng.permutation(learned):
             rate = RATE * (1 - step / steps)
             rows, share = bags[i]
