@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from tests_support import rows
 from docindex.operators import inference, jobs, ledger, reports, routing, upserts, verify
 
 RECORD = "file_id string, sha256_full string, size long, mime string, modalities_done string, parser_version string, indexed_at long, tombstoned_at long, vector_count long, last_error string"

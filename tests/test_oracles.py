@@ -2,7 +2,7 @@
 
 import pytest
 
-from conftest import DATA, oracle, table
+from tests_support import DATA, oracle, table
 from docindex.plans.queries import ORACLES, QUERIES
 
 SMALL = DATA / "sf0.001"
@@ -27,7 +27,7 @@ def test_entry_registers_everything():
 
 
 def test_nothing_outside_llm_imports_it():
-    from conftest import ROOT
+    from tests_support import ROOT
 
     for p in (ROOT / "docindex").rglob("*.py"):
         if "llm" not in p.relative_to(ROOT / "docindex").parts:

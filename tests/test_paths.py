@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from conftest import rows
+from tests_support import rows
 from docindex.functions import ids, paths
 
 PATHS = ["/a/b.md", "/a//b/./c/../d.TXT", "//a/b", "///a/b", "a/../../b", "../../x", "", ".", "/", "..", "/..", "/../a", "a/..", "./.", "/DATA/Notes/x.md", "/DATA/NotesArchive/a.md", "/DATA/docs/lost+found/x.md", "/DATA/docs/lost+found", "//DATA/Notes/x.md", "/x/.Trash-1000/y", "/DATA/a/../Notes/z", "/x/@eaDir/y.txt"]

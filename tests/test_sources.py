@@ -1,6 +1,6 @@
 import pytest
 
-from conftest import rows
+from tests_support import rows
 from docindex.sources import io
 from docindex.streaming import stream
 
