@@ -181,8 +181,8 @@ def read(manifest: DataFrame) -> DataFrame:
                     own = ids[at:till]
                     yield pa.RecordBatch.from_pydict({"doc_id": pa.array(own, pa.int64(), mask=own == NO_ID), "start": pa.array(bounds[:-1] + row["base"], pa.int64()), "n_tokens": pa.array(np.diff(bounds), pa.int64()), "ids_crc32": pa.array(sums, pa.int64())})
 
-    # one part a task: a part is as large as a shuffle partition
-    parts = manifest.repartition(F.col("part"))
+    # one part a task: a part is as large as a shuffle partition, while the rows of the manifest are tiny
+    parts = manifest.repartitionByRange(max(1, manifest.count()), "part")
     return parts.mapInArrow(work, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
