@@ -383,6 +383,9 @@ def linked(docs: DataFrame) -> DataFrame:
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """One row of docs for each component, with its own columns: the one with the smallest doc_id."""
-    kept = linked(docs).filter("kept").select(F.col("key").alias("_kept")).distinct()
-    return docs.withColumn("_key", F.xxhash64(F.col("doc_id").cast("long"), "text")).join(kept, F.col("_key") == F.col("_kept"), "left_semi").select(docs.columns)
+    """One row of docs for each component, with its own columns: the one with the smallest doc_id.
+
+    The keys of the rows that go are few beside the texts, and a table of their own: its size tells Spark whether to send it to
+    the texts or to shuffle both."""
+    gone = cut(linked(docs).filter("not kept").select(F.col("key").alias("_gone")).distinct())
+    return docs.withColumn("_key", F.xxhash64(F.col("doc_id").cast("long"), "text")).join(gone, F.col("_key") == F.col("_gone"), "left_anti").select(docs.columns)
