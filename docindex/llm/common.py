@@ -15,7 +15,7 @@ from ..session import shared_dir
 SPACE = r"[\x20\x09-\x0D]"
 NOT_SPACE = r"[^\x20\x09-\x0D]+"
 #: Entries after which a worker's word cache starts afresh.
-WORDS_KEPT = 400_000
+WORDS_KEPT = 150_000
 
 
 def cut(df: DataFrame) -> DataFrame:
