@@ -28,7 +28,7 @@ BLOCK = 1024
 #: A source is taken this many times at most.
 LIMIT = 3
 #: Documents that a hash cell of a source holds on average, and slots of a run.
-CELL, RUN = 4096, 65536
+CELL, RUN = 1024, 65536
 #: Golden-ratio steps modulo 2**31 keep products inside 64 bits.
 CIRCLE, STEP = 1 << 31, 1327217885
 #: The circle is cut into arcs, so that slots find their source by an equi-join.
