@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
 from .ledger import Ledger, delete_paths, job_rows, retire_roots, without_open_jobs
 from .routing import indexable
 
@@ -80,7 +81,8 @@ def verify(ledger: Ledger, inventory: DataFrame, roots: DataFrame, exts: DataFra
     targets = roots if requested is None else roots.filter(F.col("id").isin(requested))
     own = targets.select(F.col("id").alias("root_id"))
     local = after.paths.join(own, "root_id", "left_semi")
-    diff = diff_ledger(inventory.join(own, "root_id", "left_semi"), local)
+    # the one large join of the run: the report, the guards and all that is applied read its result
+    diff = stored(diff_ledger(inventory.join(own, "root_id", "left_semi"), local))
     report = verify_report(diff, targets, local, served)
     compared = report.filter("status = 'verified'").select("root_id", (F.col("extra_skipped") == 0).alias("_deletes"))
     diff = diff.join(compared, "root_id")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids, paths, scalars
 from ..operators import chunking, inference, jobs, ledger, reports, routing, search, upserts, verify
-from ..session import shared_dir
+from ..session import shared_dir, stored
 from ..sources import io
 from ..streaming import stream
 from . import fixtures as X
@@ -42,7 +42,7 @@ def joined(column: Column, sep: str = ",") -> Column:
 
 
 def tables(s: SparkSession, d: str) -> ledger.Ledger:
-    return ledger.Ledger(X.file_records(s, d), X.file_paths(s, d), X.ledger_chunks(s, d), X.parse_jobs(s, d))
+    return ledger.Ledger(X.file_records(s, d), stored(X.file_paths(s, d)), X.ledger_chunks(s, d), stored(X.parse_jobs(s, d)))
 
 
 # --- sources and sinks

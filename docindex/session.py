@@ -1,10 +1,11 @@
-"""The shared folder of a session."""
+"""The shared folder of a session, and tables in it."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -14,3 +15,12 @@ def shared_dir(spark: SparkSession) -> str:
         path = tempfile.mkdtemp(prefix="docindex-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written as a table of the shared folder, and its reader: what a plan uses many times is computed once, and stages that
+    follow survive lost executors without its lineage."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
