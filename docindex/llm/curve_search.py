@@ -120,13 +120,15 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.filter(F.size("embedding") == lengths[0]["n"]) if lengths else rows
 
 
-def _matrix(column, n: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.float64).reshape(n, -1)
+def _matrix(column, n: int, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(column), kind).reshape(n, -1).astype(np.float64)
 
 
 def search(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of the rows for which is_query (a column) holds, against all rows."""
     spark = vectors.sparkSession
+    # vectors travel in their own precision; scores are made in double
+    kind = "<f4" if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else "<f8"
     rows = usable(vectors).select("vec_id", "embedding", F.coalesce(is_query, F.lit(False)).alias("asks"), F.xxhash64("embedding").alias("class"))
     first = W.partitionBy("class").orderBy("vec_id")
     rows = cut(rows)
@@ -145,7 +147,7 @@ def search(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
             if not b.num_rows:
                 continue
             v = np.stack(b.column("v").to_numpy(zero_copy_only=False))
-            packed = pa.array([x.tobytes() for x in v], pa.binary())
+            packed = pa.array([x.astype(kind).tobytes() for x in v], pa.binary())
             for c, key in enumerate(curves.keys(unit(v))):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), c, np.int32)), pa.array(key), b.column("class"), b.column("asks"), packed], ["curve", "key", "class", "asks", "v"])
 
@@ -155,7 +157,7 @@ def search(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
     ordered = cut(ordered.withColumn("place", F.monotonically_increasing_id()).withColumn("part", F.shiftright("place", 33)))
     parts = ordered.groupBy("curve", "part").agg(F.count("*").alias("n"), F.min("place").alias("first"))
     before = F.coalesce(F.sum("n").over(W.partitionBy("curve").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    parts = parts.select("curve", "part", "first", before.alias("before"))
+    parts = cut(parts.select("curve", "part", "first", before.alias("before")))
     ranked = ordered.join(parts, ["curve", "part"]).select("curve", "class", "asks", "v", (F.col("place") - F.col("first") + F.col("before")).alias("rank"))
     slices = max(1, int(classes.filter("asks").count() / total * (2 * window + BLOCK) / QUERIES))
     slice_of = F.pmod(F.xxhash64("class", F.lit(7)), F.lit(slices)).cast("int")
@@ -167,7 +169,7 @@ def search(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
         q, p = pdf[pdf["query"]], pdf[~pdf["query"]]
         if q.empty or p.empty:
             return pd.DataFrame({"asker": [], "class": [], "score": []}).astype({"asker": "int64", "class": "int64"})
-        a, b = _matrix(q["v"], len(q)), _matrix(p["v"], len(p))
+        a, b = _matrix(q["v"], len(q), kind), _matrix(p["v"], len(p), kind)
         scores = (a @ b.T) / (np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1))
         scores[np.abs(q["rank"].to_numpy()[:, None] - p["rank"].to_numpy()) > window] = -np.inf
         ids, out = p["class"].to_numpy(), []
