@@ -1,8 +1,8 @@
 """Exact filtered vector top-k (V1-V4).
 
-Vectors are dealt by (filter key, salt), queries copied to every salt of their key; a block multiplies its vectors with its
-queries in slices, keeps the k best of each query, and one window merges the blocks' finds. A hot key is spread over SALTS
-blocks; pairs are never rows."""
+Vectors are dealt by (filter key, salt) and queries by (filter key, slice), and each block of vectors meets each slice of its key's
+queries: a hot key is spread over many tasks of bounded size. A task multiplies them, keeps the k best of each query, and one
+window merges the blocks' finds; pairs are never rows."""
 
 from __future__ import annotations
 
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import cosine
 from .inference import score_pairs
 
-#: Vectors of a block that a key is cut into, and the rows that are multiplied at once.
+#: Vectors of a block that a key is cut into, and queries of a slice that meets it.
 BLOCK, SLICE = 20_000, 4096
 RERANKED = 20
 
@@ -30,28 +30,32 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, key: str, id_column: s
     """query_id, id_column, score, rank: the k vectors of largest cosine among those with the query's key.
 
     queries: query_id (long), key, dense. vectors: id_column (long), key, dense. Ties go to the smaller id."""
-    sizes = vectors.groupBy(key).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_salts"))
+    pieces = lambda df, most, name: df.groupBy(key).agg(F.ceil(F.count("*") / most).cast("int").alias(name))
+    sizes = pieces(vectors, BLOCK, "_salts").join(pieces(queries, SLICE, "_slices"), key)
     as_double = lambda c: F.transform(c, lambda x: x.cast("double"))
-    v = vectors.join(sizes, key).select(F.col(key).alias("_key"), F.pmod(F.xxhash64(id_column), F.col("_salts")).cast("int").alias("_salt"), F.col(id_column).alias("_id"), as_double("dense").alias("_v"))
-    q = queries.join(sizes, key).select(F.col(key).alias("_key"), F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_salt"), F.col("query_id").alias("_q"), as_double("dense").alias("_v"))
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one_of = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    v = vectors.join(sizes, key).select(F.col(key).alias("_key"), one_of(id_column, "_salts").alias("_salt"), all_of("_slices").alias("_slice"), F.col(id_column).alias("_id"), as_double("dense").alias("_v"))
+    q = queries.join(sizes, key).select(F.col(key).alias("_key"), all_of("_salts").alias("_salt"), one_of("query_id", "_slices").alias("_slice"), F.col("query_id").alias("_q"), as_double("dense").alias("_v"))
+
+    def unit(column: pd.Series) -> np.ndarray:
+        m = np.stack(column)
+        return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), np.finfo(float).tiny)
 
     def block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"query_id": [], "found": [], "score": []}).astype({"query_id": "int64", "found": "int64"})
-        ids, m = right["_id"].to_numpy(), np.stack(right["_v"])
-        m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), np.finfo(float).tiny)
+        ids, asked, m = right["_id"].to_numpy(), left["_q"].to_numpy(), unit(right["_v"])
         out = []
-        for at in range(0, len(left), SLICE):
-            some = left.iloc[at : at + SLICE]
-            a = np.stack(some["_v"])
-            a = a / np.maximum(np.linalg.norm(a, axis=1, keepdims=True), np.finfo(float).tiny)
-            for i, line in zip(some["_q"].to_numpy(), a @ m.T, strict=True):
+        for at in range(0, len(left), 256):
+            for i, line in zip(asked[at : at + 256], unit(left["_v"].iloc[at : at + 256]) @ m.T, strict=True):
                 # rounding differs between blocks in the last bits: ties are told at 12 digits
                 top = best_of(np.round(line, 12), ids, k)
-                out.append(pd.DataFrame({"query_id": i, "found": ids[top], "score": line[top]}))
-        return pd.concat(out)
+                out.append((np.full(len(top), i), ids[top], line[top]))
+        query_id, found, score = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pd.DataFrame({"query_id": query_id, "found": found, "score": score})
 
-    found = q.groupBy("_key", "_salt").cogroup(v.groupBy("_key", "_salt")).applyInPandas(block, "query_id long, found long, score double")
+    found = q.groupBy("_key", "_salt", "_slice").cogroup(v.groupBy("_key", "_salt", "_slice")).applyInPandas(block, "query_id long, found long, score double")
     order = W.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "found")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).withColumnRenamed("found", id_column)
 

@@ -154,3 +154,24 @@ def test_empty_tables(spark, led):
     assert reports.queue_stats(nothing.jobs, nothing.records).head()["done"] == 0
     assert reports.throughput(nothing.jobs, 5).head()["eta_s"] is None
     assert ledger.delete_paths(nothing, led.paths.select("root_id", "path"), 5).paths.count() == 0
+
+
+def test_search_of_a_hot_key(spark, monkeypatch):
+    import numpy as np
+
+    from docindex.operators import search
+
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((400, 8))
+    make = lambda n, name: spark.createDataFrame([(i, 0 if i % 3 else i % 7, x[i].tolist()) for i in range(n)], f"{name} long, user_id long, dense array<double>")
+    want = search.top_k(make(60, "query_id"), make(400, "chunk_no"), 4, "user_id", "chunk_no").select("query_id", "chunk_no", "rank")
+    want = rows(want)
+    monkeypatch.setattr(search, "BLOCK", 30)
+    monkeypatch.setattr(search, "SLICE", 7)
+    assert rows(search.top_k(make(60, "query_id"), make(400, "chunk_no"), 4, "user_id", "chunk_no").select("query_id", "chunk_no", "rank")) == want
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    key = lambda i: 0 if i % 3 else i % 7
+    for q in (0, 1, 30):
+        mine = [i for i in range(400) if key(i) == key(q)]
+        best = sorted(mine, key=lambda i: (-round(float(u[i] @ u[q]), 12), i))[:4]
+        assert [c for i, c, _ in sorted(want, key=lambda r: (r[0], r[2])) if i == q] == best
