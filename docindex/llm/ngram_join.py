@@ -10,7 +10,7 @@ documents link when 9 * overlap >= 4 * (size + size), that is Jaccard >= 0.8.
    (size + size) / 9 shingles, each inside one group; a class has more groups than that, so the pair agrees on whole groups,
    and, by the prefix argument, on one among the first (difference + 1) in any order that both share. That order puts group
    contents that many documents share last, so common passages don't gather unlike documents. (The contents counted as common
-   are the HEAVY most frequent ones over all documents; any choice gives the same links.)
+   are the most frequent ones over all documents, HEAVY at most; any choice gives the same links.)
 3. Classes that agree on a group's content meet in the cell of the least of them; of common contents the cell is known
    beforehand, so that no task gathers what many documents share. A cell is one R-tree, or several blocks with every two of
    them compared if it has more than BLOCK_CLASSES classes or BLOCK_SHINGLES shingles.
@@ -339,12 +339,25 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("key"), F.col("text").cast("binary").alias("text"))
 
 
+def most_common(contents: DataFrame) -> DataFrame:
+    """The contents whose count n has at least as many bits as HEAVY of them at most have: found by counts per number of bits, so
+    that no task or driver sees more."""
+    bits = F.length(F.bin("n"))
+    left, least = HEAVY, 64
+    for r in contents.groupBy(bits.alias("bits")).count().orderBy(F.desc("bits")).collect():
+        left -= r["count"]
+        if left < 0:
+            break
+        least = r["bits"]
+    return contents.filter(bits >= least)
+
+
 def linked(docs: DataFrame) -> DataFrame:
     """doc_id, key, n_shingles, component_id, kept (the row that stands for its component) of every row."""
     rows = keyed(docs)
     first = cut(sets_and_heavy(rows))
     sets = first.filter("kind = 0").select(F.col("a").alias("key"), F.col("b").alias("class"), "n", F.col("id").alias("doc_id"))
-    common = first.filter("kind = 1").groupBy("a").agg(F.sum("n").alias("n"), F.min("b").alias("cell")).orderBy(F.desc("n"), "a").limit(HEAVY).collect()
+    common = most_common(first.filter("kind = 1").groupBy("a").agg(F.sum("n").alias("n"), F.min("b").alias("cell"))).collect()
     heavy = np.array([(r["a"] & (1 << 64) - 1, r["n"], r["cell"]) for r in common], dtype=[("sig", np.uint64), ("n", np.int64), ("cell", np.int64)])
     heavy.sort(order="sig")
 
