@@ -135,11 +135,15 @@ def search(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
     members = rows.select("vec_id", "class").withColumn("i", F.row_number().over(first)).filter(F.col("i") <= k + 1).drop("i")
     classes = rows.groupBy("class").agg(F.min_by("embedding", "vec_id").alias("embedding"), F.bool_or("asks").alias("asks"))
     classes = cut(classes.select("class", F.col("embedding").cast("array<double>").alias("v"), "asks"))
-    sample = classes.orderBy(F.xxhash64("class", F.lit(SEED)), "class").limit(SAMPLE).select("v").collect()
+    total = classes.count()
+    # a hash lets about twice as many classes through as are wanted; only those are ordered and cut
+    drawn = F.xxhash64("class", F.lit(SEED))
+    some = classes.filter(F.pmod(drawn, F.lit(1 << 30)) < int(min(1.0, 2 * SAMPLE / max(total, 1)) * (1 << 30)))
+    sample = some.orderBy(drawn, "class").limit(SAMPLE).select("v").collect()
     if not sample:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     sample = np.array([r["v"] for r in sample])
-    total, share, curves = classes.count(), fitted_share(sample), Curves(sample.shape[1])
+    share, curves = fitted_share(sample), Curves(sample.shape[1])
     window = max(BLOCK // 4, int(np.ceil(share * total)))
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
