@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one, set once, only where that is unset (tests)."""
+    """The folder in spark.checkpoint.dir; a temporary one, set once, only in local mode where that is unset (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="docindex-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
