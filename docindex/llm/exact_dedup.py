@@ -176,12 +176,14 @@ def dedup(docs: DataFrame) -> DataFrame:
 def distinct_texts(docs: DataFrame) -> DataFrame:
     """The rows of docs that dedup() keeps, with all their columns.
 
-    The keys of the rows that go are few beside the texts, and a table of their own: its size tells Spark whether to send it to
-    the texts or to shuffle both. Of rows with one id and one text, which no key tells apart, the longest original stays."""
+    Of rows with one id and one text, which no key tells apart, the longest original stays."""
     rows = dedup(docs).groupBy(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).agg(F.bool_or("kept").alias("_kept"), F.count("*").alias("_n"))
     gone = cut(rows.filter("not _kept or _n > 1"))
     keyed = docs.withColumn("_sha_own", F.sha2(normalised(F.col("text")).cast("binary"), 256))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_sha_own") == F.col("_sha"))
-    once = keyed.join(gone, same, "left_anti").select(docs.columns)
-    twins = keyed.join(gone.filter("_kept"), same).groupBy("_sha").agg(F.max_by(F.struct(*docs.columns), F.char_length(F.coalesce("text", F.lit("")))).alias("r")).select("r.*")
+    # texts are shuffled once, whatever the number of rows that go: the plan is the same at every size
+    met = keyed.join(gone.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_sha_own") == F.col("_sha")), "left")
+    once = met.filter("_sha is null").select(docs.columns)
+    if gone.filter("_kept").isEmpty():
+        return once
+    twins = met.filter("_kept").groupBy("_sha").agg(F.max_by(F.struct(*docs.columns), F.char_length(F.coalesce("text", F.lit("")))).alias("r")).select("r.*")
     return once.unionByName(twins)
