@@ -12,7 +12,7 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -21,7 +21,7 @@ from ..functions.scalars import caption_text
 from .upserts import replace_by_key
 
 BATCH = 8
-#: Candidates of a query that a reranker takes.
+#: Candidates that a reranker takes in one request.
 CANDIDATES = 128
 VECTORS = "dense array<float>, sparse struct<indices:array<int>,values:array<float>>"
 Encoder = Callable[[list[str]], list[tuple[list[float], dict[int, float]]]]
@@ -113,13 +113,20 @@ def score_pairs(pairs: DataFrame, scorer: Callable, query: str = "query_text", t
     return pairs.mapInArrow(work, schema)
 
 
-def rerank(pairs: DataFrame, scorer: Callable, top_k: int | None = None) -> DataFrame:
+def rerank(pairs: DataFrame, scorer: Callable, top_k: int | None = None, request: Column | None = None) -> DataFrame:
     """Pairs (query_id, candidate_id, query_text, text) by falling score; ties to the smaller candidate. More than
-    CANDIDATES of one query are an error, raised where they are met."""
-    by = W.partitionBy("query_id")
-    n = F.count("*").over(by)
-    checked = pairs.withColumn("_n", F.when(n <= CANDIDATES, n).otherwise(F.raise_error(F.lit(f"more than {CANDIDATES} candidates of a query")).cast("long"))).filter("_n > 0").drop("_n")
-    out = score_pairs(checked, scorer).withColumn("rank", F.row_number().over(by.orderBy(F.desc("rerank_score"), "candidate_id")))
+    CANDIDATES of one request are an error, raised where they are met. A query is one request, or as many as `request` numbers:
+    all its candidates are scored, and as each request's top_k hold the query's, merging these is exact."""
+    best = lambda *keys: F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("rerank_score"), "candidate_id"))
+    # dealt by both columns, as a join's layout by the query alone would keep a long query's requests in one task
+    rows = pairs if request is None else pairs.withColumn("_request", request).repartition("query_id", "_request")
+    keys = ["query_id"] if request is None else ["query_id", "_request"]
+    n = F.count("*").over(W.partitionBy(*keys))
+    checked = rows.withColumn("_n", F.when(n <= CANDIDATES, n).otherwise(F.raise_error(F.lit(f"more than {CANDIDATES} candidates of a request")).cast("long"))).filter("_n > 0").drop("_n")
+    out = score_pairs(checked, scorer)
+    if request is not None:
+        out = (out.withColumn("_of_request", best(*keys)).filter(F.col("_of_request") <= top_k).drop("_of_request") if top_k else out).drop("_request")
+    out = out.withColumn("rank", best("query_id"))
     return out.filter(F.col("rank") <= top_k) if top_k else out
 
 

@@ -446,13 +446,14 @@ def e1_embed(s, d):
 def conversation_pairs(s, d):
     t = X.table(s, d, "conversations")
     q = t.filter("role = 'user'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("query_text"))
-    # the first CANDIDATES - 1 turns of a conversation stand to be ranked: that many is what a reranker takes
-    return q.join(t.filter(f"role = 'assistant' and turn < {inference.CANDIDATES}"), "conv_id").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("candidate_id"), "query_text", "text")
+    return q.join(t.filter("role = 'assistant'"), "conv_id").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("candidate_id"), "query_text", "text")
 
 
 @query()
 def e2_rerank(s, d):
-    return inference.rerank(conversation_pairs(s, d), inference.overlap_scorer(), 10).select("query_id", "candidate_id", F.round("rerank_score", 6).alias("score"), "rank")
+    # a turn comes once in a conversation, so that a run of CANDIDATES turns is a request at most
+    request = F.floor(F.col("candidate_id") / inference.CANDIDATES)
+    return inference.rerank(conversation_pairs(s, d), inference.overlap_scorer(), 10, request).select("query_id", "candidate_id", F.round("rerank_score", 6).alias("score"), "rank")
 
 
 @query()
