@@ -18,3 +18,13 @@ def test_rerank_scores_every_turn(spark, tmp_path):
         want += [(c, i + 1, t) for i, (_, t) in enumerate(turns[:10])]
     assert got == sorted(want, key=repr)
     assert QUERIES["e2_rerank"](spark, str(tmp_path)).filter(F.col("candidate_id") >= 128).count() == 2
+
+
+def test_every_text_is_read(spark, tmp_path):
+    sizes = [1000] * 300 + [64 * 1024 - 1] * 130 + [64 * 1024, 3 << 20, (4 << 20) - 1, 5 << 20]
+    spark.createDataFrame([(i, n) for i, n in enumerate(sizes)], "doc_id long, n int").selectExpr("doc_id", "repeat('é', n div 2) || repeat('x', n % 2) as text").coalesce(2).write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["s1_read_files"](spark, str(tmp_path)).collect()
+    assert sorted(r["size"] for r in got if r["n_chars"] is None) == [(5 << 20) + 1]  # the reader's own limit
+    assert sum(r["size"] for r in got) == sum(sizes) + len(sizes)
+    assert sum(r["n_chars"] or 0 for r in got) == sum(n // 2 + n % 2 + 1 for n in sizes[:-1])
+    assert len({r["name"] for r in got}) == len(got)
