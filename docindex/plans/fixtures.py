@@ -112,12 +112,17 @@ def rules(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(RULES, "root_id string, path_glob string, action string")
 
 
+#: Characters of a chunk's text that SQL tells.
+TOLD = 80
+
+
 def chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks with their whole texts, of which SQL tells the first TOLD characters."""
     i, caption = F.col("doc_id"), F.col("doc_id") % 6 == 0
     return table(spark, d, "documents").select(
         text("pt", F.lpad(i.cast("string"), 12, "0")).alias("point_id"), F.when(caption, text(F.col("source"), ":", i)).otherwise(content_id(F.col("text"))).alias("file_id"),
         F.array(F.when(caption, F.col("source")).otherwise(text("r", F.expr("doc_id % 7")))).alias("root_ids"), F.when(i % 50 == 0, None).when(caption, "caption").otherwise("body").alias("kind"),
-        F.substring("text", 1, 80).alias("text"), F.when(i % 4 != 0, i * 1000).alias("mtime_ms"), F.when(i % 31 == 0, i).alias("tombstoned_at"),
+        "text", F.when(i % 4 != 0, i * 1000).alias("mtime_ms"), F.when(i % 31 == 0, i).alias("tombstoned_at"),
     )
 
 

@@ -41,6 +41,11 @@ def joined(column: Column, sep: str = ",") -> Column:
     return F.array_join(F.transform(column, lambda x: x.cast("string")), sep)
 
 
+def shown(rows: DataFrame) -> DataFrame:
+    """What SQL tells of chunks that an operator gave with their whole texts."""
+    return rows.withColumn("text", F.substring("text", 1, X.TOLD))
+
+
 def tables(s: SparkSession, d: str) -> ledger.Ledger:
     return ledger.Ledger(X.file_records(s, d), stored(X.file_paths(s, d)), X.ledger_chunks(s, d), stored(X.parse_jobs(s, d)))
 
@@ -88,9 +93,13 @@ def s5_normalize_roots(s, d):
     return io.normalize_roots(listing.filter("id is not null")).unionByName(io.normalize_roots(upper.filter("ID is not null")))
 
 
+def exported_captions(s, d):
+    return io.export_captions(X.chunks(s, d).withColumn("tombstoned_at", F.lit(None).cast("long")), "src2", None, 1000)
+
+
 @query("SELECT point_id, substr(file_id, 6) AS asset_id, text, mtime_ms FROM (SELECT * FROM chunks WHERE root_ids = 'src2' AND kind = 'caption' ORDER BY point_id LIMIT 1000) WHERE starts_with(file_id, 'src2:')")
 def s6_export_captions(s, d):
-    return io.export_captions(X.chunks(s, d).withColumn("tombstoned_at", F.lit(None).cast("long")), "src2", None, 1000)
+    return shown(exported_captions(s, d))
 
 
 @query("SELECT * FROM file_records")
@@ -508,13 +517,17 @@ def v5_preview_chunks(s, d):
 # --- upserts
 
 
-@query("SELECT point_id, file_id, text FROM chunks WHERE file_id NOT IN (SELECT file_id FROM chunks WHERE point_id LIKE '%3') UNION ALL SELECT 'n' || point_id, file_id, 'new' FROM chunks WHERE point_id LIKE '%3'")
-def u1_upsert_chunks(s, d):
+def upserted_chunks(s, d):
     old = X.chunks(s, d).select("point_id", "file_id", "text")
     new = old.filter("point_id like '%3'").select(F.concat(F.lit("n"), "point_id").alias("point_id"), "file_id", F.lit("new").alias("text"))
     return upserts.upsert_chunks(old, new)
 
 
+@query("SELECT point_id, file_id, text FROM chunks WHERE file_id NOT IN (SELECT file_id FROM chunks WHERE point_id LIKE '%3') UNION ALL SELECT 'n' || point_id, file_id, 'new' FROM chunks WHERE point_id LIKE '%3'")
+def u1_upsert_chunks(s, d):
+    return shown(upserted_chunks(s, d))
+
+
 @query("SELECT conv_id || '.' || turn AS point_id, CASE WHEN turn = 0 THEN 'new' ELSE text END AS text FROM conversations")
 def u2_upsert_memory(s, d):
     old = X.table(s, d, "conversations").select(F.concat_ws(".", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("point_id"), "text")

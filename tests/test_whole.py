@@ -2,8 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from tests_support import rows
-from docindex.plans.queries import QUERIES
+from tests_support import DATA, oracle, rows, table
+from docindex.plans import queries
+from docindex.plans.queries import ORACLES, QUERIES
+
+SMALL = DATA / "sf0.001"
 
 
 def test_rerank_scores_every_turn(spark, tmp_path):
@@ -28,3 +31,13 @@ def test_every_text_is_read(spark, tmp_path):
     assert sum(r["size"] for r in got) == sum(sizes) + len(sizes)
     assert sum(r["n_chars"] or 0 for r in got) == sum(n // 2 + n % 2 + 1 for n in sizes[:-1])
     assert len({r["name"] for r in got}) == len(got)
+
+
+def test_chunks_keep_whole_texts(spark):
+    for name, f in (("u1_upsert_chunks", queries.upserted_chunks), ("s6_export_captions", queries.exported_captions)):
+        sql = ORACLES[name].replace("left(text, 80) AS text", "text")
+        assert sql != ORACLES[name]
+        assert table(f(spark, str(SMALL))) == oracle(sql, SMALL)[0]
+    texts = {t for (t,) in spark.read.parquet(f"{SMALL}/documents.parquet").select("text").collect()}
+    kept = QUERIES["e3_ingest_captions"](spark, str(SMALL)).filter("point_id like 'pt%'").collect()
+    assert any(len(r["text"]) > 80 for r in kept) and all(r["text"] in texts for r in kept)
