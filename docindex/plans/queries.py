@@ -504,8 +504,11 @@ def v3_score_chunks(s, d):
 
 @query()
 def v4_retrieve_rerank(s, d):
-    q = X.memory_queries(s, d).select("query_id", F.expr("query_id % 20").alias("session_id"), "dense", F.concat(F.lit("v"), "query_id").alias("query_text"))
-    return search.retrieve_rerank(q, X.memory(s, d), inference.overlap_scorer(), "session_id").select("query_id", "chunk_no", "rank", "final_rank", F.round("rerank_score", 6).alias("rerank_score"))
+    # documents of 200 chunks, each asked by its own queries: the queries' ids have only two residues of the 20 sessions
+    group = lambda v: F.expr(f"{v} div 200")
+    q = X.memory_queries(s, d).select("query_id", group("query_id").alias("session_id"), "dense", F.concat(F.lit("v"), "query_id").alias("query_text"))
+    chunks = X.memory(s, d).withColumn("session_id", group("chunk_no"))
+    return search.retrieve_rerank(q, chunks, inference.overlap_scorer(), "session_id").select("query_id", "chunk_no", "rank", "final_rank", F.round("rerank_score", 6).alias("rerank_score"))
 
 
 @query("SELECT chunk_no, 1::BIGINT AS token_count, array_to_string(list_transform(dense[1:8], lambda x: round(x * 10000)::INT::VARCHAR), ',') AS head FROM memory")

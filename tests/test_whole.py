@@ -41,3 +41,8 @@ def test_chunks_keep_whole_texts(spark):
     texts = {t for (t,) in spark.read.parquet(f"{SMALL}/documents.parquet").select("text").collect()}
     kept = QUERIES["e3_ingest_captions"](spark, str(SMALL)).filter("point_id like 'pt%'").collect()
     assert any(len(r["text"]) > 80 for r in kept) and all(r["text"] in texts for r in kept)
+
+
+def test_queries_meet_all_groups(spark):
+    got = QUERIES["v4_retrieve_rerank"](spark, str(DATA / "sf0.1")).select("chunk_no").distinct().count()
+    assert got == spark.read.parquet(str(DATA / "sf0.1" / "embeddings.parquet")).count()
