@@ -158,9 +158,9 @@ def rescan_root(paths: DataFrame, exts: DataFrame, rules: DataFrame, root_id: st
     return job_rows(indexable(paths.filter(F.col("root_id") == root_id), exts, rules).filter("indexable"), "reindex", RESCAN)
 
 
-def reindex(records: DataFrame, paths: DataFrame, now_ms: int, file_ids: list[str] | None = None, filter: dict | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(records after, jobs, skipped file_id and reason). Exactly one of file_ids (up to BY_IDS) and filter (up to BY_FILTER
-    files, else an error) is given; an id that comes again is already tombstoned by then."""
+def reindex(records: DataFrame, paths: DataFrame, now_ms: int, file_ids: list[str] | None = None, filter: dict | None = None, most: int | None = BY_FILTER) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(records after, jobs, skipped file_id and reason). Exactly one of file_ids (up to BY_IDS) and filter (up to `most`
+    files, else an error; None for batches, where nothing is collected) is given; an id that comes again is already tombstoned by then."""
     if (file_ids is None) == (filter is None):
         raise ValueError("exactly one of file_ids and filter")
     spark = records.sparkSession
@@ -170,9 +170,8 @@ def reindex(records: DataFrame, paths: DataFrame, now_ms: int, file_ids: list[st
         asked = spark.createDataFrame(list(enumerate(file_ids)), "ordinal long, file_id string")
     else:
         fitting = filter_files(records, paths, **filter).select("file_id")
-        n = fitting.limit(BY_FILTER + 1).count()
-        if n > BY_FILTER:
-            raise ValueError(f"the filter fits more than {BY_FILTER} files")
+        if most is not None and fitting.limit(most + 1).count() > most:
+            raise ValueError(f"the filter fits more than {most} files")
         asked = fitting.withColumn("ordinal", F.lit(0).cast("long"))
     state = records.select("file_id", F.lit(True).alias("_known"), F.col("tombstoned_at").isNotNull().alias("_dead"))
     first = asked.groupBy("file_id").agg(F.min("ordinal").alias("_first"))

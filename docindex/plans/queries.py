@@ -679,7 +679,7 @@ SELECT 'job' AS kind, root_id || '|' || path AS name, 'reindex 1000' AS value FR
 UNION ALL SELECT 'skipped', file_id, 'no_paths_orphan' FROM file_records r WHERE tombstoned_at IS NULL AND starts_with(mime, 'text/x') AND file_id NOT IN (SELECT file_id FROM file_paths)""")
 def m10_reindex(s, d):
     t = tables(s, d)
-    _, todo, skipped = ledger.reindex(t.records, t.paths, NOW, filter={"mime_prefix": "text/x"})
+    _, todo, skipped = ledger.reindex(t.records, t.paths, NOW, filter={"mime_prefix": "text/x"}, most=None)
     return todo.select(F.lit("job").alias("kind"), F.concat_ws("|", "root_id", "path").alias("name"), F.concat_ws(" ", "op", F.col("priority").cast("string")).alias("value")).union(skipped.select(F.lit("skipped"), "file_id", "reason"))
 
 

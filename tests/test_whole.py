@@ -46,3 +46,12 @@ def test_chunks_keep_whole_texts(spark):
 def test_queries_meet_all_groups(spark):
     got = QUERIES["v4_retrieve_rerank"](spark, str(DATA / "sf0.1")).select("chunk_no").distinct().count()
     assert got == spark.read.parquet(str(DATA / "sf0.1" / "embeddings.parquet")).count()
+
+
+def test_a_batch_reindexes_any_number_of_files(spark, tmp_path):
+    for t in ("lineitem", "orders"):
+        (tmp_path / f"{t}.parquet").symlink_to(SMALL / f"{t}.parquet")
+    spark.range(1, 60_001).selectExpr("id as p_partkey", "int(id % 50 + 1) as p_size").write.parquet(str(tmp_path / "part.parquet"))
+    got = QUERIES["m10_reindex"](spark, str(tmp_path))
+    want = oracle(ORACLES["m10_reindex"].replace("FROM part)", f"FROM '{tmp_path}/part.parquet/*.parquet')"), SMALL)[0]
+    assert table(got) == want and len({n for k, n, _ in want if k == "skipped"}) > 10_000
