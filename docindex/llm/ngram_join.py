@@ -19,10 +19,12 @@ documents link when 9 * overlap >= 4 * (size + size), that is Jaccard >= 0.8.
    whole sets, unless earlier links already connect them. Links that come out span the components of all links.
 
 For sizes of 64 and more, a class has too few groups for step 2 with a chance under 1e-9 (groups are at least 0.45 times the
-size); smaller sizes use single shingles, where it cannot happen. Shingles and classes are told apart by 64-bit hashes.
+size); smaller sizes use single shingles, where it cannot happen. Shingles are told apart by 64-bit hashes inside a pair of
+documents, and sets and rows by 128 bits over the whole table.
 
-Defined results: null, empty and blank texts have empty sets, size 0, and are components of their own; equal doc_ids of
-different texts are documents of their own; null ids count as largest; an empty table gives no rows; other columns are ignored.
+Defined results: null, empty and blank texts have empty sets, size 0, and are components of their own; repeated rows are one
+component, of which one row is kept; equal doc_ids of different texts are documents of their own; null ids count as largest; a
+very long text is one set (hashed in slices); an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WordHashes, cut, mixed, packed_text, rolling, unpacked
+from .common import cut, hashed_words, mixed, packed_text, rolling, unpacked
 from .components import components
 
 SHINGLE = 5
@@ -46,21 +48,26 @@ BATCH_WORDS = 1_000_000
 SINGLE = 64
 #: Classes and shingles of a block.
 BLOCK_CLASSES, BLOCK_SHINGLES = 2000, 1_500_000
+#: Tasks that the rows of a cell of several blocks are dealt to.
+SALTS, SEED = 64, 23
 #: Dimensions of the count vectors, and children of an R-tree node.
 DIMENSIONS, FANOUT = 128, 16
 
-_words = WordHashes()
 
+def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
+    """The sorted set of shingle hashes of each text of a column."""
+    for _, words, firsts in hashed_words(column, lower=True):
+        runs = rolling(words, SHINGLE)
+        for a, b in zip(firsts[:-1].tolist(), firsts[1:].tolist(), strict=True):
+            s = np.sort(runs[a : b - SHINGLE + 1]) if b - a >= SHINGLE else rolling(words[a:b], b - a) if b > a else words[a:b]
+            yield s[np.concatenate([[True], s[1:] != s[:-1]])] if len(s) > 1 else s
 
-def shingles(text: bytes) -> np.ndarray:
-    """The sorted set of a text's shingle hashes."""
-    words = text.lower().split()
-    return np.unique(rolling(_words.of(words), min(SHINGLE, len(words)))) if words else np.empty(0, np.uint64)
 
-
-def class_of(s: np.ndarray) -> int:
-    """A 64-bit name of the set; as a signed integer, as Spark has them."""
-    return int(mixed(mixed(s).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(s) * 0x632BE59BD9B4E019 & (1 << 64) - 1)).view(np.int64)[0])
+def class_of(s: np.ndarray) -> tuple[int, int]:
+    """A 128-bit name of the set, as two signed integers."""
+    m = mixed(s)
+    sums = np.array([m.sum(dtype=np.uint64), mixed(m + np.uint64(0x632BE59BD9B4E019)).sum(dtype=np.uint64)])
+    return tuple(mixed(sums + np.uint64(len(s) * 0x9FB21C651E98DF25 & (1 << 64) - 1)).view(np.int64).tolist())
 
 
 def level(n: int) -> int:
@@ -104,21 +111,23 @@ def unpacked_counts(data: bytes) -> np.ndarray:
     return np.frombuffer(data, np.uint8 if len(data) == DIMENSIONS else "<u4").astype(np.int32)
 
 
+FIRST = "kind int, key long, key2 long, class long, class2 long, n long, doc_id long, counts binary"
+
+
 def sets_and_heavy(docs: DataFrame) -> DataFrame:
-    """kind 0: a = row key, b = class, n = size, id = doc_id, counts; kind 1: a = group content, b = least class that has it,
-    n = documents of a batch that share it."""
+    """kind 0, a row of docs: its key (128 bits), class (128 bits), size n, doc_id and count vector; kind 1: key = a group content,
+    class = half the name of the least class that has it, n = documents of a batch that share it."""
+    fields = ["kind", "key", "key2", "class", "class2", "n", "doc_id", "counts"]
 
     def heavy(pending: list[np.ndarray], classes: list[int]) -> pa.RecordBatch:
         contents, owners = np.concatenate(pending), np.repeat(np.array(classes, np.int64), [len(p) for p in pending])
-        order = np.lexsort((owners, contents))
-        contents, owners = contents[order], owners[order]
+        order = np.argsort(contents)
+        contents = contents[order]
         at = np.flatnonzero(np.concatenate([[True], contents[1:] != contents[:-1]]))
-        n = np.diff(np.append(at, len(contents)))
-        at, n = at[n >= SHARED_BY], n[n >= SHARED_BY]
-        return rows(1, contents[at].view(np.int64), owners[at], n, pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.binary()))
-
-    def rows(kind: int, a, b, n, ids, counts) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64()), ids, counts], ["kind", "a", "b", "n", "id", "counts"])
+        n, least = np.diff(np.append(at, len(contents))), np.minimum.reduceat(owners[order], at)
+        at, n, least = at[n >= SHARED_BY], n[n >= SHARED_BY], least[n >= SHARED_BY]
+        none = pa.nulls(len(at), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(np.ones(len(at), np.int32)), pa.array(contents[at].view(np.int64)), none, pa.array(least), none, pa.array(n), none, pa.nulls(len(at), pa.binary())], fields)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pending, owners, words_in, met = [], [], 0, set()
@@ -126,8 +135,7 @@ def sets_and_heavy(docs: DataFrame) -> DataFrame:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
                 classes, sizes, counts = [], [], []
-                for text in part.column("text"):
-                    s = shingles(text.as_py() or b"")
+                for s in shingle_sets(part.column("text")):
                     c = class_of(s)
                     classes.append(c)
                     sizes.append(len(s))
@@ -137,20 +145,22 @@ def sets_and_heavy(docs: DataFrame) -> DataFrame:
                         met.add(c)
                         for bits, _ in levels(len(s)):
                             pending.append(group_contents(s, bits))
-                            owners.append(c)
-                yield rows(0, part.column("key"), np.array(classes, np.int64), np.array(sizes, np.int64), part.column("doc_id"), pa.array(counts, pa.binary()))
+                            owners.append(c[0])
+                named = np.array(classes, np.int64).reshape(-1, 2)
+                own = [pa.array(np.zeros(part.num_rows, np.int32)), part.column("key"), part.column("key2"), pa.array(named[:, 0]), pa.array(named[:, 1]), pa.array(sizes, pa.int64()), part.column("doc_id"), pa.array(counts, pa.binary())]
+                yield pa.RecordBatch.from_arrays(own, fields)
                 if words_in >= BATCH_WORDS and pending:
                     yield heavy(pending, owners)
                     pending, owners, words_in, met = [], [], 0, set()
         if pending:
             yield heavy(pending, owners)
 
-    return docs.mapInArrow(work, "kind int, a long, b long, n long, id long, counts binary")
+    return docs.mapInArrow(work, FIRST)
 
 
 def signatures(docs: DataFrame, heavy: np.ndarray) -> DataFrame:
-    """key, class, cell: the group contents by which a class meets others, each once a batch. Of common contents the cell is
-    told, and the key is one of the row's own."""
+    """key, class, class2, cell: the group contents by which a class meets others, each once a batch. Of common contents the cell
+    is told, and the key is one of the row's own."""
     sent = docs.sparkSession.sparkContext.broadcast(heavy)
 
     def chosen(s: np.ndarray, c: int, common: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -164,25 +174,25 @@ def signatures(docs: DataFrame, heavy: np.ndarray) -> DataFrame:
             yield np.where(known, mixed(g + np.uint64(c & (1 << 64) - 1)), g), cell, known
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met: set[int] = set()
+        met: set[tuple[int, int]] = set()
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 found, classes = [], []
-                for text in b.column("text").slice(at, 256):
-                    s = shingles(text.as_py() or b"")
+                for s in shingle_sets(b.column("text").slice(at, 256)):
                     if len(s) < 4 or (c := class_of(s)) in met:
                         continue
                     met.add(c)
-                    if len(met) > 1_000_000:
+                    if len(met) > 500_000:
                         met.clear()
-                    for part in chosen(s, c, sent.value):
+                    for part in chosen(s, c[0], sent.value):
                         found.append(part)
-                        classes.append(np.full(len(part[0]), c, np.int64))
+                        classes.append(np.tile(np.array(c, np.int64), (len(part[0]), 1)))
                 if found:
                     key, cell, known = (np.concatenate(x) for x in zip(*found, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.concatenate(classes)), pa.array(cell, pa.int64(), mask=~known)], ["key", "class", "cell"])
+                    named = np.concatenate(classes)
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(named[:, 0]), pa.array(named[:, 1]), pa.array(cell, pa.int64(), mask=~known)], ["key", "class", "class2", "cell"])
 
-    return docs.mapInArrow(work, "key long, class long, cell long")
+    return docs.mapInArrow(work, "key long, class long, class2 long, cell long")
 
 
 class RTree:
@@ -295,7 +305,7 @@ def sides(t: pa.Table) -> np.ndarray:
 
 
 def with_near(rows: DataFrame) -> DataFrame:
-    """rows (cell, class, block, i, j, n, counts) that have a near one in their block, by the bound alone."""
+    """rows (cell, node, block, i, j, n, counts) that have a near one in their block, by the bound alone."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in grouped(batches):
@@ -314,19 +324,19 @@ def with_near(rows: DataFrame) -> DataFrame:
                         hit[near] = True
                         hit[i] |= len(near) > 0
             if hit.any():
-                yield from t.select(["cell", "class", "block", "i", "j"]).filter(pa.array(hit)).to_batches()
+                yield from t.select(["cell", "node", "block", "i", "j"]).filter(pa.array(hit)).to_batches()
 
-    return by_block(rows).mapInArrow(work, "cell long, class long, block int, i int, j int")
+    return by_block(rows).mapInArrow(work, "cell long, node long, block int, i int, j int")
 
 
 def verified(rows: DataFrame) -> DataFrame:
-    """Links (a, b) between the classes of each block; rows: cell, class, block, i, j, packed text."""
+    """Links (a, b) between the classes of each block; rows: cell, node, block, i, j, packed text."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in grouped(batches):
             if t.num_rows < 2:
                 continue
-            found = links(t.column("class").to_numpy(), [shingles(x) for x in unpacked(t.column("packed"))], sides(t))
+            found = links(t.column("node").to_numpy(), list(shingle_sets(pa.array(unpacked(t.column("packed")), pa.large_binary()))), sides(t))
             if found:
                 a, b = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -334,9 +344,16 @@ def verified(rows: DataFrame) -> DataFrame:
     return by_block(rows).mapInArrow(work, "a long, b long")
 
 
+def keys(docs: DataFrame) -> list:
+    """Two hashes of a row's id and text, that name it with 128 bits."""
+    own = F.col("doc_id").cast("long")
+    return [F.xxhash64(own, F.col("text").cast("binary")), F.xxhash64(F.lit(SEED), own, F.col("text").cast("binary"))]
+
+
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, a key of the row's id and text, and the text as bytes."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("key"), F.col("text").cast("binary").alias("text"))
+    """doc_id, the row's keys, and the text as bytes."""
+    key, key2 = keys(docs)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("key"), key2.alias("key2"), F.col("text").cast("binary").alias("text"))
 
 
 def most_common(contents: DataFrame) -> DataFrame:
@@ -352,53 +369,73 @@ def most_common(contents: DataFrame) -> DataFrame:
     return contents.filter(bits >= least)
 
 
+def in_blocks(cells: DataFrame) -> DataFrame:
+    """cells (cell, node, n, counts) of two classes and more, with block, i, j: once for every two blocks of the cell that meet in it.
+
+    A cell of several blocks is joined by (cell, salt), so that no task has all its rows."""
+    size = cells.groupBy("cell").agg(F.count("*").alias("m"), F.sum("n").alias("words")).filter("m > 1")
+    size = cut(size.select("cell", F.greatest(F.ceil(F.col("m") / BLOCK_CLASSES), F.ceil(F.col("words") / BLOCK_SHINGLES)).cast("int").alias("blocks")))
+    zero = F.lit(0)
+    out = cells.join(size.filter("blocks = 1").select("cell"), "cell").select("cell", "node", zero.alias("block"), zero.alias("i"), zero.alias("j"), "n", "counts")
+    large = size.filter("blocks > 1")
+    if large.isEmpty():
+        return out
+    salted = large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = cells.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(5)), F.lit(SALTS)).cast("int")).join(salted, ["cell", "salt"])
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(zero, F.col("blocks") - 1)))
+    return out.unionByName(rows.select("cell", "node", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "n", "counts"))
+
+
 def linked(docs: DataFrame) -> DataFrame:
-    """doc_id, key, n_shingles, component_id, kept (the row that stands for its component) of every row."""
+    """doc_id, key, key2, n_shingles, component_id, kept (the one row that stands for its component) of every row."""
     rows = keyed(docs)
-    first = cut(sets_and_heavy(rows))
-    sets = first.filter("kind = 0").select(F.col("a").alias("key"), F.col("b").alias("class"), "n", F.col("id").alias("doc_id"))
-    common = most_common(first.filter("kind = 1").groupBy("a").agg(F.sum("n").alias("n"), F.min("b").alias("cell"))).collect()
-    heavy = np.array([(r["a"] & (1 << 64) - 1, r["n"], r["cell"]) for r in common], dtype=[("sig", np.uint64), ("n", np.int64), ("cell", np.int64)])
+    first = cut(sets_and_heavy(rows).withColumn("row_no", F.monotonically_increasing_id()))
+    sets = first.filter("kind = 0").select("row_no", "key", "key2", "class", "class2", "n", "doc_id")
+    common = most_common(first.filter("kind = 1").groupBy("key").agg(F.sum("n").alias("n"), F.min("class").alias("cell"))).collect()
+    heavy = np.array([(r["key"] & (1 << 64) - 1, r["n"], r["cell"]) for r in common], dtype=[("sig", np.uint64), ("n", np.int64), ("cell", np.int64)])
     heavy.sort(order="sig")
 
     # common contents have keys of their own, so what a window holds is what few classes share
-    by = W.partitionBy("key")
-    met = signatures(rows.select("text"), heavy).select("class", F.col("cell").alias("told"), F.min("class").over(by).alias("least"), F.max("class").over(by).alias("most"))
-    cells = met.filter("told is not null or least <> most").select(F.coalesce("told", "least").alias("cell"), "class").distinct()
-
-    # one row of each class stands for it
-    classes = first.filter("kind = 0 and n > 3").groupBy(F.col("b").alias("class")).agg(F.min(F.struct("a", "n", "counts")).alias("r")).select("class", F.col("r.a").alias("key"), "r.n", "r.counts")
-    cells = cut(cells.join(classes, "class"))
-    size = cells.groupBy("cell").agg(F.count("*").alias("m"), F.sum("n").alias("words")).filter("m > 1")
-    blocks = F.greatest(F.ceil(F.col("m") / BLOCK_CLASSES), F.ceil(F.col("words") / BLOCK_SHINGLES)).cast("int")
-    cells = cells.join(size.select("cell", blocks.alias("blocks")), "cell")
-    cells = cells.withColumn("block", F.pmod(F.xxhash64("class", F.lit(3)), F.col("blocks")).cast("int"))
-    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    near = cut(with_near(cells.select("cell", "class", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "n", "counts")))
-    named = near.select("class").distinct().join(classes.select("class", "key"), "class")
-    texts = packed_text(rows, ["key"]).join(named, "key").dropDuplicates(["class"])
-    found = verified(near.join(texts.select("class", "packed"), "class"))
+    by, name = W.partitionBy("key"), ["class", "class2"]
+    met = signatures(rows.select("text"), heavy)
+    several = (F.min("class").over(by) != F.max("class").over(by)) | (F.min("class2").over(by) != F.max("class2").over(by))
+    met = met.select(*name, F.col("cell").alias("told"), F.min("class").over(by).alias("least"), several.alias("several"))
+    cells = met.filter("told is not null or several").select(F.coalesce("told", "least").alias("cell"), *name).distinct()
+
+    # one row of each class stands for it, and its number names the class from here on
+    classes = first.filter("kind = 0 and n > 3").groupBy(*name).agg(F.min(F.struct("row_no", "key", "key2", "n", "counts")).alias("r")).select(*name, F.col("r.row_no").alias("node"), "r.key", "r.key2", "r.n", "r.counts")
+    cells = cut(cells.join(classes, name).select("cell", "node", "n", "counts", "key", "key2"))
+    near = cut(with_near(in_blocks(cells)))
+    named = cells.join(near.select("node").distinct(), "node").select("node", "key", "key2").distinct()
+    texts = packed_text(rows, ["key", "key2"]).join(named, ["key", "key2"]).dropDuplicates(["node"])
+    found = verified(near.join(texts.select("node", "packed"), "node"))
 
     tree = components(found)
-    order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "key")
-    best = sets.filter("n > 0").groupBy("class").agg(F.min(order).alias("best"))
-    best = best.join(tree, best["class"] == tree["node"], "left").select("class", F.coalesce("root", "class").alias("root"), "best")
+    some, none = sets.filter("n > 0"), sets.filter("n = 0")
+    order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row_no")
+    best = some.groupBy(*name).agg(F.min(order).alias("best"), F.min("row_no").alias("node"))
+    best = best.join(tree, "node", "left").select(*name, F.coalesce("root", "node").alias("root"), "best")
     roots = best.groupBy("root").agg(F.min("best").alias("top"))
-    top = best.join(roots, "root").select("class", "top")
-    out = sets.withColumn("c", F.when(F.col("n") > 0, F.col("class"))).join(top.withColumnRenamed("class", "c"), "c", "left")
-    return out.select(
-        "doc_id",
-        "key",
-        F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("top.doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
-        F.when(F.col("n") > 0, F.col("top.key") == F.col("key")).otherwise(True).alias("kept"),
-    )
+    top = best.join(roots, "root").select(*name, "top")
+    out = some.join(top, name).select("doc_id", "key", "key2", F.col("n").alias("n_shingles"), F.col("top.doc_id").alias("component_id"), (F.col("top.row_no") == F.col("row_no")).alias("kept"))
+    return out.unionByName(none.select("doc_id", "key", "key2", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept")))
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """One row of docs for each component, with its own columns: the one with the smallest doc_id.
+    """One row of docs for each component, with its own columns: the one with the smallest doc_id; of rows with its id and text,
+    one. A document without words is a component of its own, once for rows of one id and text.
 
     The keys of the rows that go are few beside the texts, and a table of their own: its size tells Spark whether to send it to
     the texts or to shuffle both."""
-    gone = cut(linked(docs).filter("not kept").select(F.col("key").alias("_gone")).distinct())
-    return docs.withColumn("_key", F.xxhash64(F.col("doc_id").cast("long"), "text")).join(gone, F.col("_key") == F.col("_gone"), "left_anti").select(docs.columns)
+    same = linked(docs).groupBy(F.col("key").alias("_k"), F.col("key2").alias("_k2")).agg(F.bool_or("kept").alias("_kept"), F.count("*").alias("_n"))
+    gone = cut(same.filter("not _kept or _n > 1"))
+    key, key2 = keys(docs)
+    rows = docs.withColumn("_own", key).withColumn("_own2", key2)
+    on = (F.col("_own") == F.col("_k")) & (F.col("_own2") == F.col("_k2"))
+    once = rows.join(gone, on, "left_anti").select(docs.columns)
+    twins = gone.filter("_kept")
+    if twins.isEmpty():
+        return once
+    plain = [F.col(c) for c in docs.columns if not docs.schema[c].dataType.typeName().startswith(("map", "variant", "array", "struct"))]
+    again = rows.join(twins, on).groupBy("_k", "_k2").agg(F.max_by(F.struct(*docs.columns), F.xxhash64(*plain)).alias("r")).select("r.*")
+    return once.unionByName(again)

@@ -43,7 +43,7 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.linked(table(spark, sf_dir, "documents")).drop("key")
+    return ngram_join.linked(table(spark, sf_dir, "documents")).drop("key", "key2")
 
 
 #: Host and path rules of the URL filter.
