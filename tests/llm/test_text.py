@@ -1,12 +1,15 @@
 import hashlib
+import json
 import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.fs
 import pytest
 from pyspark.sql import functions as F
 
-from docindex.llm import byte_bpe, language_id, token_files, url_filter
+from docindex.llm import byte_bpe, common, language_id, token_files, url_filter
 from docindex.llm.queries import URL_RULES, vocabulary
 
 from .conftest import DOCS, ODD
@@ -57,11 +60,49 @@ def test_bpe_of_odd_rows(spark, odd):
     assert byte_bpe.digests(spark.createDataFrame([], DOCS), BYTE).count() == 0
 
 
-def test_run_encoder_is_the_library(monkeypatch):
+def test_run_encoder_is_the_library(monkeypatch, tmp_path):
     lib, own = tokenizers.Tokenizer.from_file(WORD), token_files.RunEncoder(WORD)
-    for t in strange() * 2:
-        got = np.frombuffer(own.encode([t.encode()], 1)[0], own.dtype).tolist()
-        assert got == [*lib.encode(t, add_special_tokens=False).ids, 1], t
+    # a vocabulary of other settings: whole texts go to the library
+    spec = json.loads(open(WORD, encoding="utf-8").read())
+    spec["normalizer"]["normalizers"].pop()
+    (tmp_path / "other.json").write_text(json.dumps(spec), encoding="utf-8")
+    other = token_files.RunEncoder(str(tmp_path / "other.json"))
+    assert own.by_runs and not other.by_runs
+    texts = strange() * 2 + ["ÉCOLE Straße ÀÞ ÿ÷ school###", "x <|endoftext|>A B", "Q<|", "été<|endoftext|>é.", None]
+    for enc, ref in ((own, lib), (other, other.tokenizer)):
+        for size in (4_000_000, 40):
+            monkeypatch.setattr(common, "SLICE_BYTES", size)
+            for k in (1, 7, len(texts)):
+                for at in range(0, len(texts), k):
+                    some = texts[at : at + k]
+                    column = pa.array([t and t.encode() for t in some], pa.binary())
+                    got, n = (np.concatenate(x).tolist() for x in zip(*enc.encode(column, 1), strict=True))
+                    want = [[*ref.encode(t or "", add_special_tokens=False).ids, 1] for t in some]
+                    assert got == [i for w in want for i in w] and n == list(map(len, want)), some
+    monkeypatch.setattr(token_files, "RUNS_KEPT", 5)
+    for t in strange():
+        assert np.concatenate([x for x, _ in own.encode(pa.array([t.encode()]), 1)]).tolist() == [*lib.encode(t, add_special_tokens=False).ids, 1]
+
+
+class NoReplacing(pa.fs.SubTreeFileSystem):
+    """A file system whose rename doesn't replace what is there."""
+
+    def move(self, src, dest):
+        if self.get_file_info(dest).type != pa.fs.FileType.NotFound:
+            raise OSError("exists")
+        super().move(src, dest)
+
+
+def test_a_retried_part_stays_whole(tmp_path):
+    fs = NoReplacing(str(tmp_path), pa.fs.LocalFileSystem())
+    for own in ("a", "b"):
+        (tmp_path / f"part.{own}").write_bytes(b"\1\0\2\0")
+        token_files.publish(fs, f"part.{own}", "part")
+    assert [p.name for p in tmp_path.iterdir()] == ["part"]
+    values = token_files.flat(fs, "part", "<u2")
+    assert values(0, 2).tolist() == [1, 2] and values(1, 2).tolist() == [2]
+    with pytest.raises(OSError):
+        token_files.publish(fs, "part.gone", "elsewhere")
 
 
 def test_token_files_round_trip(spark, documents, texts, tmp_path):
