@@ -7,7 +7,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,8 +15,6 @@ from ..session import shared_dir
 #: Java and Python form of the white space that separates words.
 SPACE = r"[\x20\x09-\x0D]"
 NOT_SPACE = r"[^\x20\x09-\x0D]+"
-#: Entries after which a worker's word cache starts afresh.
-WORDS_KEPT = 150_000
 #: Bytes of texts that are hashed together, and of words in one run of prefix sums; a longer text or word is taken alone.
 SLICE_BYTES, RUN_BYTES = 4_000_000, 250_000
 
@@ -48,21 +45,6 @@ def lower_ascii(col):
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-class WordHashes(dict):
-    """64-bit hashes of words (bytes), remembered up to WORDS_KEPT of them."""
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= 64:
-            if len(self) >= WORDS_KEPT:
-                self.clear()
-            self[word] = h
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """Scrambles the bits of 64-bit values."""
     x = x ^ (x >> np.uint64(32))

@@ -7,7 +7,7 @@ documents. Only anchors are shuffled at first (a quarter of the places for 35 wo
 twice are then compared whole, by 128-bit hashes, and no pairs are ever formed.
 
 Documents with equal texts count once: where there are several, all their words repeat, and beyond that only what other texts
-share with them matters. (Texts are told apart by 64-bit hashes.) Occurrences of one hash are counted where they are met first: a task sends one row per hash and batch, and what occurs twice
+share with them matters. (Texts are told apart by 128 bits.) Occurrences of one hash are counted where they are met first: a task sends one row per hash and batch, and what occurs twice
 inside a batch is known to repeat without leaving it. A passage that a third of all documents share thus sends one row per
 batch, not one per document. Each document's repeated places come back to it by a key of its content, and its words are
 removed in one pass.
@@ -27,16 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WordHashes, mixed, packed_text, rolling, unpacked
+from .common import cut, hashed_words, mixed, packed_text, rolling, unpacked
 
-WINDOW = 35
+WINDOW, SEED = 35, 29
 #: Words that are put together before hashes are counted in a task.
 BATCH_WORDS = 1_000_000
 # Perfect difference sets, by period.
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18), 57: (0, 1, 3, 13, 32, 36, 43, 52), 73: (0, 1, 3, 7, 15, 31, 36, 54, 63)}
 
-_words = WordHashes()
-
 
 def cover(window: int) -> tuple[int, tuple[int, ...]]:
     """The longest period that leaves anchors of two fifths of a window, and its difference cover."""
@@ -95,22 +93,35 @@ def _emit(pending: list[tuple], size: int) -> Iterator[pa.RecordBatch]:
             yield rows.slice(at, 50_000)
 
 
+def fresh(docs: list[int], met: set[int]) -> pa.Array:
+    """Which texts of a batch come first in the task; copies are passed over (those of other tasks don't count as repeats either)."""
+    out = np.zeros(len(docs), bool)
+    for i, doc in enumerate(docs):
+        if doc not in met:
+            if len(met) >= 1_000_000:
+                met.clear()
+            met.add(doc)
+            out[i] = True
+    return pa.array(out)
+
+
 def anchors(docs: DataFrame, window: int) -> DataFrame:
-    """Occurrences of all anchors of docs (doc, packed)."""
+    """Occurrences of all anchors of docs (doc, text)."""
     period, _ = cover(window)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pending, size, words_in, met = [], 0, 0, set()
         for b in batches:
-            for doc, text in zip(b.column("doc").to_pylist(), b.column("text"), strict=True):
-                words = [] if doc in met else (text.as_py() or b"").split()
-                if len(words) < window:
-                    continue
-                _remember(met, doc)
-                at = anchor_places(len(words), window)
-                h = rolling(_words.of(words), window - period + 1)[at]
-                pending.append((h, np.zeros(len(h), np.uint64), np.full(len(h), doc, np.int64), at))
-                size, words_in = size + len(h), words_in + len(words)
+            new = fresh(b.column("doc").to_pylist(), met)
+            doc, texts = b.column("doc").filter(new).to_numpy(), b.column("text").filter(new)
+            for first, words, firsts in hashed_words(texts):
+                hashes = rolling(words, window - period + 1)
+                for d, a, z in zip(doc[first:].tolist(), firsts[:-1].tolist(), firsts[1:].tolist(), strict=False):
+                    if z - a < window:
+                        continue
+                    at = anchor_places(z - a, window)
+                    pending.append((hashes[a + at], np.zeros(len(at), np.uint64), np.full(len(at), d, np.int64), at))
+                    size, words_in = size + len(at), words_in + z - a
                 if words_in >= BATCH_WORDS:
                     yield from _emit(pending, size)
                     pending, size, words_in = [], 0, 0
@@ -119,15 +130,8 @@ def anchors(docs: DataFrame, window: int) -> DataFrame:
     return docs.mapInArrow(work, OCCURRENCES)
 
 
-def _remember(met: set[int], doc: int) -> None:
-    """Notes a text, so that its copies in the task are passed over (those of other tasks don't count as repeats either)."""
-    if len(met) >= 1_000_000:
-        met.clear()
-    met.add(doc)
-
-
 def windows(docs: DataFrame, window: int) -> DataFrame:
-    """Occurrences of the windows of docs (doc, packed, places of repeated anchors) around those anchors."""
+    """Occurrences of the windows of docs (doc, packed, runs of places of repeated anchors) around those anchors, by 128 bits."""
     period, _ = cover(window)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,20 +139,17 @@ def windows(docs: DataFrame, window: int) -> DataFrame:
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                for doc, text, found in zip(part.column("doc").to_pylist(), unpacked(part.column("packed")), part.column("runs").to_pylist(), strict=True):
-                    if doc in met:
-                        continue
-                    _remember(met, doc)
-                    words = text.split()
-                    near = covered(len(words), found, 1)
-                    starts = len(words) - window + 1
-                    before = np.concatenate([[0], np.cumsum(near)])
-                    p = np.arange(starts)
-                    p = p[before[np.minimum(p + period, len(words))] > before[p]]
-                    h = _words.of(words)
-                    keys, second = rolling(h, window)[p], rolling(mixed(h), window)[p]
-                    pending.append((keys, second, np.full(len(p), doc, np.int64), p))
-                    size += len(p)
+                part = part.filter(fresh(part.column("doc").to_pylist(), met))
+                texts, doc, found = pa.array(unpacked(part.column("packed")), pa.large_binary()), part.column("doc").to_pylist(), part.column("runs").to_pylist()
+                for (first, words, firsts), (_, others, _) in zip(hashed_words(texts), hashed_words(texts, seed=1), strict=True):
+                    keys, second = rolling(words, window), rolling(others, window)
+                    for d, runs, a, z in zip(doc[first:], found[first:], firsts[:-1].tolist(), firsts[1:].tolist(), strict=False):
+                        near = covered(z - a, runs, 1)
+                        before = np.concatenate([[0], np.cumsum(near)])
+                        p = np.arange(z - a - window + 1)
+                        p = p[before[np.minimum(p + period, z - a)] > before[p]]
+                        pending.append((keys[a + p], second[a + p], np.full(len(p), d, np.int64), p))
+                        size += len(p)
                     if size >= BATCH_WORDS // 2:
                         yield from _emit(pending, size)
                         pending, size = [], 0
@@ -165,6 +166,16 @@ def repeated(occurrences: DataFrame) -> DataFrame:
     return rows.groupBy("doc").agg(F.collect_set(F.struct("place", F.abs("run").alias("length"))).alias("runs"))
 
 
+def by_text(docs: DataFrame) -> DataFrame:
+    """docs (doc, doc2: two hashes of the text) with a `doc` of its own for every text: of texts that share one, all but the one of
+    least doc2 take a hash of both. (About none do; they are looked for, so that none is taken for another's copy.)"""
+    shared = cut(docs.groupBy("doc").agg(F.min("doc2").alias("lo"), F.max("doc2").alias("hi")).filter("lo <> hi").select("doc", "lo"))
+    if shared.isEmpty():
+        return docs.drop("doc2")
+    other = F.col("lo").isNotNull() & (F.col("doc2") != F.col("lo"))
+    return docs.join(shared, "doc", "left").withColumn("doc", F.when(other, F.xxhash64("doc", "doc2")).otherwise(F.col("doc"))).drop("doc2", "lo")
+
+
 def covered(n: int, runs: list[dict] | None, width: int) -> np.ndarray:
     """Which of n words lie in `width` words from one of the places."""
     edges = np.zeros(n + 1, np.int64)
@@ -177,7 +188,8 @@ def covered(n: int, runs: list[dict] | None, width: int) -> np.ndarray:
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and with texts the kept text) of every row."""
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("doc"), "text")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    keyed = by_text(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("doc"), F.xxhash64(F.lit(SEED), text).alias("doc2"), "text"))
     found = repeated(anchors(keyed.select("doc", F.col("text").cast("binary").alias("text")), window))
     packed = packed_text(keyed, ["doc_id", "doc"])
     again = repeated(windows(packed.join(found, "doc"), window))

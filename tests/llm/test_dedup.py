@@ -1,9 +1,10 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from docindex.llm import exact_dedup, ngram_join, substring_dedup
+from docindex.llm import common, exact_dedup, ngram_join, substring_dedup
 from docindex.llm.components import components
 
 from . import brute
@@ -82,6 +83,31 @@ def test_substring_dedup_of_planted_passages(spark, odd):
     assert kept["kept_text"] is not None
 
 
+def test_texts_of_one_hash_are_told_apart(spark):
+    rows = [(1, 7, 1), (2, 7, 1), (3, 7, 2), (4, 8, 2), (5, 7, 3)]
+    got = {r["doc_id"]: r["doc"] for r in substring_dedup.by_text(spark.createDataFrame(rows, "doc_id long, doc long, doc2 long")).collect()}
+    assert got[1] == got[2] == 7 and got[4] == 8 and len(set(got.values())) == 4
+
+
+def test_word_hashes_are_those_of_the_words(monkeypatch):
+    texts = [None, b"", b" a  b\tC ", b"a", b"a", b" \n", b"AB ab", "é É x".encode(), b"z" * 300, b"w " * 500]
+    want = [(t or b"").split() for t in texts]
+    for size in (4_000_000, 64, 1):
+        monkeypatch.setattr(common, "SLICE_BYTES", size)
+        monkeypatch.setattr(common, "RUN_BYTES", size)
+        for column in (pa.array(texts, pa.binary()), pa.array([b"q", *texts, b"r"], pa.large_binary()).slice(1, len(texts))):
+            for lower in (False, True):
+                known, n = {}, 0
+                for first, hashes, firsts in common.hashed_words(column, lower):
+                    for i, (a, b) in enumerate(zip(firsts[:-1], firsts[1:], strict=True)):
+                        own = [w.lower() if lower else w for w in want[first + i]]
+                        assert len(own) == b - a
+                        n += 1
+                        for w, h in zip(own, hashes[a:b].tolist(), strict=True):
+                            assert known.setdefault(w, h) == h
+                assert n == len(texts) and len(set(known.values())) == len(known)
+
+
 def test_ngram_join_is_brute_force(documents, texts):
     got = made(ngram_join.linked(documents), "doc_id", "n_shingles", "component_id")
     assert got == sorted(brute.linked(pairs(texts)), key=repr)
@@ -122,6 +148,11 @@ def test_ngram_join_of_odd_rows(spark, odd):
     assert by[2, 6] == 1 and by[9, 1] == 8 and by[5, 0] == 5 and by[3, 0] == 3 and by[None, 1] is None
     left = ngram_join.representatives(odd)
     assert left.columns == odd.columns and left.filter("doc_id in (2, 9)").count() == 0
+    assert sorted(r["doc_id"] or 0 for r in left.collect()) == [-3, 0, 1, 3, 4, 5, 6, 7, 8, 10]
+    twice = odd.filter("doc_id in (1, 6, 7)")
+    rows = ngram_join.linked(twice.unionByName(twice))
+    assert rows.count() == 6 and rows.filter("kept").count() == 3
+    assert sorted(r["doc_id"] for r in ngram_join.representatives(twice.unionByName(twice).unionByName(odd.filter("doc_id = 2"))).collect()) == [1, 6, 7]
     assert ngram_join.linked(spark.createDataFrame([], DOCS)).count() == 0
 
 
