@@ -15,8 +15,11 @@ status of calls: linked, unanswered, duplicate (a later call of an identifier; i
 chain never ends; level is null); of results: orphan, or repeated (a later result of an identifier); of messages: message.
 
 Defined results: null texts are plain messages with null content; calls without an identifier are unanswered, each by itself;
-`after` an unknown identifier counts as none; arguments that aren't an object are invalid; ties in turn go to the smaller text;
-an empty table gives no rows; other columns are ignored.
+rows with a null conv_id belong to no conversation, so nothing links them: their calls are unanswered, their results orphans;
+`after` an unknown identifier counts as none; arguments that aren't an object are invalid, and so are those with a key that comes
+twice (they read as null); ties in turn go to the smaller text; of equal rows, one is the call or its answer, and the others are
+duplicate or repeated; a very long text is one value, parsed by itself; an empty table gives no rows; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -65,17 +68,18 @@ def levels(calls: DataFrame) -> DataFrame:
 
 def linked(messages: DataFrame, schemas: Schemas) -> DataFrame:
     rows = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
-    rows = rows.withColumn("m", F.from_json("text", MESSAGE))
+    # a number of its own tells a row from its copies
+    rows = cut(rows.withColumn("row_no", F.monotonically_increasing_id())).withColumn("m", F.from_json("text", MESSAGE))
     is_call, is_result = F.coalesce(F.size("m.tool_calls") > 0, F.lit(False)), F.col("m.tool_call_id").isNotNull()
     kinds, errors = problems(schemas)
-    calls = rows.filter(is_call).select("conv_id", "turn", F.posexplode("m.tool_calls").alias("pos", "c"))
-    calls = calls.select("conv_id", "turn", "pos", F.col("c.id").alias("call_id"), F.col("c.name").alias("name"), F.col("c.arguments").alias("arguments"), F.col("c.after").alias("after"))
-    calls = calls.withColumn("place", F.struct("turn", "pos", F.to_json(F.struct("name", "arguments", "after"))))
+    calls = rows.filter(is_call).select("conv_id", "turn", "row_no", F.posexplode("m.tool_calls").alias("pos", "c"))
+    calls = calls.select("conv_id", "turn", "row_no", "pos", F.col("c.id").alias("call_id"), F.col("c.name").alias("name"), F.col("c.arguments").alias("arguments"), F.col("c.after").alias("after"))
+    calls = calls.withColumn("place", F.struct("turn", "pos", F.to_json(F.struct("name", "arguments", "after")), "row_no"))
     first = calls.filter("call_id is not null").groupBy("conv_id", "call_id").agg(F.min("place").alias("first"), F.min_by("after", "place").alias("after"))
     first = first.select(F.col("conv_id"), "call_id", "first", "after")
     tree = levels(first)
-    results = rows.filter(is_result & ~is_call).select("conv_id", "turn", F.col("m.tool_call_id").alias("call_id"), F.col("m.content").alias("content"))
-    answer = results.groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "content")).alias("answer"))
+    results = rows.filter(is_result & ~is_call).select("conv_id", "turn", "row_no", F.col("m.tool_call_id").alias("call_id"), F.col("m.content").alias("content"))
+    answer = results.groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "content", "row_no")).alias("answer"))
 
     known = first.drop("after").join(tree, ["conv_id", "call_id"]).join(answer, ["conv_id", "call_id"], "left")
     out = calls.join(known, ["conv_id", "call_id"], "left")
@@ -90,7 +94,7 @@ def linked(messages: DataFrame, schemas: Schemas) -> DataFrame:
     of = results.join(known.select("conv_id", "call_id", "answer", "level"), ["conv_id", "call_id"], "left")
     # each linked answer is in its call's row; what else came for the identifier is told by itself
     of = of.withColumn("status", F.when(F.col("answer").isNull(), "orphan").otherwise("repeated"))
-    alone = of.filter(F.col("answer").isNull() | (F.struct("turn", "content") > F.col("answer")))
+    alone = of.filter(F.col("answer").isNull() | (F.struct("turn", "content", "row_no") > F.col("answer")))
     json = F.to_json(F.struct("content", F.col("call_id").alias("id"), F.lit("tool").alias("role"), "status"), {"ignoreNullFields": "false"})
     alone = alone.select("conv_id", "turn", F.lit("result").alias("kind"), "call_id", "level", "status", F.lit(None).cast("boolean").alias("valid"), F.lit(None).cast("array<string>").alias("errors"), json.alias("json"))
 

@@ -1,22 +1,24 @@
 """Approximate nearest neighbours by shifted space-filling curves: several Hilbert orderings of projected vectors,
 range-partitioned in Spark; neighbouring key windows merge and are reranked.
 
-1. Vectors with equal components form a class, of which the smallest K + 1 ids stand for all members.
-2. Each of CURVES curves projects the classes' unit vectors to DIMENSIONS random directions, shifts them, and gives them the
-   key of a Hilbert curve with BITS bits a dimension. A range partitioning by (curve, key) and prefix sums of the partitions'
-   rows give every class its rank on every curve.
-3. A query takes all classes at most `window` ranks away on each curve. Ranks are cut into blocks of BLOCK; a block meets the
-   queries whose windows reach it (in slices of QUERIES), scores them exactly in double precision, and keeps the best K + 1 of
-   each. The curves' finds merge per query.
-
-The window is fitted on a bounded sample (SAMPLE vectors, PROBES queries): the least share of all ranks whose finds there reach
-GOAL of the true neighbours; it is then that share of the table. Every vector is indexed. In data without any structure (all
-directions alike, as in the test tables) no ordering finds high-dimensional neighbours in a small share: the fitted window is
-then wide, and the work grows with queries x rows times that share; on clustered vectors it is narrow.
+1. Vectors are scaled by a power of two, which changes no bit of a cosine, so that neither large nor small components overflow.
+   Those with equal components then form a class (told apart by 128 bits), which its smallest vec_id stands for.
+2. Each curve projects the classes' unit vectors to DIMENSIONS random directions, shifts them, and gives them the key of a
+   Hilbert curve with BITS bits a dimension. The keys of a bounded sample cut each curve into RANGES ranges of about equal size.
+3. A query meets all classes in its own range and at most `reach` ranges away, on each curve. Ranges and the queries that meet
+   them are dealt into tiles of at most about TILE classes and QUERIES queries; a tile is scored in double precision and keeps
+   the best K + 1 of each query, whose scores are then made pair by pair, the same way in every tile. The curves' finds merge per
+   query: a pair that several curves found counts once.
+
+The number of curves and their reach are fitted together on the sample (SAMPLE vectors, PROBES queries): the pair that scores the
+least share of all pairs, summed over the curves (each also costs CURVE, for sending the vectors), while GOAL of the sample's
+true neighbours are found. Every vector is indexed. In data without any structure (all directions alike, as in the test tables)
+no ordering finds high-dimensional neighbours in a small share: that share is then large; on clustered vectors it is small.
 
 Defined results: vectors that are null, zero, of another length than most, or hold null or non-finite components take no part;
-with fewer than K candidates all are returned; ties in score go to the smaller id; an empty table gives no rows; ids repeated
-with other vectors are vectors of their own; other columns are ignored.
+with fewer than K candidates all are returned; scores that agree in 12 digits are ties, which go to the smaller vec_id; an empty
+table gives no rows; repeated rows, and ids repeated with other vectors, are vectors of their own, but no query finds its own
+id; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -33,10 +36,13 @@ from pyspark.sql import functions as F
 from .common import cut
 
 K = 5
-CURVES, DIMENSIONS, BITS = 12, 8, 6
-BLOCK, QUERIES = 1024, 2048
-SAMPLE, PROBES, GOAL, SEED = 4096, 128, 0.97, 5
-SHARES = (0.002, 0.004, 0.008, 0.015, 0.03, 0.045, 0.06, 0.08, 0.1, 0.13, 0.17, 0.25, 0.5)
+#: Numbers of curves that are tried, and the share of all pairs that sending the vectors of one more counts as.
+CURVES, CURVE = (2, 4, 8, 12, 16, 24), 0.01
+DIMENSIONS, BITS, RANGES = 7, 6, 128
+TILE, QUERIES = 8192, 8192
+SAMPLE, PROBES, GOAL, SEED = 4096, 256, 0.94, 5
+#: Scores are compared by so many digits.
+DIGITS = 12
 
 
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -68,135 +74,170 @@ def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
 class Curves:
     """The projections and shifts of all curves for vectors of one length."""
 
-    def __init__(self, length: int, curves: int = CURVES):
+    def __init__(self, length: int, curves: int = CURVES[-1]):
         rng = np.random.default_rng(SEED)
         d = min(DIMENSIONS, length)
         self.frames = [np.linalg.qr(rng.standard_normal((length, d)))[0] for _ in range(curves)]
         self.shifts = rng.uniform(-0.5, 0.5, (curves, d))
         self.scale = np.sqrt(length)
 
-    def keys(self, unit: np.ndarray) -> list[np.ndarray]:
+    def keys(self, unit: np.ndarray, curves: int | None = None) -> list[np.ndarray]:
         out = []
-        for frame, shift in zip(self.frames, self.shifts, strict=True):
+        for frame, shift in zip(self.frames[:curves], self.shifts[:curves], strict=True):
             y = unit @ frame * self.scale + shift
             out.append(hilbert(np.clip((y + 3) / 6 * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64), BITS).view(np.int64))
         return out
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
-    return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    return vectors / norms(vectors)[:, None]
 
 
-def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Where the k best scores are, ties to smaller ids."""
-    return np.lexsort((ids, -scores))[:k]
+def norms(vectors: np.ndarray) -> np.ndarray:
+    return np.sqrt((vectors * vectors).sum(axis=1))
 
 
-def fitted_share(vectors: np.ndarray) -> float:
-    """The least share of ranks on either side that finds GOAL of the sample's true neighbours."""
-    n = len(vectors)
-    if n <= 4 * K:
-        return 0.5
-    u = unit(vectors)
-    probes = np.random.default_rng(SEED).permutation(n)[:PROBES]
-    scores = u[probes] @ u.T
-    scores[np.arange(len(probes)), probes] = -9
-    true = np.argpartition(-scores, K, axis=1)[:, :K]
-    away = []
-    for key in Curves(vectors.shape[1]).keys(u):
-        rank = np.empty(n, np.int64)
-        rank[np.argsort(key, kind="stable")] = np.arange(n)
-        away.append(np.abs(rank[true] - rank[probes][:, None]))
-    nearest = np.min(away, axis=0) / n
-    return next(s for s in SHARES if (nearest <= s).mean() >= GOAL or s == SHARES[-1])
+def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The cosine of each row of a with that of b; bits depend on the two rows only."""
+    return (a * b).sum(axis=1) / (norms(a) * norms(b))
+
+
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Each row times a power of two that brings its largest component to between 1/2 and 1."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1))[1][:, None]) + vectors.dtype.type(0)
+
+
+class Plan:
+    """What the sample (unit vectors) decides: how many curves, the bounds of their ranges, and a window's reach in ranges."""
+
+    def __init__(self, sample: np.ndarray):
+        self.curves, n = Curves(sample.shape[1]), len(sample)
+        keys = self.curves.keys(sample)
+        ranges = min(RANGES, max(1, n // 8))
+        cuts = np.linspace(0, n, ranges + 1)[1:-1].astype(np.int64)
+        self.bounds = [np.unique(np.sort(k)[cuts]) for k in keys]
+        self.n_curves, self.reach, self.share = CURVES[0], ranges, 1.0
+        if n <= 4 * K:
+            return
+        probes = np.random.default_rng(SEED).permutation(n)[:PROBES]
+        scores = sample[probes] @ sample.T
+        scores[np.arange(len(probes)), probes] = -9
+        true = np.argpartition(-scores, K, axis=1)[:, :K]
+        place = [np.searchsorted(b, k, side="right") for b, k in zip(self.bounds, keys, strict=True)]
+        away = np.stack([np.abs(p[true] - p[probes][:, None]) for p in place])
+        # the share of all pairs that a reach meets, by curve
+        met = np.stack([np.cumsum(np.bincount(np.abs(p - p[probes][:, None]).ravel(), minlength=ranges)) for p in place]) / (n * len(probes))
+        least = np.inf
+        for c in CURVES:
+            reach = int(np.sort(away[:c].min(axis=0), axis=None)[int(np.ceil(GOAL * true.size)) - 1])
+            share = float(met[:c, reach].sum())
+            if share + CURVE * c < least:
+                least, self.n_curves, self.reach, self.share = share + CURVE * c, c, reach, share
+
+    def ranges(self, unit_vectors: np.ndarray) -> list[np.ndarray]:
+        """The range of each vector on each curve of the plan."""
+        return [np.searchsorted(b, k, side="right") for b, k in zip(self.bounds, self.curves.keys(unit_vectors, self.n_curves), strict=False)]
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id, embedding of the vectors that take part."""
+    """vec_id, embedding, asks of the vectors that take part."""
     v = F.col("embedding")
     fine = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").filter(F.col("vec_id").isNotNull() & F.coalesce(fine, F.lit(False)))
+    rows = vectors.filter(F.col("vec_id").isNotNull() & F.coalesce(fine, F.lit(False)))
     lengths = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
     return rows.filter(F.size("embedding") == lengths[0]["n"]) if lengths else rows
 
 
-def _matrix(column, n: int, kind: str) -> np.ndarray:
+def matrix(column, n: int, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(column), kind).reshape(n, -1).astype(np.float64)
 
 
+def tile_scores(asked: np.ndarray, points: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, point, score) of the k best points of each query, ties to the smaller `least`; places count in the tile."""
+    of_points, out = points / norms(points)[:, None], []
+    for at in range(0, len(asked), 256):
+        some = asked[at : at + 256]
+        rough = some / norms(some)[:, None] @ of_points.T
+        # a product of matrices rounds by the place in it: all near the k-th are scored again, pair by pair
+        kth = np.partition(rough, -k, axis=1)[:, -k] if len(points) > k else np.full(len(some), -np.inf)
+        q, p = np.nonzero(rough >= kth[:, None] - 1e-9)
+        score = np.concatenate([cosines(some[q[i : i + 50_000]], points[p[i : i + 50_000]]) for i in range(0, len(q), 50_000)])
+        order = np.lexsort((least[p], -np.round(score, DIGITS), q))
+        q, p, score = q[order], p[order], score[order]
+        first = np.searchsorted(q, q)
+        kept = np.arange(len(q)) - first < k
+        out.append((q[kept] + at, p[kept], score[kept]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
 def search(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of the rows for which is_query (a column) holds, against all rows."""
     spark = vectors.sparkSession
     # vectors travel in their own precision; scores are made in double
-    kind = "<f4" if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else "<f8"
-    rows = usable(vectors).select("vec_id", "embedding", F.coalesce(is_query, F.lit(False)).alias("asks"), F.xxhash64("embedding").alias("class"))
-    first = W.partitionBy("class").orderBy("vec_id")
-    rows = cut(rows)
-    members = rows.select("vec_id", "class").withColumn("i", F.row_number().over(first)).filter(F.col("i") <= k + 1).drop("i")
-    classes = rows.groupBy("class").agg(F.min_by("embedding", "vec_id").alias("embedding"), F.bool_or("asks").alias("asks"))
-    classes = cut(classes.select("class", F.col("embedding").cast("array<double>").alias("v"), "asks"))
+    single = vectors.schema["embedding"].dataType.elementType.typeName() == "float"
+    kind = "<f4" if single else "<f8"
+    own = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>" if single else "array<double>").alias("embedding"), F.coalesce(is_query, F.lit(False)).alias("asks"))
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                v = [x.tobytes() for x in scaled(b.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1).astype(kind))]
+                yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("asks"), pa.array([xxhash.xxh3_128_digest(x) for x in v], pa.binary()), pa.array(v, pa.binary())], ["vec_id", "asks", "class", "v"])
+
+    rows = cut(usable(own).mapInArrow(named, "vec_id long, asks boolean, class binary, v binary"))
+    classes = rows.groupBy("class").agg(F.min("vec_id").alias("least"), F.bool_or("asks").alias("asks"), F.first("v").alias("v"))
+    classes = cut(classes.withColumn("node", F.monotonically_increasing_id()))
     total = classes.count()
     # a hash lets about twice as many classes through as are wanted; only those are ordered and cut
     drawn = F.xxhash64("class", F.lit(SEED))
     some = classes.filter(F.pmod(drawn, F.lit(1 << 30)) < int(min(1.0, 2 * SAMPLE / max(total, 1)) * (1 << 30)))
-    sample = some.orderBy(drawn, "class").limit(SAMPLE).select("v").collect()
+    sample = [bytes(r["v"]) for r in some.orderBy(drawn, "class").limit(SAMPLE).select("v").collect()]
     if not sample:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    sample = np.array([r["v"] for r in sample])
-    share, curves = fitted_share(sample), Curves(sample.shape[1])
-    window = max(BLOCK // 4, int(np.ceil(share * total)))
+    plan = Plan(unit(matrix(sample, len(sample), kind)))
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ranged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            v = np.stack(b.column("v").to_numpy(zero_copy_only=False))
-            packed = pa.array([x.astype(kind).tobytes() for x in v], pa.binary())
-            for c, key in enumerate(curves.keys(unit(v))):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), c, np.int32)), pa.array(key), b.column("class"), b.column("asks"), packed], ["curve", "key", "class", "asks", "v"])
-
-    keys = classes.mapInArrow(keyed, "curve int, key long, class long, asks boolean, v binary")
-    ordered = keys.repartitionByRange("curve", "key", "class").sortWithinPartitions("curve", "key", "class")
-    # the id holds the partition above the row's number in it
-    ordered = cut(ordered.withColumn("place", F.monotonically_increasing_id()).withColumn("part", F.shiftright("place", 33)))
-    parts = ordered.groupBy("curve", "part").agg(F.count("*").alias("n"), F.min("place").alias("first"))
-    before = F.coalesce(F.sum("n").over(W.partitionBy("curve").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    parts = cut(parts.select("curve", "part", "first", before.alias("before")))
-    ranked = ordered.join(parts, ["curve", "part"]).select("curve", "class", "asks", "v", (F.col("place") - F.col("first") + F.col("before")).alias("rank"))
-    slices = max(1, int(classes.filter("asks").count() / total * (2 * window + BLOCK) / QUERIES))
-    slice_of = F.pmod(F.xxhash64("class", F.lit(7)), F.lit(slices)).cast("int")
-    points = ranked.select("curve", F.expr(f"rank div {BLOCK}").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), F.lit(False).alias("query"), "class", "rank", "v")
-    lo, hi = F.expr(f"greatest(rank - {window}, 0) div {BLOCK}"), F.expr(f"least(rank + {window}, {total - 1}) div {BLOCK}")
-    asked = ranked.filter("asks").select("curve", F.explode(F.sequence(lo, hi)).alias("block"), slice_of.alias("slice"), F.lit(True).alias("query"), "class", "rank", "v")
+            if b.num_rows:
+                at = np.stack(plan.ranges(unit(matrix(b.column("v").to_pylist(), b.num_rows, kind))), axis=1).astype(np.int32)
+                places = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * at.shape[1]), pa.array(at.ravel()))
+                yield pa.RecordBatch.from_arrays([b.column("node"), b.column("least"), b.column("asks"), b.column("v"), places], ["node", "least", "asks", "v", "ranges"])
+
+    placed = cut(classes.select("node", "least", "asks", "v").mapInArrow(ranged, "node long, least long, asks boolean, v binary, ranges array<int>"))
+    on = placed.select("node", "least", "asks", "v", F.posexplode("ranges").alias("curve", "range"))
+    # ranges by curve are as many as the parameters say; what meets in each decides how it is cut into tiles
+    met = F.explode(F.sequence(F.greatest(F.col("range") - plan.reach, F.lit(0)), F.least(F.col("range") + plan.reach, F.lit(RANGES))))
+    n = on.groupBy("curve", "range").agg(F.count("*").alias("n"))
+    asking = on.filter("asks").select("curve", met.alias("range")).groupBy("curve", "range").agg(F.count("*").alias("asking"))
+    cells = n.join(asking, ["curve", "range"]).select("curve", "range", F.ceil(F.col("n") / TILE).cast("int").alias("parts"), F.ceil(F.col("asking") / QUERIES).cast("int").alias("slices"))
+    cells = F.broadcast(cut(cells.coalesce(1)))
+    all_of = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    one_of = lambda c, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(c)).cast("int")
+    points = on.join(cells, ["curve", "range"]).select("curve", "range", one_of("parts", 7).alias("part"), all_of("slices").alias("slice"), F.lit(False).alias("query"), "node", "least", "v")
+    asked = on.filter("asks").withColumn("range", met).join(cells, ["curve", "range"]).select("curve", "range", all_of("parts").alias("part"), one_of("slices", 9).alias("slice"), F.lit(True).alias("query"), "node", "least", "v")
 
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
         q, p = pdf[pdf["query"]], pdf[~pdf["query"]]
         if q.empty or p.empty:
-            return pd.DataFrame({"asker": [], "class": [], "score": []}).astype({"asker": "int64", "class": "int64"})
-        a, b = _matrix(q["v"], len(q), kind), _matrix(p["v"], len(p), kind)
-        scores = (a @ b.T) / (np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1))
-        scores[np.abs(q["rank"].to_numpy()[:, None] - p["rank"].to_numpy()) > window] = -np.inf
-        ids, out = p["class"].to_numpy(), []
-        for asker, line in zip(q["class"].to_numpy(), scores, strict=True):
-            top = np.argpartition(-line, k)[: k + 1] if len(line) > k + 1 else np.arange(len(line))
-            top = top[line[top] > -np.inf]
-            out.append((np.full(len(top), asker), ids[top], line[top]))
-        asker, found, line = (np.concatenate(x) for x in zip(*out, strict=True))
-        return pd.DataFrame({"asker": asker, "class": found, "score": line})
-
-    found = points.unionByName(asked).groupBy("curve", "block", "slice").applyInPandas(score, "asker long, class long, score double")
-    found = found.groupBy("asker", "class").agg(F.max("score").alias("score"))
-    near = W.partitionBy("asker").orderBy(F.desc("score"), "class")
-    found = found.withColumn("i", F.row_number().over(near)).filter(F.col("i") <= k + 1).drop("i")
-    # the members of the found classes, for every query of the asking class
-    candidates = found.join(members, "class").select("asker", "vec_id", "score")
-    queries = rows.filter("asks").select(F.col("vec_id").alias("query_id"), F.col("class").alias("asker"))
-    pairs = queries.join(nearest_members(candidates, k), "asker").filter("query_id <> vec_id")
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+            return pd.DataFrame({"asker": [], "node": [], "least": [], "score": []}).astype({"asker": "int64", "node": "int64", "least": "int64"})
+        least = p["least"].to_numpy()
+        i, j, s = tile_scores(matrix(q["v"], len(q), kind), matrix(p["v"], len(p), kind), least, k + 1)
+        return pd.DataFrame({"asker": q["node"].to_numpy()[i], "node": p["node"].to_numpy()[j], "least": least[j], "score": s})
+
+    found = points.unionByName(asked).groupBy("curve", "range", "part", "slice").applyInPandas(score, "asker long, node long, least long, score double")
+    found = found.groupBy("asker", "node").agg(F.max("score").alias("score"), F.min("least").alias("least"))
+    best = F.desc(F.round("score", DIGITS))
+    # one of the k + 1 classes may hold nothing but the query itself
+    near = W.partitionBy("asker").orderBy(best, "least", "node")
+    found = cut(found.withColumn("i", F.row_number().over(near)).filter(F.col("i") <= k + 1).drop("i", "least"))
+    # the smallest members of the found classes, for every query of the asking class
+    names = classes.select("class", "node")
+    wanted = names.join(found.select("node").distinct(), "node", "left_semi")
+    members = rows.select("vec_id", "class").join(wanted, "class").withColumn("i", F.row_number().over(W.partitionBy("node").orderBy("vec_id"))).filter(F.col("i") <= k + 1)
+    candidates = found.join(members.select("node", "vec_id"), "node").select("asker", "vec_id", "score")
+    first = W.partitionBy("asker").orderBy(best, "vec_id")
+    candidates = candidates.withColumn("i", F.row_number().over(first)).filter(F.col("i") <= k + 1).drop("i")
+    queries = rows.filter("asks").select(F.col("vec_id").alias("query_id"), "class").join(names, "class").select("query_id", F.col("node").alias("asker"))
+    pairs = queries.join(candidates, "asker").filter("query_id <> vec_id")
+    order = W.partitionBy("query_id").orderBy(best, "vec_id")
     return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
-
-
-def nearest_members(candidates: DataFrame, k: int) -> DataFrame:
-    """At most k + 1 candidates of each asking class: one of them may be the query itself."""
-    order = W.partitionBy("asker").orderBy(F.desc("score"), "vec_id")
-    return candidates.withColumn("i", F.row_number().over(order)).filter(F.col("i") <= k + 1).drop("i")

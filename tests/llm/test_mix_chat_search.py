@@ -8,7 +8,7 @@ from docindex.llm import chat_format, curve_search, source_mix
 from docindex.llm.common import cut, release
 
 from . import brute
-from .conftest import DOCS, ODD
+from .conftest import DATA, DOCS, ODD
 
 
 def test_mix_meets_its_targets(documents, texts):
@@ -100,6 +100,20 @@ def test_tool_calls(spark):
     assert chat_format.linked(df.limit(0), SCHEMAS).count() == 0
 
 
+def test_equal_rows_and_rows_without_a_conversation(spark):
+    call = '{"tool_calls":[{"id":"a","name":"add","arguments":{"x":1,"y":2}}]}'
+    rows = [(1, 1, "assistant", call)] * 2 + [(1, 2, "tool", '{"tool_call_id":"a","content":"3"}')] * 3 + [(None, 1, "assistant", call), (None, 2, "tool", '{"tool_call_id":"a","content":"3"}')]
+    rows += [(2, 1, "assistant", '{"tool_calls":[{"id":"a","name":"add","arguments":{"x":1,"x":2,"y":1}}]}'), (3, 1, "user", "z" * 400_000), (3, 1, "user", "z" * 400_000)]
+    rows += [(4, 1, "tool", '{"tool_call_id":"none","content":"c"}')] * 2
+    got = chat_format.linked(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4), SCHEMAS).collect()
+    told = sorted(((r["conv_id"], r["turn"], r["kind"], r["status"]) for r in got), key=repr)
+    assert told == sorted([
+        (1, 1, "call", "linked"), (1, 1, "call", "duplicate"), (1, 2, "result", "repeated"), (1, 2, "result", "repeated"), (None, 1, "call", "unanswered"), (None, 2, "result", "orphan"),
+        (2, 1, "call", "unanswered"), (3, 1, "message", "message"), (3, 1, "message", "message"), (4, 1, "result", "orphan"), (4, 1, "result", "orphan"),
+    ], key=repr)
+    assert next(r for r in got if r["conv_id"] == 2)["errors"] == ["arguments are no object"]
+
+
 def test_long_chains_take_few_rounds(spark):
     calls = spark.range(700).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").cast("string").alias("call_id"), F.when(F.col("id") > 0, (F.col("id") - 1).cast("string")).alias("after"))
     assert {int(r["call_id"]): r["level"] for r in chat_format.levels(calls).collect()} == {i: i for i in range(700)}
@@ -115,11 +129,32 @@ def test_hilbert_neighbours_touch():
         assert (np.abs(np.diff(path, axis=0)).sum(axis=1) == 1).all()
 
 
-def exact(ids, x, q, k=5):
-    u = x / np.linalg.norm(x, axis=1, keepdims=True)
-    s = u @ u[q]
-    s[q] = -9
-    return {int(ids[i]) for i in np.lexsort((ids, -np.round(s, 12)))[:k]}
+def nearest(ids, x, q, k=5):
+    """[(id, cosine)] of the k nearest rows to row q by every pair, ties (in 12 digits) to the smaller id."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    s = [float(np.dot(x[q], y) / np.sqrt(np.dot(x[q], x[q]) * np.dot(y, y))) for y in x]
+    order = sorted((i for i in range(len(x)) if ids[i] != ids[q]), key=lambda i: (-round(s[i], 12), ids[i]))
+    return [(ids[i], s[i]) for i in order[:k]]
+
+
+def searched(df, asks="vec_id % 50 = 0"):
+    got = {}
+    for r in curve_search.search(df, F.expr(asks)).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+        assert r["rank"] == len(got[r["query_id"]])
+    return got
+
+
+def recall_and_scores(ids, x, got):
+    """The share of the true neighbours that was found; every score has to be the pair's."""
+    hits, where = 0, {int(i): n for n, i in enumerate(ids)}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for q, found in got.items():
+        for v, score in found:
+            assert abs(score - float(unit[where[q]] @ unit[where[v]])) < 1e-12
+        assert [s for _, s in found] == sorted((s for _, s in found), reverse=True)
+        hits += len({v for v, _ in found} & {v for v, _ in nearest(ids, x, where[q])})
+    return hits / sum(map(len, got.values()))
 
 
 def test_search_recall(spark):
@@ -131,31 +166,62 @@ def test_search_recall(spark):
             x = x * 0.4 + rng.standard_normal((30, 32))[rng.integers(0, 30, n)]
         x = x.astype(np.float32)
         df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
-        rows = curve_search.search(df, F.col("vec_id") % 50 == 0).collect()
-        got = {}
-        for r in rows:
-            got.setdefault(r["query_id"], []).append(r)
-        hits = 0
-        for q in range(0, n, 50):
-            mine = sorted(got[q], key=lambda r: r["rank"])
-            assert [r["rank"] for r in mine] == [1, 2, 3, 4, 5] and all(a["score"] >= b["score"] for a, b in zip(mine, mine[1:], strict=False))
-            hits += len({r["vec_id"] for r in mine} & exact(np.arange(n), x.astype(float), q))
-        assert hits / (5 * (n // 50)) >= 0.9
+        got = searched(df)
+        assert set(got) == set(range(0, n, 50)) and all(len(v) == 5 for v in got.values())
+        assert recall_and_scores(np.arange(n), x.astype(float), got) >= 0.9
+        shares = curve_search.Plan(curve_search.unit(x.astype(float)))
+        assert shares.share < (1.0 if kind == "alike" else 0.35)
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.1"])
+def test_search_of_the_given_embeddings(spark, size):
+    df = spark.read.parquet(str(DATA / size / "embeddings.parquet"))
+    rows = df.orderBy("vec_id").collect()
+    ids, x = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], float)
+    got = searched(df)
+    assert set(got) == {int(i) for i in ids if i % 50 == 0}
+    assert recall_and_scores(ids, x, got) >= 0.9
+
+
+def test_search_gives_ties_to_the_smaller_id(spark):
+    # 30 multiples of the query by powers of two have scores that are equal to the bit, 30 by other factors about that
+    rows = [(0, [1.0, 2.0, 4.0])] + [(i, [c * 2.0**i for c in (1.0, 2.0, 4.0)]) for i in range(1, 31)]
+    rng = np.random.default_rng(5)
+    more = rows + [(i, (rng.standard_normal(3)).tolist()) for i in range(51, 400) if i % 50]
+    for table in (rows, more, [(i, [c * f for c in v]) for (i, v), f in zip(rows, np.linspace(1, 9, 31).tolist(), strict=True)]):
+        got = searched(spark.createDataFrame(table, "vec_id long, embedding array<double>").repartition(5))
+        assert [v for v, _ in got[0]] == [1, 2, 3, 4, 5] and all(abs(s - 1) < 1e-12 for _, s in got[0])
+    got = searched(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert len({s for _, s in got[0]}) == 1
+
+
+def test_search_of_large_and_tiny_doubles(spark):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((120, 8))
+    scale = 10.0 ** rng.choice([-300, -200, 0, 200, 300], 120)
+    df = spark.createDataFrame([(i, (v * f).tolist()) for i, (v, f) in enumerate(zip(x, scale, strict=True))], "vec_id long, embedding array<double>")
+    got = searched(df)
+    assert set(got) == {0, 50, 100}
+    for q, found in got.items():
+        want = nearest(np.arange(120), x, q)
+        assert len({v for v, _ in want} & {v for v, _ in found}) >= 4
+        for v, s in found:
+            assert abs(s - dict(nearest(np.arange(120), x, q, 119))[v]) < 1e-12
+    tiny = spark.createDataFrame([(0, [5e-324, 0.0]), (1, [5e-324, 0.0]), (2, [1.7e308, 1.7e308])], "vec_id long, embedding array<double>")
+    assert [v for v, _ in searched(tiny)[0]] == [1, 2]
 
 
 def test_search_of_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(i, [1.0, float(i)], 0.0) for i in range(1, 8)] + [(50, [1.0, 1.0], 0.0), (100, [0.0, 0.0], 0.0), (150, None, 0.0), (200, [nan, 1.0], 0.0), (250, [inf, 1.0], 0.0), (300, [None, 1.0], 0.0), (350, [1.0], 0.0), (400, [1.0, 2.0], 0.0), (None, [1.0, 1.0], 0.0)] + [(i, [3.0, 4.0], 0.0) for i in range(1000, 1100)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score double")
-    got = {}
-    for r in curve_search.search(df, F.col("vec_id") % 50 == 0).collect():
-        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    got = searched(df)
     assert set(got) == {50, 400, 1000, 1050}
-    assert sorted(got[50])[0] == (1, 1) and sorted(got[400])[0] == (1, 2)
-    assert [v for _, v in sorted(got[1000])] == [1001, 1002, 1003, 1004, 1005]
-    assert [v for _, v in sorted(got[1050])] == [1000, 1001, 1002, 1003, 1004]
-    few = df.filter("vec_id in (50, 1, 2)")
-    assert [r["vec_id"] for r in curve_search.search(few, F.col("vec_id") == 50).orderBy("rank").collect()] == [1, 2]
+    assert got[50][0][0] == 1 and got[400][0][0] == 2
+    assert [v for v, _ in got[1000]] == [1001, 1002, 1003, 1004, 1005]
+    assert [v for v, _ in got[1050]] == [1000, 1001, 1002, 1003, 1004]
+    few = df.filter("vec_id in (50, 1, 2)").select("vec_id", "embedding", F.lit(1).alias("class"), F.lit(2).alias("node"), F.lit(3).alias("rank"))
+    assert [v for v, _ in searched(few, "vec_id = 50")[50]] == [1, 2]
     assert curve_search.search(df.limit(0), F.lit(True)).count() == 0
     assert curve_search.search(df.filter("vec_id = 50"), F.lit(True)).count() == 0
 
