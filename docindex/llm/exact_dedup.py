@@ -3,18 +3,23 @@ for byte checks, while duplicates inside the new batch are grouped separately.
 
 Texts are equal when identical after white space [\\x20\\x09-\\x0D] is deleted; null counts as empty. Each batch is first
 reduced to one row per digest (partial aggregation, so a group with a third of all rows leaves one row per task). Digests
-of the snapshot fall into buckets of about BUCKET keys, and each bucket has one filter; an incoming digest that its
-bucket's filter rejects is certainly new and never joins. For the others the whole 32-byte SHA-256 is compared.
+of the snapshot fall into buckets of about BUCKET keys, and each bucket has one filter, built once and kept beside the snapshot; an
+incoming digest that its bucket's filter rejects is certainly new and meets nothing else. The others are grouped with the
+snapshot by the whole 32-byte SHA-256.
 
 Defined results: empty texts form one group; ties in length go to the smallest doc_id (null last), then to one of the
-repeated rows; an empty table gives no rows; other columns are ignored.
+repeated rows; a very long text is one value, hashed by itself; an empty table gives no rows; other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, mixed
@@ -45,7 +50,7 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 def grouped(batch: DataFrame) -> DataFrame:
-    """One row per digest of a batch: its size and its best row."""
+    """One row per digest of a batch: its size n and its best row."""
     best = F.struct("n_points", F.col("doc_id").isNotNull().alias("known"), F.bitwise_not("doc_id").alias("low_id"), F.bitwise_not("row_no").alias("low_row"))
     return batch.groupBy("digest").agg(F.max(best).alias("best"), F.count("*").alias("n"))
 
@@ -115,43 +120,61 @@ def _build(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"bucket": pdf["bucket"].iloc[:1], "seed": seed, "segment": segment, "segments": segments, "cells": [cells.tobytes()]})
 
 
-def snapshot_filters(snapshot: DataFrame) -> DataFrame:
-    """One filter per bucket of the snapshot's distinct digests, with the number of buckets. snapshot: a cut grouped()."""
-    buckets = max(1, -(-snapshot.count() // BUCKET))
-    keyed = snapshot.select(F.pmod(F.xxhash64("digest"), F.lit(buckets)).alias("bucket"), F.xxhash64("digest", F.lit(1)).alias("key"))
+@dataclass
+class Snapshot:
+    """Groups that don't change any more (digest, best, n) and their filters, one row a bucket."""
+
+    groups: DataFrame
+    filters: DataFrame
+
+    def save(self, folder: str) -> None:
+        self.groups.write.parquet(f"{folder}/groups")
+        self.filters.write.parquet(f"{folder}/filters")
+
+
+def load(spark: SparkSession, folder: str) -> Snapshot:
+    """What save() wrote: later batches are screened without building the filters again."""
+    return Snapshot(spark.read.parquet(f"{folder}/groups"), spark.read.parquet(f"{folder}/filters"))
+
+
+def snapshot_of(groups: DataFrame) -> Snapshot:
+    """A snapshot of grouped() rows, with a filter for each bucket of their digests."""
+    groups = cut(groups)
+    buckets = max(1, -(-groups.count() // BUCKET))
+    keyed = groups.select(F.pmod(F.xxhash64("digest"), F.lit(buckets)).alias("bucket"), F.xxhash64("digest", F.lit(1)).alias("key"))
     filters = keyed.groupBy("bucket").applyInPandas(_build, "bucket long, seed int, segment int, segments int, cells binary")
-    return filters.withColumn("buckets", F.lit(buckets).cast("long"))
+    return Snapshot(groups, cut(filters.withColumn("buckets", F.lit(buckets).cast("long"))))
 
 
 def screen(incoming: DataFrame, filters: DataFrame) -> DataFrame:
-    """incoming (grouped) with `maybe`: whether its digest may be in the filters' snapshot.
+    """incoming (grouped) with `maybe`: whether its digest may be in the filters' snapshot. One shuffle of the incoming groups.
 
     An incoming bucket holds distinct digests only; it is cut into slices of about BUCKET, each beside a copy of its filter."""
     first = filters.select("buckets").head()
     if first is None:
         return incoming.withColumn("maybe", F.lit(False))
     slices = max(1, -(-incoming.count() // (BUCKET * first[0])))
-    keyed = incoming.select("digest", F.pmod(F.xxhash64("digest"), F.lit(first[0])).alias("bucket"), F.xxhash64("digest", F.lit(1)).alias("key"), F.pmod(F.xxhash64("digest", F.lit(2)), F.lit(slices)).alias("slice"))
+    keyed = incoming.withColumns({"bucket": F.pmod(F.xxhash64("digest"), F.lit(first[0])), "key": F.xxhash64("digest", F.lit(1)), "slice": F.pmod(F.xxhash64("digest", F.lit(2)), F.lit(slices))})
     copies = filters.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))))
+    columns = incoming.columns
 
-    def look(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if right.empty or left.empty:
-            return pd.DataFrame({"digest": left["digest"], "maybe": False})
-        f = right.iloc[0]
-        found = maybe_in(left["key"].to_numpy().view(np.uint64), int(f["seed"]), int(f["segment"]), int(f["segments"]), np.frombuffer(f["cells"], FINGERPRINT))
-        return pd.DataFrame({"digest": left["digest"], "maybe": found})
+    def look(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = np.zeros(left.num_rows, bool)
+        if right.num_rows and left.num_rows:
+            f = right.slice(0, 1).to_pylist()[0]
+            found = maybe_in(left.column("key").to_numpy().view(np.uint64), f["seed"], f["segment"], f["segments"], np.frombuffer(f["cells"], FINGERPRINT))
+        return left.select(columns).append_column("maybe", pa.array(found))
 
-    seen = keyed.groupBy("bucket", "slice").cogroup(copies.groupBy("bucket", "slice")).applyInPandas(look, "digest binary, maybe boolean")
-    return incoming.join(seen, "digest")
+    schema = incoming.withColumn("maybe", F.lit(True)).schema
+    return keyed.groupBy("bucket", "slice").cogroup(copies.groupBy("bucket", "slice")).applyInArrow(look, schema)
 
 
-def merged(snapshot: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Groups of the snapshot and of an incoming batch together. Both are grouped() and cut."""
-    screened = cut(screen(incoming, cut(snapshot_filters(snapshot))))
-    positive, new = screened.filter("maybe").drop("maybe"), screened.filter("not maybe").drop("maybe")
-    again = positive.select("digest", F.col("best").alias("best2"), F.col("n").alias("n2"))
-    old = snapshot.join(again, "digest", "left").select("digest", F.greatest("best", "best2").alias("best"), (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n"))
-    return old.unionByName(new).unionByName(positive.join(snapshot.select("digest"), "digest", "left_anti"))
+def merged(snapshot: Snapshot, incoming: DataFrame) -> DataFrame:
+    """Groups of the snapshot and of an incoming batch (grouped(), cut) together: only digests that the filters let through meet
+    the snapshot's."""
+    screened = cut(screen(incoming, snapshot.filters))
+    met = snapshot.groups.unionByName(screened.filter("maybe").drop("maybe")).groupBy("digest").agg(F.max("best").alias("best"), F.sum("n").alias("n"))
+    return met.unionByName(screened.filter("not maybe").drop("maybe"))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -160,7 +183,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     The table is taken in as two batches, by a hash of the id: the first is the snapshot, the second is screened by its filters."""
     rows = cut(digests(docs))
     second = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 1
-    groups = merged(cut(grouped(rows.filter(~second))), cut(grouped(rows.filter(second))))
+    groups = merged(snapshot_of(grouped(rows.filter(~second))), cut(grouped(rows.filter(second))))
     out = rows.join(groups, "digest")
     keep_id = F.when(F.col("best.known"), F.bitwise_not("best.low_id"))
     return out.select(

@@ -48,6 +48,18 @@ def test_exact_dedup_of_odd_rows(spark, odd):
     assert exact_dedup.dedup(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_a_saved_snapshot_screens_later_batches(spark, documents, tmp_path):
+    rows = exact_dedup.cut(exact_dedup.digests(documents))
+    first, second, third = (exact_dedup.cut(exact_dedup.grouped(rows.filter(f"doc_id % 3 = {i}"))) for i in range(3))
+    exact_dedup.snapshot_of(first).save(str(tmp_path / "a"))
+    kept = exact_dedup.load(spark, str(tmp_path / "a"))
+    both = exact_dedup.merged(kept, second)
+    whole = exact_dedup.merged(exact_dedup.snapshot_of(both), third).select("digest", "n", "best.n_points")
+    assert made(whole, "digest", "n", "n_points") == made(exact_dedup.grouped(rows).select("digest", "n", "best.n_points"), "digest", "n", "n_points")
+    again = exact_dedup.screen(first, kept.filters)
+    assert again.filter("maybe").count() == first.count() and again.columns == [*first.columns, "maybe"]
+
+
 def test_substring_dedup_is_brute_force(documents, texts):
     got = made(substring_dedup.remove_repeats(documents), "doc_id", "n_words", "n_removed", "kept_sha256")
     assert got == sorted(brute.remove_repeats(pairs(texts)), key=repr)
