@@ -2,14 +2,15 @@
 with calibrated rejection.
 
 A text's subwords are the runs of 2, 3 and 4 code points of the lower-cased text, hashed into BUCKETS rows of an embedding
-table; the mean of their rows goes through one linear layer and a softmax. Training takes a bounded sample (SAMPLE rows of at
-most CLIP code points, the same number from each of at most LANGUAGES languages); a fifth of it calibrates a temperature and
-the score below which a prediction is rejected. Prediction takes every whole text, and only the text. Since mean and layer are
-linear, workers get one product table of BUCKETS x languages (its size does not depend on the data).
+table; the mean of their rows goes through one linear layer and a softmax. Training takes a bounded sample (SAMPLE rows shared by
+all languages, at least FEW of each), whole texts, which tasks turn into counts of at most BUCKETS subwords; a fifth of it calibrates
+a temperature and the score below which a prediction is rejected. Prediction takes every whole text, and only the text. Workers get
+the embeddings and the layer, or their product where that is smaller: its size depends on the number of languages alone.
 
 Defined results: a text that is null or has no letter is `und` with score 0 and rejected; without labelled rows every text is;
-ties between languages go to the first in order; null or repeated doc_ids are predicted like others, and null ids are neither
-held out nor learned from; other columns are ignored.
+ties between languages go to the first in order; null or repeated doc_ids and repeated rows are predicted like others, and null
+ids are neither held out nor learned from; a very long text is hashed whole, in slices; an empty table gives no rows; other
+columns are kept or ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,8 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Bounds of the training sample: rows, code points of a row, languages.
-SAMPLE, CLIP, LANGUAGES = 6000, 1500, 128
+#: Rows of the training sample, and of a language at least.
+SAMPLE, FEW = 4000, 8
+#: Code points of a text that are hashed at once.
+SLICE = 1_000_000
 BUCKETS, DIM, RUNS = 1 << 16, 16, (2, 3, 4)
 #: Passes over the sample (more over a small one, so that there are STEPS updates), learning rate.
 EPOCHS, STEPS, RATE, SEED = 4, 12_000, 8.0, 7
@@ -42,7 +45,7 @@ def held_out():
 
 def subwords(text: str) -> np.ndarray:
     """The bucket of every run of a text, spaces around it included."""
-    a = np.frombuffer(f" {text.lower()} ".encode("utf-32-le"), np.uint32)
+    a = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
     out = []
     for n in RUNS:
         if len(a) >= n:
@@ -53,14 +56,29 @@ def subwords(text: str) -> np.ndarray:
     return np.concatenate(out)
 
 
+def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of a text's subwords, and the share of each."""
+    rows, counts = np.unique(subwords(text), return_counts=True)
+    return rows.astype(np.int32), (counts / counts.sum()).astype(np.float32)
+
+
 class Model:
-    """A product table of buckets x languages, a bias, a temperature and the rejection threshold."""
+    """Rows of buckets (embeddings, or their product with the layer, which is None then), a bias, a temperature and the rejection
+    threshold."""
 
-    def __init__(self, languages: list[str], table: np.ndarray, bias: np.ndarray, temperature: float = 1.0, threshold: float = 0.0):
-        self.languages, self.table, self.bias, self.temperature, self.threshold = languages, table, bias, temperature, threshold
+    def __init__(self, languages: list[str], table: np.ndarray, layer: np.ndarray | None, bias: np.ndarray, temperature: float = 1.0, threshold: float = 0.0):
+        self.languages, self.table, self.layer, self.bias, self.temperature, self.threshold = languages, table, layer, bias, temperature, threshold
 
     def logits(self, text: str) -> np.ndarray:
-        return self.table[subwords(text)].mean(axis=0, dtype=np.float64) + self.bias
+        found = subwords(text)
+        if len(found) <= SLICE:
+            mean = self.table[found].mean(axis=0, dtype=np.float64)
+        else:
+            mean = sum(self.table[found[at : at + SLICE]].sum(axis=0, dtype=np.float64) for at in range(0, len(found), SLICE)) / len(found)
+        return self.of_mean(mean)
+
+    def of_mean(self, mean: np.ndarray) -> np.ndarray:
+        return (mean if self.layer is None else mean @ self.layer) + self.bias
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, calibrated score, rejected."""
@@ -73,18 +91,14 @@ class Model:
         return self.languages[best], float(p[best]), bool(p[best] < self.threshold)
 
 
-def train(texts: list[str], langs: list[str]) -> Model:
+def train(bags: list[tuple[np.ndarray, np.ndarray]], langs: list[str]) -> Model:
     languages = sorted(set(langs))
     if not languages:
-        return Model([], np.zeros((BUCKETS, 1), np.float32), np.zeros(1))
+        return Model([], np.zeros((BUCKETS, 1), np.float32), None, np.zeros(1))
     rng = np.random.default_rng(SEED)
     y = np.array([languages.index(x) for x in langs])
-    order = rng.permutation(len(texts))
+    order = rng.permutation(len(bags))
     calibration, learned = order[: len(order) // 5], order[len(order) // 5 :]
-    bags = {}
-    for i in learned:
-        rows, counts = np.unique(subwords(texts[i]), return_counts=True)
-        bags[i] = rows, (counts / counts.sum()).astype(np.float32)
     embedding = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     layer, bias = np.zeros((DIM, len(languages)), np.float32), np.zeros(len(languages), np.float32)
     epochs = max(EPOCHS, -(-STEPS // max(len(learned), 1)))
@@ -102,13 +116,14 @@ def train(texts: list[str], langs: list[str]) -> Model:
             layer -= rate * 0.05 * np.outer(hidden, p)
             bias -= rate * 0.05 * p
             step += 1
-    model = Model(languages, embedding @ layer, bias.astype(np.float64))
-    return calibrated(model, [texts[i] for i in calibration], y[calibration]) if len(calibration) else model
+    few = len(languages) <= DIM
+    model = Model(languages, embedding @ layer if few else embedding, None if few else layer.astype(np.float64), bias.astype(np.float64))
+    return calibrated(model, [bags[i] for i in calibration], y[calibration]) if len(calibration) else model
 
 
-def calibrated(model: Model, texts: list[str], y: np.ndarray) -> Model:
+def calibrated(model: Model, bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray) -> Model:
     """The temperature of least cross-entropy, and the threshold that rejects REJECTED of the right predictions."""
-    z = np.stack([model.logits(t) for t in texts])
+    z = np.stack([model.of_mean(share.astype(np.float64) @ model.table[rows]) for rows, share in bags])
 
     def softmax(t: float) -> np.ndarray:
         p = np.exp((z - z.max(axis=1, keepdims=True)) / t)
@@ -122,19 +137,30 @@ def calibrated(model: Model, texts: list[str], y: np.ndarray) -> Model:
 
 
 def learn(docs: DataFrame) -> Model:
-    """Trains on the bounded sample of docs' labelled rows that are not held out."""
-    labelled = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    langs = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    """Trains on the bounded sample of docs' labelled rows that are not held out. What comes to the driver is a row for each
+    language, and the sample's counts."""
+    labelled = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
+    langs = labelled.groupBy("lang").count().orderBy("lang").collect()
     if not langs:
         return train([], [])
-    each = SAMPLE // len(langs)
+    each = max(FEW, SAMPLE // len(langs))
     # a hash lets about twice as many rows through as are wanted, of each language its share; only those are ordered
     drawn = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 30))
     share = F.create_map(*[F.lit(x) for r in langs for x in (r["lang"], int(min(1.0, 2 * each / r["count"]) * (1 << 30)))])
-    sample = labelled.filter(drawn < share[F.col("lang")]).select("doc_id", "lang", F.substring("text", 1, CLIP).alias("text"))
-    first = W.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id")
-    rows = sample.withColumn("i", F.row_number().over(first)).filter(F.col("i") <= each).orderBy("lang", "i").collect()
-    return train([r["text"] for r in rows], [r["lang"] for r in rows])
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                bags = [bag(t.as_py()) for t in part.column("text")]
+                packed = [pa.array([x.astype(kind).tobytes() for x in c], pa.binary()) for c, kind in zip(zip(*bags, strict=True), ("<u2", "<f4"), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), *packed], ["doc_id", "lang", "rows", "shares"])
+
+    sample = labelled.filter(drawn < share[F.col("lang")]).mapInArrow(counted, "doc_id long, lang string, rows binary, shares binary")
+    first = W.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id", F.xxhash64("rows", "shares"))
+    table = sample.withColumn("i", F.row_number().over(first)).filter(F.col("i") <= each).orderBy("lang", "i").select("lang", "rows", "shares").toArrow()
+    bags = [(np.frombuffer(r.as_py(), "<u2").astype(np.int32), np.frombuffer(s.as_py(), "<f4")) for r, s in zip(table.column("rows"), table.column("shares"), strict=True)]
+    return train(bags, table.column("lang").to_pylist())
 
 
 def predictions(docs: DataFrame, model: Model) -> DataFrame:
