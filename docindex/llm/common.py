@@ -16,7 +16,7 @@ from ..session import shared_dir
 SPACE = r"[\x20\x09-\x0D]"
 NOT_SPACE = r"[^\x20\x09-\x0D]+"
 #: Bytes of texts that are hashed together, and of words in one run of prefix sums; a longer text or word is taken alone.
-SLICE_BYTES, RUN_BYTES = 4_000_000, 250_000
+SLICE_BYTES, RUN_BYTES = 1_000_000, 250_000
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -133,13 +133,13 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
     return out
 
 
-def text_slices(column: pa.Array) -> Iterator[tuple[int, int]]:
-    """(first, end) of runs of values that hold SLICE_BYTES together, or one longer value."""
+def text_slices(column: pa.Array, most: int | None = None) -> Iterator[tuple[int, int]]:
+    """(first, end) of runs of values that hold `most` bytes together (None: SLICE_BYTES), or one longer value."""
     at, sizes = 0, np.diff(bytes_of(column)[1]) if len(column) else np.empty(0, np.int64)
     total = np.cumsum(sizes)
     while at < len(sizes):
         before = total[at - 1] if at else 0
-        till = max(at + 1, int(np.searchsorted(total, before + SLICE_BYTES, side="right")))
+        till = max(at + 1, int(np.searchsorted(total, before + (most or SLICE_BYTES), side="right")))
         yield at, till
         at = till
 

@@ -159,8 +159,8 @@ def sets_and_heavy(docs: DataFrame) -> DataFrame:
 
 
 def signatures(docs: DataFrame, heavy: np.ndarray) -> DataFrame:
-    """key, class, class2, cell: the group contents by which a class meets others, each once a batch. Of common contents the cell
-    is told, and the key is one of the row's own."""
+    """key, class, cell: the group contents by which a class (half of its name is enough here) meets others, each once a batch. Of
+    common contents the cell is told, and the key is one of the row's own."""
     sent = docs.sparkSession.sparkContext.broadcast(heavy)
 
     def chosen(s: np.ndarray, c: int, common: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -186,13 +186,12 @@ def signatures(docs: DataFrame, heavy: np.ndarray) -> DataFrame:
                         met.clear()
                     for part in chosen(s, c[0], sent.value):
                         found.append(part)
-                        classes.append(np.tile(np.array(c, np.int64), (len(part[0]), 1)))
+                        classes.append(np.full(len(part[0]), c[0], np.int64))
                 if found:
                     key, cell, known = (np.concatenate(x) for x in zip(*found, strict=True))
-                    named = np.concatenate(classes)
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(named[:, 0]), pa.array(named[:, 1]), pa.array(cell, pa.int64(), mask=~known)], ["key", "class", "class2", "cell"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.concatenate(classes)), pa.array(cell, pa.int64(), mask=~known)], ["key", "class", "cell"])
 
-    return docs.mapInArrow(work, "key long, class long, class2 long, cell long")
+    return docs.mapInArrow(work, "key long, class long, cell long")
 
 
 class RTree:
@@ -398,16 +397,16 @@ def linked(docs: DataFrame) -> DataFrame:
     # common contents have keys of their own, so what a window holds is what few classes share
     by, name = W.partitionBy("key"), ["class", "class2"]
     met = signatures(rows.select("text"), heavy)
-    several = (F.min("class").over(by) != F.max("class").over(by)) | (F.min("class2").over(by) != F.max("class2").over(by))
-    met = met.select(*name, F.col("cell").alias("told"), F.min("class").over(by).alias("least"), several.alias("several"))
-    cells = met.filter("told is not null or several").select(F.coalesce("told", "least").alias("cell"), *name).distinct()
+    met = met.select("class", F.col("cell").alias("told"), F.min("class").over(by).alias("least"), F.max("class").over(by).alias("most"))
+    cells = met.filter("told is not null or least <> most").select(F.coalesce("told", "least").alias("cell"), "class").distinct()
 
     # one row of each class stands for it, and its number names the class from here on
     classes = first.filter("kind = 0 and n > 3").groupBy(*name).agg(F.min(F.struct("row_no", "key", "key2", "n", "counts")).alias("r")).select(*name, F.col("r.row_no").alias("node"), "r.key", "r.key2", "r.n", "r.counts")
-    cells = cut(cells.join(classes, name).select("cell", "node", "n", "counts", "key", "key2"))
+    cells = cut(cells.join(classes, "class").select("cell", "node", "n", "counts", "key", "key2"))
     near = cut(with_near(in_blocks(cells)))
     named = cells.join(near.select("node").distinct(), "node").select("node", "key", "key2").distinct()
-    texts = packed_text(rows, ["key", "key2"]).join(named, ["key", "key2"]).dropDuplicates(["node"])
+    # the texts are shuffled once, whatever the number of rows that are wanted: the plan is the same at every size
+    texts = packed_text(rows, ["key", "key2"]).join(named.hint("merge"), ["key", "key2"]).dropDuplicates(["node"])
     found = verified(near.join(texts.select("node", "packed"), "node"))
 
     tree = components(found)

@@ -40,6 +40,8 @@ from .common import bytes_of, cut, shared_dir, text_slices, word_spans
 
 #: Runs of at most RUN bytes that a worker remembers.
 RUNS_KEPT, RUN = 500_000, 48
+#: Bytes of texts whose runs are looked up together: the more, the fewer distinct ones to a byte.
+SLICE = 3_000_000
 # The settings of a vocabulary whose runs are independent. White space only separates; all is lower-cased.
 SETTINGS = {
     "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
@@ -124,7 +126,7 @@ class RunEncoder:
 
     def encode(self, column: pa.Array, end: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(ids of some texts one after the other, each with `end` behind it; how many each has), for slices of a binary column."""
-        for at, till in text_slices(column):
+        for at, till in text_slices(column, SLICE):
             part = column.slice(at, till - at)
             yield self._by_runs(part, end) if self.by_runs else self._whole(part, end)
 
