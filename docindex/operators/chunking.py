@@ -164,21 +164,27 @@ def chunk_source_texts(df: DataFrame, target: int = TARGET, least: int = 5) -> D
     return chunk_texts(df, F.lit("source"), target, OVERLAP, least)
 
 
-def chunk_files(files: DataFrame) -> DataFrame:
-    """C4: files (path, size, text) with route, stored_mime and chunks by their route; files without text have none."""
-    routed = route_files(files)
+def chunk_routed(files: DataFrame) -> DataFrame:
+    """C4: files (route, text) with chunks by their route; those without text, and too large ones, have none."""
     kind = F.when(F.col("route").isin("markdown", "docling", "legacy"), "markdown").when(F.col("route") == "source", "source").otherwise("plain")
-    routed = routed.withColumn("text", F.when(F.col("route") != "too_large", F.col("text")))
-    return chunk_texts(routed, kind)
+    return chunk_texts(files.withColumn("text", F.when(F.col("route") != "too_large", F.col("text"))), kind)
+
+
+def chunk_files(files: DataFrame) -> DataFrame:
+    """C4: files (path, size, text) with route, stored_mime and chunks. The text of a format that needs a converter has to be what
+    that made of it."""
+    return chunk_routed(route_files(files))
 
 
 def build_chunks(files: DataFrame, paths: DataFrame, parser_version: str, model_version: str, now_ms: int) -> DataFrame:
-    """The chunk table. files: file_id, path, size, text, mtime_ms, one row per file; paths: root_id, path, file_id.
+    """The chunk table. files: file_id, stored_mime, mtime_ms and chunks, or route and text to make them of; one row per file.
+    paths: root_id, path, file_id.
 
     root_ids are gathered per file from the (narrow) paths before they meet the chunks."""
     from .reports import root_ids
 
-    rows = chunk_files(files).select("file_id", "stored_mime", "mtime_ms", F.explode("chunks").alias("c"))
+    made = files if "chunks" in files.columns else chunk_routed(files)
+    rows = made.select("file_id", "stored_mime", "mtime_ms", F.explode("chunks").alias("c"))
     rows = rows.join(root_ids(paths), "file_id", "left")
     return rows.select(
         ids.point_id(F.col("file_id"), F.col("c.chunk_no")).alias("point_id"), "file_id", F.coalesce("root_ids", F.array().cast("array<string>")).alias("root_ids"), F.lit("body").alias("kind"),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.ids import sha256_hex
 from ..functions.paths import path_ext
 from ..functions.scalars import parse_modalities
+from ..session import stored
 from .reports import earliest_mtime, filter_files, find_pollution, open_jobs, root_ids
 from .routing import indexable
 from .upserts import delete_keys, set_chunk_roots
@@ -20,7 +21,6 @@ DRIFT, REINDEX, RESCAN = 2000, 1000, 500
 BY_IDS, BY_FILTER = 500, 10_000
 
 
-
 @dataclass
 class Ledger:
     """One snapshot of the tables that maintenance changes."""
@@ -79,8 +79,12 @@ def resolve_identity(batch: DataFrame, records: DataFrame, paths: DataFrame, ver
 
 
 def _after_paths(ledger: Ledger, left: DataFrame, touched: DataFrame, now_ms: int) -> Ledger:
-    """The ledger with `left` as paths: touched files without a path are tombstoned, the others get the roots they have left."""
-    roots = touched.join(root_ids(left.join(touched, "file_id", "left_semi")), "file_id", "left").select("file_id", F.coalesce("root_ids", F.array().cast("array<string>")).alias("new_roots"), F.lit(now_ms).cast("long").alias("at"))
+    """The ledger with `left` as paths: touched files without a path are tombstoned, the others get the roots they have left.
+
+    The roots left are a table of their own, one row a touched file: records, chunks and counts all read it."""
+    touched = touched.select("file_id").distinct()
+    roots = touched.join(root_ids(left.join(touched, "file_id", "left_semi")), "file_id", "left")
+    roots = stored(roots.select("file_id", F.coalesce("root_ids", F.array().cast("array<string>")).alias("new_roots"), F.lit(now_ms).cast("long").alias("at")))
     dead = roots.filter(F.size("new_roots") == 0).select("file_id", F.lit(True).alias("_gone"))
     records = ledger.records.join(dead, "file_id", "left").withColumn("tombstoned_at", F.when(F.col("_gone"), F.lit(now_ms).cast("long")).otherwise(F.col("tombstoned_at"))).select(ledger.records.columns)
     return Ledger(records, left, set_chunk_roots(ledger.chunks, roots), ledger.jobs)
@@ -90,7 +94,7 @@ def delete_paths(ledger: Ledger, keys: DataFrame, now_ms: int) -> Ledger:
     """M3: paths go; a file without any is tombstoned with its chunks, others lose roots. Unknown paths change nothing."""
     gone = ledger.paths.join(keys.select("root_id", "path").distinct(), ["root_id", "path"], "left_semi")
     left = ledger.paths.join(keys.select("root_id", "path").distinct(), ["root_id", "path"], "left_anti")
-    return _after_paths(ledger, left, gone.select("file_id").distinct(), now_ms)
+    return _after_paths(ledger, left, gone, now_ms)
 
 
 def retire_roots(ledger: Ledger, roots: DataFrame, now_ms: int) -> tuple[Ledger, DataFrame]:
@@ -99,7 +103,7 @@ def retire_roots(ledger: Ledger, roots: DataFrame, now_ms: int) -> tuple[Ledger,
     gone_roots = roots.select("root_id").distinct()
     gone = ledger.paths.join(gone_roots, "root_id", "left_semi")
     left = ledger.paths.join(gone_roots, "root_id", "left_anti")
-    out = _after_paths(ledger, left, gone.select("file_id").distinct(), now_ms)
+    out = _after_paths(ledger, left, gone, now_ms)
     dropped = None
     if ledger.jobs is not None:
         dropped = open_jobs(ledger.jobs).filter("op <> 'retire_root'").join(gone_roots, "root_id", "left_semi")

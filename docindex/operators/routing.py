@@ -13,8 +13,8 @@ MARKDOWN = (".md", ".markdown")
 CONVERTED = (".pdf", ".docx", ".pptx", ".xlsx", ".html", ".htm")
 LEGACY = (".doc", ".ppt", ".xls", ".wps")
 SOURCE = (".py", ".go", ".rs", ".ts", ".tsx", ".js", ".jsx", ".java", ".cpp", ".c", ".h", ".hpp", ".cs", ".rb", ".php", ".swift", ".kt", ".scala", ".sh", ".bash", ".sql", ".lua")
-#: Rules that become one expression at most; more are joined per path.
-RULES = 200
+#: Rules that become one expression at most; more are joined per path, up to so many different globs.
+RULES, GLOBS = 200, 20_000
 
 
 def route_files(files: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
@@ -22,6 +22,7 @@ def route_files(files: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
     ext = path_ext(F.col("path"))
     bare = F.regexp_replace(ext, r"^\.", "")
     route = F.when(F.col("size") > max_bytes, "too_large").when(ext.isin(*LEGACY), "legacy").when(ext.isin(*CONVERTED), "docling").when(ext.isin(*MARKDOWN), "markdown").when(ext.isin(*SOURCE), "source").otherwise("plain")
+    # fixed values: the mime strings that are stored
     mime = (
         F.when(F.col("route") == "too_large", F.concat(F.lit("application/x-too-large/"), bare))
         .when(F.col("route") == "legacy", F.concat(F.lit("text/markdown+libreoffice-docling/"), bare))
@@ -54,7 +55,10 @@ def indexable(paths: DataFrame, exts: DataFrame, rules: DataFrame) -> DataFrame:
         deny, allow = _by_rules(paths, [(r["root_id"], r["path_glob"], r["action"]) for r in few])
         ruled = paths.withColumn("_deny", deny).withColumn("_allow", allow)
     else:
-        patterns = paths.sparkSession.createDataFrame([(g["path_glob"], glob_regex(g["path_glob"])) for g in rules.select("path_glob").distinct().collect()], "path_glob string, _pattern string")
+        globs = rules.select("path_glob").distinct().limit(GLOBS + 1).collect()
+        if len(globs) > GLOBS:
+            raise ValueError(f"more than {GLOBS} globs")
+        patterns = paths.sparkSession.createDataFrame([(g["path_glob"], glob_regex(g["path_glob"])) for g in globs], "path_glob string, _pattern string")
         hits = paths.select("root_id", "path").distinct().join(rules.join(patterns, "path_glob"), "root_id").filter(F.expr("path rlike _pattern"))
         hits = hits.groupBy("root_id", "path").agg(F.bool_or(F.col("action") == "deny").alias("_deny"), F.bool_or(F.col("action") == "allow").alias("_allow"))
         ruled = paths.join(hits, ["root_id", "path"], "left")

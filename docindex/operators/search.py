@@ -22,14 +22,16 @@ BLOCK, SLICE = 20_000, 4096
 RERANKED = 20
 
 
-def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    return np.lexsort((ids, -scores))[:k]
+def best_of(scores: np.ndarray, order: np.ndarray, k: int) -> np.ndarray:
+    """Where the k best scores are, ties to the smaller `order`."""
+    near = np.flatnonzero(scores >= np.partition(scores, -k)[-k]) if len(scores) > k else np.arange(len(scores))
+    return near[np.lexsort((order[near], -scores[near]))[:k]]
 
 
 def top_k(queries: DataFrame, vectors: DataFrame, k: int, key: str, id_column: str) -> DataFrame:
     """query_id, id_column, score, rank: the k vectors of largest cosine among those with the query's key.
 
-    queries: query_id (long), key, dense. vectors: id_column (long), key, dense. Ties go to the smaller id."""
+    queries: query_id (long), key, dense. vectors: id_column (of any type that orders, unique), key, dense. Ties go to the smaller id."""
     pieces = lambda df, most, name: df.groupBy(key).agg(F.ceil(F.count("*") / most).cast("int").alias(name))
     sizes = pieces(vectors, BLOCK, "_salts").join(pieces(queries, SLICE, "_slices"), key)
     as_double = lambda c: F.transform(c, lambda x: x.cast("double"))
@@ -44,29 +46,35 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, key: str, id_column: s
 
     def block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({"query_id": [], "found": [], "score": []}).astype({"query_id": "int64", "found": "int64"})
+            return pd.DataFrame({"query_id": left["_q"].iloc[:0], "found": right["_id"].iloc[:0], "score": np.empty(0)})
         ids, asked, m = right["_id"].to_numpy(), left["_q"].to_numpy(), unit(right["_v"])
-        out = []
+        order, out = np.unique(ids, return_inverse=True)[1], []
         for at in range(0, len(left), 256):
             for i, line in zip(asked[at : at + 256], unit(left["_v"].iloc[at : at + 256]) @ m.T, strict=True):
                 # rounding differs between blocks in the last bits: ties are told at 12 digits
-                top = best_of(np.round(line, 12), ids, k)
+                top = best_of(np.round(line, 12), order, k)
                 out.append((np.full(len(top), i), ids[top], line[top]))
         query_id, found, score = (np.concatenate(x) for x in zip(*out, strict=True))
         return pd.DataFrame({"query_id": query_id, "found": found, "score": score})
 
-    found = q.groupBy("_key", "_salt", "_slice").cogroup(v.groupBy("_key", "_salt", "_slice")).applyInPandas(block, "query_id long, found long, score double")
+    found = q.groupBy("_key", "_salt", "_slice").cogroup(v.groupBy("_key", "_salt", "_slice")).applyInPandas(block, f"query_id long, found {vectors.schema[id_column].dataType.simpleString()}, score double")
     order = W.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "found")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).withColumnRenamed("found", id_column)
 
 
+def candidate_counts(queries: DataFrame, vectors: DataFrame, key: str = "user_id") -> DataFrame:
+    """query_id and how many vectors it is scored against, those of its own key."""
+    n = vectors.groupBy(key).agg(F.count("*").alias("candidates"))
+    return queries.select("query_id", key).join(n, key, "left").select("query_id", F.coalesce("candidates", F.lit(0)).alias("candidates"))
+
+
 def query_memory(queries: DataFrame, memory: DataFrame, k: int = 5) -> DataFrame:
-    """V1: the k nearest chunks of the same user, with their text, session, number and time."""
+    """V1: the k nearest points of the same user, with their text, session, number and time. Points go by point_id: chunk numbers
+    start anew in every session."""
     if not 1 <= k <= 50:
         raise ValueError("k 1..50")
-    found = top_k(queries, memory, k, "user_id", "chunk_no")
-    users = queries.select("query_id", "user_id")
-    return found.join(users, "query_id").join(memory.select("user_id", "chunk_no", "session_id", "text", "created_at"), ["user_id", "chunk_no"])
+    found = top_k(queries, memory, k, "user_id", "point_id")
+    return found.join(memory.select("point_id", "user_id", "session_id", "chunk_no", "text", "created_at"), "point_id")
 
 
 def query_notes(queries: DataFrame, notes: DataFrame, k: int = 10, statuses: list[str] | None = None, types: list[str] | None = None) -> DataFrame:
@@ -76,8 +84,8 @@ def query_notes(queries: DataFrame, notes: DataFrame, k: int = 10, statuses: lis
         rows = rows.filter(F.col("status").isin(statuses))
     if types:
         rows = rows.filter(F.col("type").isin(types))
-    found = top_k(queries, rows, k, "user_id", "chunk_no")
-    return found.join(queries.select("query_id", "user_id"), "query_id").join(rows.select("user_id", "chunk_no", "note_id", "type", "status"), ["user_id", "chunk_no"])
+    found = top_k(queries, rows, k, "user_id", "point_id")
+    return found.join(rows.select("point_id", "user_id", "note_id", "chunk_no", "text", "type", "status", "updated_at"), "point_id")
 
 
 def score_chunks(queries: DataFrame, chunks: DataFrame, key: str = "file_id") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.ids import content_id
+from ..functions.ids import content_id, memory_id, note_id
 from ..functions.paths import DEFAULT_EXTENSIONS
 
 BASE_MS = 1704067200000
@@ -145,6 +145,18 @@ def notes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select(F.col("label").cast("long").alias("user_id"), F.expr("vec_id div 3").alias("note_id"), v.alias("chunk_no"), text("v", v).alias("text"), F.when(v % 2 == 0, "fact").otherwise("plan").alias("type"), pick(("open", "done", "old"), "vec_id").alias("status"), F.col("embedding").alias("dense"))
 
 
+def memory_points(spark: SparkSession, d: str) -> DataFrame:
+    """The memory with chunk numbers that start anew in every session, and the ids of its points."""
+    m = memory(spark, d).withColumn("chunk_no", F.expr("chunk_no div 20"))
+    return m.withColumn("point_id", memory_id(F.col("user_id"), F.col("session_id"), F.col("chunk_no")))
+
+
+def note_points(spark: SparkSession, d: str) -> DataFrame:
+    """The notes with chunk numbers that start anew in every note, and the ids of their points."""
+    n = notes(spark, d).withColumn("updated_at", F.col("chunk_no") * 1000).withColumn("chunk_no", F.col("chunk_no") % 3)
+    return n.withColumn("point_id", note_id(F.col("user_id"), F.col("note_id"), F.col("chunk_no")))
+
+
 def assets(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("item_id")
     meta = F.when(i % 4 == 0, text('{"taken_at":"2024-01-', i % 28 + 1, '","place":"P', i, '"}')).when(i % 4 == 1, text('{"place":"P', i, '"}')).when(i % 4 == 2, text('{"taken_at":"2024"}')).otherwise("{}")
@@ -164,7 +176,7 @@ ENABLED = ", ".join(f"'{e}'" for e in DEFAULT_EXTENSIONS if e != DISABLED)
 
 #: The same tables for DuckDB; a query's own SQL follows.
 SQL = f"""
-WITH files AS (
+WITH RECURSIVE files AS (
   SELECT doc_id, 'r' || (doc_id % 7) AS root_id, lower({_pick(EXT9, "doc_id")}) AS ext,
          '/DATA/' || source || '/' || CASE doc_id % 13 WHEN 0 THEN '@eaDir' WHEN 1 THEN '.Trash-1000' WHEN 2 THEN 'x/../../Notes' ELSE 'docs' END || '/d' || doc_id || {_pick(EXT9, "doc_id")} AS path,
          text AS content, strlen(text) AS size, {BASE_MS} + doc_id * 1000 AS mtime_ms, left(sha256(text), 32) AS file_id, source

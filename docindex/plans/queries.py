@@ -15,7 +15,7 @@ from ..session import shared_dir, stored
 from ..sources import io
 from ..streaming import stream
 from . import fixtures as X
-from .indexing import index_files
+from .indexing import apply_jobs, converted, index_batch, index_files
 
 NOW = X.BASE_MS + 90 * 24 * 3_600_000
 JOBS_NOW = 978_307_200_000  # 2001-01-01, inside the orders' dates
@@ -107,7 +107,7 @@ def s7_write_table(s, d):
     folder = f"{shared_dir(s)}/tables-{uuid.uuid4().hex}"
     old = io.write_table(X.file_records(s, d).withColumn("size", F.when(F.col("vector_count") == 3, F.lit(-1)).otherwise(F.col("size"))), folder, "file_id")
     new = io.replace_buckets(old, X.file_records(s, d).filter("vector_count = 3"), folder, "file_id")
-    return s.read.parquet(new).drop("bucket")
+    return io.read_buckets(s, new)
 
 
 # --- projections and predicates
@@ -149,9 +149,11 @@ def p5_indexable(s, d):
     return routing.indexable(X.files(s, d).select("root_id", "path"), X.allowlist(s), X.rules(s))
 
 
-@query(", batch AS (SELECT * FROM parse_jobs WHERE done_at IS NULL) SELECT id, path, false AS gated FROM batch")
+@query(""", batch AS (SELECT id, CASE WHEN id % 8 = 1 THEN replace(path, '/DATA/', '/DATA/.Trash-7/') ELSE path END AS path, op IN ('index', 'reindex') AND id % 8 = 1 AS gated FROM parse_jobs WHERE done_at IS NULL) SELECT * FROM batch""")
 def p6_split_gated(s, d):
-    run, skipped = jobs.split_gated(reports.open_jobs(X.parse_jobs(s, d)))
+    """Some of the open jobs lie below a gate; those of them that index are skipped, deletions aren't."""
+    below = F.when(F.col("id") % 8 == 1, F.replace("path", F.lit("/DATA/"), F.lit("/DATA/.Trash-7/"))).otherwise(F.col("path"))
+    run, skipped = jobs.split_gated(reports.open_jobs(X.parse_jobs(s, d)).withColumn("path", below))
     return run.select("id", "path", F.lit(False).alias("gated")).unionByName(skipped.select("id", "path", F.lit(True).alias("gated")))
 
 
@@ -418,7 +420,18 @@ def chunk_rows(df: DataFrame, *keys: str) -> DataFrame:
     return df.select(*keys, F.explode("chunks").alias("c")).select(*keys, "c.*")
 
 
-@query()
+#: Packing by recursion: a stretch ends at the last line end that fits, and the next one starts with its tail.
+_PACKED = f""", lines AS (SELECT doc_id, text, length(text) AS n, list_sort(list_distinct(list_append(list_filter(list_transform(range(1, length(text) + 1), lambda i: CASE WHEN text[i] = chr(10) THEN i END), lambda x: x IS NOT NULL), length(text)))) AS ends FROM documents WHERE length(text) > 0),
+packed AS (
+  SELECT doc_id, text, n, ends, 0::BIGINT AS start, greatest(1, len(list_filter(ends, lambda x: x < {4 * (chunking.TARGET + 1)}))) AS taken FROM lines
+  UNION ALL
+  SELECT doc_id, text, n, ends, s, greatest(taken + 1, len(list_filter(ends, lambda x: x < s + {4 * (chunking.TARGET + 1)})))
+  FROM (SELECT *, CASE WHEN ends[taken] - start > {4 * chunking.OVERLAP} THEN ends[taken] - {4 * chunking.OVERLAP} ELSE start END AS s FROM packed WHERE taken < len(ends))),
+stretches AS (SELECT doc_id, start, taken = len(ends) AS last, n, ends[taken] AS stop, trim(text[start + 1:ends[taken]], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS text FROM packed) """
+
+
+@query(_PACKED + """SELECT doc_id, (row_number() OVER w - 1)::INT AS chunk_no, text, start::INT AS offset_start, CASE WHEN last THEN n ELSE stop END::INT AS offset_end, '' AS section, (row_number() OVER w - 1)::INT AS section_no
+FROM stretches WHERE text <> '' AND greatest(1, length(text) // 4) >= 5 WINDOW w AS (PARTITION BY doc_id ORDER BY start, stop)""")
 def c1_chunk_plain(s, d):
     return chunk_rows(chunking.chunk_plain_texts(X.table(s, d, "documents").select("doc_id", "text")), "doc_id")
 
@@ -435,7 +448,7 @@ def c3_chunk_source(s, d):
 
 @query()
 def c4_chunk_files(s, d):
-    return chunk_rows(chunking.chunk_files(X.files(s, d).select("path", "size", F.col("content").alias("text"))), "path", "route")
+    return chunk_rows(chunking.chunk_routed(converted(X.files(s, d).select("path", "size", "content"))), "path", "route")
 
 
 @query()
@@ -445,11 +458,56 @@ def c5_build_chunks(s, d):
 
 @query(", fine AS (SELECT * FROM fine_files WHERE indexable) SELECT file_id, min(path) AS path, count(*) AS n_paths, array_to_string(list_sort(list(DISTINCT root_id)), ',') AS root_ids FROM fine GROUP BY file_id")
 def flagship_index(s, d):
-    """The files of a batch by content: one copy, its paths and roots (the chunk table itself is c5_build_chunks)."""
+    """The files of a batch by content: one copy, its paths and roots (the whole plan is flagship_batch)."""
     rows = ledger.identified(routing.indexable(X.files(s, d), X.allowlist(s), X.rules(s)).filter("indexable"))
     return ledger.dedup_files(rows.select("file_id", "root_id", "path", "size", "mtime_ms")).select("file_id", "path", "n_paths", F.array_join("root_ids", ",").alias("root_ids"))
 
 
+#: Unknown files, outdated ones, dead ones, and paths that had another file before, told of the documents.
+_BEFORE = f""", batch AS (SELECT * FROM fine_files WHERE doc_id % 13 NOT IN (0, 1, 2)),
+old_paths AS (SELECT root_id, path, CASE WHEN doc_id % 3 = 0 THEN file_id ELSE 'old' || (doc_id % 10) END AS file_id FROM fine_files WHERE doc_id % 3 < 2 UNION ALL SELECT 'other', path, 'old' || (doc_id % 10) FROM fine_files WHERE doc_id % 97 = 5),
+old_records AS (SELECT DISTINCT file_id, left(file_id, 1) < '8' AS current, left(file_id, 1) IN ('0', '1') AS dead FROM fine_files WHERE doc_id % 2 = 0 UNION ALL SELECT DISTINCT 'old' || (doc_id % 10), true, false FROM fine_files),
+new_paths AS (SELECT root_id, path, file_id FROM batch UNION ALL SELECT root_id, path, file_id FROM old_paths o WHERE NOT EXISTS (SELECT 1 FROM batch b WHERE b.root_id = o.root_id AND b.path = o.path)),
+lost AS (SELECT DISTINCT o.file_id FROM old_paths o JOIN batch b ON b.root_id = o.root_id AND b.path = o.path WHERE o.file_id <> b.file_id AND o.file_id NOT IN (SELECT file_id FROM new_paths)),
+work AS (SELECT b.file_id, any_value(size) AS size, min(path) AS any_path, bool_or(indexable) AND NOT coalesce(bool_or(r.current), false) AS indexed, arg_min(ext, (NOT indexable, doc_id)) AS ext, arg_min(b.ext, path) AS first_ext FROM batch b LEFT JOIN old_records r ON r.file_id = b.file_id GROUP BY b.file_id)
+"""
+_STORED = "CASE WHEN size > 4194304 THEN 'application/x-too-large/' || ext[2:] WHEN ext = '.html' THEN 'text/markdown+docling/html' WHEN ext = '.pdf' THEN 'application/octet-stream/pdf' WHEN ext = '.md' THEN 'text/markdown' WHEN ext = '.py' THEN 'text/x-source' ELSE 'text/plain' END"
+
+
+def before_batch(s: SparkSession, d: str) -> ledger.Ledger:
+    """What the ledger knows of the documents' files before a batch of them comes."""
+    k, lead = F.col("doc_id"), F.substring("file_id", 1, 1)
+    rows = ledger.identified(X.files(s, d)).drop("content")
+    old = F.concat(F.lit("old"), k % 10)
+    was = rows.filter(k % 3 < 2).select("root_id", "path", F.when(k % 3 == 0, F.col("file_id")).otherwise(old).alias("file_id"), F.lit(1).cast("long").alias("mtime_ms"))
+    was = was.unionByName(rows.filter("doc_id % 97 = 5").select(F.lit("other").alias("root_id"), "path", old.alias("file_id"), F.lit(1).cast("long").alias("mtime_ms")))
+    known = rows.filter("doc_id % 2 = 0").select("file_id", F.when(lead < "8", VERSION).otherwise("parser/0.2.0").alias("parser_version"), F.when(lead.isin("0", "1"), 1).cast("long").alias("tombstoned_at")).distinct()
+    known = known.unionByName(rows.select(old.alias("file_id"), F.lit(VERSION).alias("parser_version"), F.lit(None).cast("long").alias("tombstoned_at")).distinct())
+    nothing = F.lit(None).cast("string")
+    records = known.select("file_id", F.col("file_id").alias("sha256_full"), F.lit(1).cast("long").alias("size"), F.lit("old").alias("mime"), F.lit('{"text":"hash/v1"}').alias("modalities_done"), "parser_version", F.lit(1).cast("long").alias("indexed_at"), "tombstoned_at", F.lit(1).cast("long").alias("vector_count"), nothing.alias("last_error"))
+    chunks = known.select(ids.point_id(F.col("file_id"), F.lit(0)).alias("point_id"), "file_id", F.array(F.lit("before")).alias("root_ids"), F.lit("body").alias("kind"), F.lit(0).alias("chunk_no"), F.lit("before").alias("text"), "tombstoned_at", F.lit(None).cast("array<float>").alias("dense"))
+    return ledger.Ledger(stored(records), stored(was), stored(chunks))
+
+
+@query(_BEFORE + f"""SELECT 'record' AS kind, w.file_id AS name, CASE WHEN indexed THEN {_STORED} WHEN r.file_id IS NOT NULL THEN 'old' ELSE {_MIME.replace("CASE ext", "CASE first_ext")} END || ' ' || CASE WHEN indexed OR r.file_id IS NULL THEN '{VERSION}' WHEN r.current THEN '{VERSION}' ELSE 'parser/0.2.0' END || ' -' AS value FROM work w LEFT JOIN old_records r ON r.file_id = w.file_id
+UNION ALL SELECT 'record', r.file_id, 'old ' || CASE WHEN current THEN '{VERSION}' ELSE 'parser/0.2.0' END || ' ' || CASE WHEN r.file_id IN (SELECT file_id FROM lost) THEN '{NOW}' WHEN dead THEN '1' ELSE '-' END FROM old_records r WHERE r.file_id NOT IN (SELECT file_id FROM work)
+UNION ALL SELECT 'path', root_id || '|' || path, file_id FROM new_paths""")
+def flagship_batch(s, d):
+    """The flagship in one plan: a batch of files through gate, identity, conversion, chunks and vectors into the ledger. Told are the
+    records and paths after it (the chunks are in flagship_chunks)."""
+    out = index_batch(before_batch(s, d), X.files(s, d), X.allowlist(s), X.rules(s), VERSION, "hash/v1", NOW, encoder=inference.hash_encoder(16)).ledger
+    dead = F.coalesce(F.col("tombstoned_at").cast("string"), F.lit("-"))
+    told = out.records.select(F.lit("record").alias("kind"), F.col("file_id").alias("name"), F.concat_ws(" ", "mime", "parser_version", dead).alias("value"))
+    return told.union(out.paths.select(F.lit("path"), F.concat_ws("|", "root_id", "path"), "file_id"))
+
+
+@query()
+def flagship_chunks(s, d):
+    """The chunks that flagship_batch leaves, with their vectors."""
+    out = index_batch(before_batch(s, d), X.files(s, d), X.allowlist(s), X.rules(s), VERSION, "hash/v1", NOW, encoder=inference.hash_encoder(16)).ledger
+    return out.chunks.select("point_id", "file_id", F.array_join("root_ids", ",").alias("root_ids"), "chunk_no", "text", "tombstoned_at", F.size("dense").alias("dim"))
+
+
 # --- inference
 
 
@@ -483,17 +541,24 @@ def e3_ingest_captions(s, d):
 # --- vector search
 
 
-_TOP = "SELECT query_id, chunk_no, round(score, 6) AS score, rank FROM (SELECT q.query_id, m.chunk_no, list_cosine_similarity(q.dense, m.dense) AS score, row_number() OVER (PARTITION BY q.query_id ORDER BY round(list_cosine_similarity(q.dense, m.dense), 12) DESC, m.chunk_no) AS rank FROM memory_queries q JOIN {} m ON m.user_id = q.user_id{}) WHERE rank <= {}"
+_POINTS = f""", points AS (SELECT user_id, session_id, chunk_no // 20 AS chunk_no, text, dense, created_at, {_uuid_sql(ids.MEMORY, "user_id || $$:$$ || session_id || $$:$$ || (chunk_no // 20)")} AS point_id FROM memory),
+note_points AS (SELECT user_id, note_id, chunk_no % 3 AS chunk_no, 'v' || chunk_no AS text, type, status, chunk_no * 1000 AS updated_at, dense, {_uuid_sql(ids.MEMORY, "$$note:$$ || user_id || $$:$$ || note_id || $$:$$ || (chunk_no % 3)")} AS point_id FROM notes) """
+_TOP = "SELECT query_id, {0}, round(score, 6) AS score, rank FROM (SELECT q.query_id, m.*, list_cosine_similarity(q.dense, m.dense) AS score, row_number() OVER (PARTITION BY q.query_id ORDER BY round(list_cosine_similarity(q.dense, m.dense), 12) DESC, m.point_id) AS rank FROM memory_queries q JOIN {1} m ON m.user_id = q.user_id{2}) WHERE rank <= {3}"
+
 
+@query("SELECT query_id, (SELECT count(*) FROM memory m WHERE m.user_id = q.user_id) AS candidates FROM memory_queries q")
+def j7_candidates(s, d):
+    return search.candidate_counts(X.memory_queries(s, d), X.memory_points(s, d))
 
-@query(_TOP.format("memory", "", 5))
+
+@query(_POINTS + _TOP.format("point_id, session_id, chunk_no, text, created_at", "points", "", 5))
 def v1_query_memory(s, d):
-    return search.query_memory(X.memory_queries(s, d), X.memory(s, d), 5).select("query_id", "chunk_no", F.round("score", 6).alias("score"), "rank")
+    return search.query_memory(X.memory_queries(s, d), X.memory_points(s, d), 5).select("query_id", "point_id", "session_id", "chunk_no", "text", "created_at", F.round("score", 6).alias("score"), "rank")
 
 
-@query(_TOP.format("notes", " AND m.status IN ('open', 'old') AND m.type = 'fact'", 10))
+@query(_POINTS + _TOP.format("point_id, note_id, chunk_no, text, type, status, updated_at", "note_points", " AND m.status IN ('open', 'old') AND m.type = 'fact'", 10))
 def v2_query_notes(s, d):
-    return search.query_notes(X.memory_queries(s, d), X.notes(s, d), 10, ["open", "old"], ["fact"]).select("query_id", "chunk_no", F.round("score", 6).alias("score"), "rank")
+    return search.query_notes(X.memory_queries(s, d), X.note_points(s, d), 10, ["open", "old"], ["fact"]).select("query_id", "point_id", "note_id", "chunk_no", "text", "type", "status", "updated_at", F.round("score", 6).alias("score"), "rank")
 
 
 @query("SELECT q.query_id, m.chunk_no, round(list_cosine_similarity(q.dense, m.dense), 6) AS score, row_number() OVER (PARTITION BY q.query_id ORDER BY round(list_cosine_similarity(q.dense, m.dense), 12) DESC, m.chunk_no) AS rank FROM memory_queries q JOIN memory m ON m.session_id = q.query_id % 20")
@@ -762,3 +827,18 @@ def t4_stream_apply(s, d):
     stream.stream_apply(feed, lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/applied/batch={n}"), f"{out}/state").awaitTermination()
     return s.read.parquet(f"{out}/applied").select("root_id", "path", "op", "seq")
 
+
+@query(_BEFORE + """SELECT root_id, path, file_id FROM fine_files WHERE doc_id % 97 <> 5 AND doc_id % 5 <> 0 AND doc_id % 13 NOT IN (0, 1, 2)
+UNION ALL SELECT o.root_id, o.path, o.file_id FROM old_paths o JOIN fine_files f ON f.root_id = o.root_id AND f.path = o.path WHERE f.doc_id % 97 = 5 OR (f.doc_id % 5 <> 0 AND f.doc_id % 13 IN (0, 1, 2))""")
+def t4_stream_ledger(s, d):
+    """The paths of the ledger that follows a stream of jobs on the documents' files: some paths are deleted, one root retires, the
+    others are indexed unless they lie below a gate."""
+    k, out = F.col("doc_id"), f"{shared_dir(s)}/stream-{uuid.uuid4().hex}"
+    op = F.when(k % 97 == 5, "retire_root").when(k % 5 == 0, "delete").otherwise("index")
+    retires = op == "retire_root"
+    todo = X.files(s, d).select(F.when(retires, "other").otherwise(F.col("root_id")).alias("root_id"), F.when(retires, "").otherwise(F.col("path")).alias("path"), op.alias("op"), F.lit(100).alias("priority"), F.col("mtime_ms").alias("detected_at"), F.col("id").alias("seq"))
+    src = io.write_table(todo.repartition(3), f"{out}/in")
+    feed = s.readStream.schema(s.read.parquet(src).schema).option("maxFilesPerTrigger", 2).parquet(src)
+    change = lambda before, batch: apply_jobs(before, batch, X.files(s, d), X.allowlist(s), X.rules(s), VERSION, "hash/v1", NOW)
+    stream.stream_ledger(feed, before_batch(s, d), change, f"{out}/ledger", f"{out}/state").awaitTermination()
+    return stream.read_ledger(s, stream.last_snapshot(s, f"{out}/ledger"), jobs=False).paths.select("root_id", "path", "file_id")

@@ -75,8 +75,10 @@ def html_to_markdown(html: str) -> str:
     return re.sub(r"\n{3,}", "\n\n", text).strip()
 
 
-def to_markdown(df: DataFrame, converter: Callable[[str], str] = html_to_markdown, content: str = "content") -> DataFrame:
-    """Df with `text` and `error`. A row that fails keeps its error and no text; raw bytes are never taken as text."""
+def to_markdown(df: DataFrame, converter: Callable[[str], str] = html_to_markdown, content: str = "content", only: str | None = None) -> DataFrame:
+    """Df with `text` and `error`. A row that fails keeps its error and no text; raw bytes are never taken as text.
+
+    only: a boolean column; rows where it doesn't hold keep their content as text."""
     schema = df.withColumns({c: F.lit(None).cast("string") for c in ("text", "error")}).schema
 
     def one(html: str | None) -> tuple[str | None, str | None]:
@@ -89,7 +91,8 @@ def to_markdown(df: DataFrame, converter: Callable[[str], str] = html_to_markdow
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                made = [one(h) for h in part.column(content).to_pylist()]
+                chosen = part.column(only).to_pylist() if only else [True] * part.num_rows
+                made = [one(h) if c else (h, None) for h, c in zip(part.column(content).to_pylist(), chosen, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([t for t, _ in made], pa.string()), pa.array([e for _, e in made], pa.string())], [*part.schema.names, "text", "error"])
 
     return df.mapInArrow(work, schema)
@@ -141,25 +144,50 @@ def export_captions(chunks: DataFrame, source: str, after_id: str | None, limit:
 
 
 def write_table(df: DataFrame, folder: str, key: str | None = None, buckets: int = 8) -> str:
-    """A new snapshot of a table below folder, and its path. With a key, rows are laid out by `bucket`, a hash of it, so that
-    a later replacement can leave other buckets alone. Nothing that a plan still reads is overwritten."""
+    """A new snapshot of a table below folder, and its path. With a key, rows are laid out by `bucket`, a hash of it: each
+    bucket in a folder of its own, listed in the snapshot's manifest (bucket, path). Nothing that a plan still reads is overwritten."""
     path = f"{folder.rstrip('/')}/snapshot-{uuid.uuid4().hex}"
     if key is None:
         df.write.parquet(path)
     else:
-        bucketed = df.withColumn("bucket", F.pmod(F.hash(key), F.lit(buckets)))
-        bucketed.repartition("bucket").write.partitionBy("bucket").parquet(path)
+        df.withColumn("bucket", F.pmod(F.hash(key), F.lit(buckets))).repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/data")
+        _write_manifest(df, path, {b: f"{path}/data/bucket={b}" for b in range(buckets)})
     return path
 
 
+def _write_manifest(df: DataFrame, path: str, paths: dict[int, str]) -> None:
+    """One row a bucket, and the schema of the table's rows as an empty table."""
+    spark = df.sparkSession
+    spark.createDataFrame(sorted(paths.items()), "bucket int, path string").coalesce(1).write.parquet(f"{path}/manifest")
+    df.limit(0).write.parquet(f"{path}/schema")
+
+
+def manifest(spark: SparkSession, path: str) -> dict[int, str]:
+    """Where each bucket of a bucketed snapshot is; as many rows as buckets."""
+    return {r["bucket"]: r["path"] for r in spark.read.parquet(f"{path}/manifest").collect()}
+
+
+def read_buckets(spark: SparkSession, path: str, only: list[int] | None = None) -> DataFrame:
+    """The rows of a bucketed snapshot, or of some of its buckets."""
+    schema = spark.read.parquet(f"{path}/schema").schema
+    found = [p for b, p in sorted(manifest(spark, path).items()) if only is None or b in only]
+    there = [p for p in found if _exists(spark, p)]  # a bucket without rows has no folder
+    return spark.read.schema(schema).parquet(*there) if there else spark.createDataFrame([], schema)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def replace_buckets(old_path: str, new: DataFrame, folder: str, key: str, buckets: int = 8) -> str:
-    """S7 for upserts: a new snapshot in which the rows of new keys replace the old ones; untouched buckets are copied as they
-    are, without a join."""
+    """S7 for upserts: a new snapshot in which the rows of new keys replace the old ones. Only the buckets of new rows are read and
+    written; the manifest names the folders of the others where they are."""
     spark = new.sparkSession
-    old = spark.read.parquet(old_path)
-    fresh = new.withColumn("bucket", F.pmod(F.hash(key), F.lit(buckets)))
-    touched = [r["bucket"] for r in fresh.select("bucket").distinct().collect()]  # at most `buckets`
-    rest = old.filter(F.col("bucket").isin(touched)).join(fresh.select(key).distinct(), key, "left_anti")
+    touched = [r["bucket"] for r in new.select(F.pmod(F.hash(key), F.lit(buckets)).alias("bucket")).distinct().collect()]  # at most `buckets`
+    rest = read_buckets(spark, old_path, touched).join(new.select(key).distinct(), key, "left_anti")
     path = f"{folder.rstrip('/')}/snapshot-{uuid.uuid4().hex}"
-    rest.unionByName(fresh).unionByName(old.filter(~F.col("bucket").isin(touched))).write.partitionBy("bucket").parquet(path)
+    rows = rest.unionByName(new).withColumn("bucket", F.pmod(F.hash(key), F.lit(buckets)))
+    rows.repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/data")
+    _write_manifest(new, path, manifest(spark, old_path) | {b: f"{path}/data/bucket={b}" for b in touched})
     return path

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.ledger import Ledger
 from ..operators.routing import events_to_jobs
 
 WINDOW, SLIDE, LATE = "10 minutes", "1 minute", "10 minutes"
@@ -56,11 +57,10 @@ def stream_throughput(jobs: DataFrame) -> DataFrame:
 
 def latest_per_path(jobs: DataFrame) -> DataFrame:
     """T4: the last job of each (root_id, path) of a batch; a retired root drops its other jobs, whatever their order."""
-    retired = jobs.filter("op = 'retire_root'").select("root_id").distinct()
-    rest = jobs.filter("op <> 'retire_root'").join(retired, "root_id", "left_anti")
-    last = rest.groupBy("root_id", "path").agg(F.max_by(F.struct("op", "priority", "detected_at", "seq"), F.struct("detected_at", "seq")).alias("j")).select("root_id", "path", "j.*")
-    roots = jobs.filter("op = 'retire_root'").groupBy("root_id").agg(F.max_by(F.struct("path", "op", "priority", "detected_at", "seq"), F.struct("detected_at", "seq")).alias("j")).select("root_id", "j.*")
-    return last.unionByName(roots)
+    retired = jobs.filter("op = 'retire_root'").select("root_id").distinct().withColumn("_retired", F.lit(True))
+    kept = jobs.join(retired, "root_id", "left").filter("op = 'retire_root' or _retired is null")
+    own = F.when(F.col("op") == "retire_root", "").otherwise(F.col("path"))
+    return kept.groupBy("root_id", own.alias("path")).agg(F.max_by(F.struct("op", "priority", "detected_at", "seq"), F.struct("detected_at", "seq")).alias("j")).select("root_id", "path", "j.*")
 
 
 def stream_apply(jobs: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
@@ -70,3 +70,39 @@ def stream_apply(jobs: DataFrame, apply: Callable[[DataFrame, int], None], check
         apply(latest_per_path(batch), number)
 
     return jobs.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+#: The tables of a ledger's snapshot.
+TABLES = ("records", "paths", "chunks", "jobs")
+
+
+def write_ledger(ledger: Ledger, path: str) -> None:
+    for name in TABLES:
+        if (table := getattr(ledger, name)) is not None:
+            table.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def read_ledger(spark: SparkSession, path: str, jobs: bool = True) -> Ledger:
+    return Ledger(*(spark.read.parquet(f"{path}/{name}") for name in TABLES[:3]), spark.read.parquet(f"{path}/jobs") if jobs else None)
+
+
+def stream_ledger(jobs: DataFrame, start: Ledger, change: Callable[[Ledger, DataFrame], Ledger], folder: str, checkpoint: str) -> StreamingQuery:
+    """T4: the ledger follows the stream of jobs. Each micro-batch reads the snapshot of the batch before it (number 0: `start`),
+    changes it by its compacted jobs, and writes a snapshot under its own number: a batch that is run again after a failure starts
+    from the same snapshot and replaces what it had written."""
+
+    spark = start.records.sparkSession  # not the stream's own: the changes are plans that adapt to what they meet
+
+    def one(batch: DataFrame, number: int) -> None:
+        path = f"{folder}/{number:012d}"
+        latest_per_path(batch).write.mode("overwrite").parquet(f"{path}/compacted")
+        before = read_ledger(spark, f"{folder}/{number - 1:012d}", start.jobs is not None) if number else start
+        write_ledger(change(before, spark.read.parquet(f"{path}/compacted")), path)
+
+    return jobs.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def last_snapshot(spark: SparkSession, folder: str) -> str:
+    """The folder of the newest snapshot that stream_ledger() wrote below folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return max(f.getPath().toString() for f in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path))

@@ -122,7 +122,7 @@ def test_events(spark):
     assert rows(got) == [("", "retire_root", 50), ("/a.md", "index", 100), ("/c.mov", "delete", 100)]
 
 
-def test_many_rules_are_joined(spark):
+def test_many_rules_are_joined(spark, monkeypatch):
     p = spark.createDataFrame([("r1", "/a/x.md"), ("r1", "/b/y.mov"), ("r2", "/a/x.md")], "root_id string, path string")
     exts = spark.createDataFrame([(".md", True)], "ext string, enabled boolean")
     few = [("r1", "/a/*", "deny"), ("r1", "*.mov", "allow")]
@@ -130,6 +130,9 @@ def test_many_rules_are_joined(spark):
     make = lambda x: spark.createDataFrame(x, "root_id string, path_glob string, action string")
     want = [("r1", "/a/x.md", False), ("r1", "/b/y.mov", True), ("r2", "/a/x.md", True)]
     assert rows(routing.indexable(p, exts, make(few))) == want == rows(routing.indexable(p, exts, make(many)))
+    monkeypatch.setattr(routing, "GLOBS", routing.RULES)
+    with pytest.raises(ValueError, match="globs"):
+        routing.indexable(p, exts, make(many))
 
 
 def test_sparse_weights():

@@ -58,11 +58,3 @@ def test_stream_rerun_adds_nothing(spark, tmp_path):
         feed = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 2).parquet(src)
         stream.stream_events_to_jobs(feed, exts, rules, out, state).awaitTermination()
         assert spark.read.parquet(out).count() == 20
-
-
-def test_replaced_buckets(spark, tmp_path):
-    old = spark.createDataFrame([(f"k{i}", i) for i in range(50)], "k string, v long")
-    a = io.write_table(old, str(tmp_path), "k")
-    b = io.replace_buckets(a, spark.createDataFrame([("k3", -1), ("new", -2)], "k string, v long"), str(tmp_path), "k")
-    got = dict(spark.read.parquet(b).select("k", "v").collect())
-    assert len(got) == 51 and got["k3"] == -1 and got["new"] == -2 and got["k4"] == 4
