@@ -8,10 +8,11 @@ import pytest
 
 import corpus_pipeline
 from docindex.llm import language_id, queries
+from docindex.llm.common import cut
 from docindex.llm.queries import vocabulary
 
 from . import brute
-from .conftest import SMALL
+from .conftest import ODD, SMALL
 
 
 def test_pipeline_is_its_stages_by_brute_force(spark, documents, texts):
@@ -40,11 +41,28 @@ def test_pipeline_is_its_stages_by_brute_force(spark, documents, texts):
     assert max(Counter(r["doc_id"] for r in rows).values()) <= 3
 
 
-def test_stages_keep_the_columns(spark, odd):
-    docs = odd
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stage(spark, docs, SMALL)
+def test_stages_on_odd_rows(spark, odd):
+    docs, kept = odd, {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = cut(stage(spark, docs, SMALL))
         assert docs.columns == odd.columns
+        kept[name] = [r["doc_id"] for r in docs.collect()]
+    assert not {3, 4, 5, 10} & set(kept["language_id"])  # no letters
+    assert set(kept["exact_dedup"]) <= set(kept["language_id"]) and len(set(kept["exact_dedup"])) == len(kept["exact_dedup"])
+    assert len([d for d in kept["exact_dedup"] if d in (1, 2)]) <= 1
+    assert len([d for d in kept["ngram_join"] if d in (8, 9)]) <= 1 and set(kept["ngram_join"]) <= set(kept["exact_dedup"])
+    assert set(kept["source_mix"]) <= set(kept["ngram_join"]) and max(Counter(kept["source_mix"]).values(), default=0) <= 3
+    # the last stage: one row for each of its own, nulls, blanks and repeats too
+    name, stage = corpus_pipeline.STAGES[-1]
+    rows = stage(spark, odd, SMALL).collect()
+    assert sorted(map(repr, (r["doc_id"] for r in rows))) == sorted(repr(o[0]) for o in ODD)
+    assert {r["n_tokens"] for r in rows if r["doc_id"] in (3, 4)} == {0}
+
+
+def test_pipeline_of_an_empty_table(spark, odd, tmp_path):
+    odd.limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() == 0 and out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
 
 
 def test_queries_against_sql(spark):
