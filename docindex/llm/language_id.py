@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 #: Rows of the training sample, and of a language at least.
 SAMPLE, FEW = 4000, 8
 #: Code points of a text that are hashed at once.
-SLICE = 1_000_000
+SLICE = 300_000
 BUCKETS, DIM, RUNS = 1 << 16, 16, (2, 3, 4)
 #: Passes over the sample (more over a small one, so that there are STEPS updates), learning rate.
 EPOCHS, STEPS, RATE, SEED = 4, 12_000, 8.0, 7
@@ -43,23 +43,27 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def subwords(text: str) -> np.ndarray:
-    """The bucket of every run of a text, spaces around it included."""
-    a = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
-    out = []
-    for n in RUNS:
-        if len(a) >= n:
-            h = a[: len(a) - n + 1] * np.uint32(MULTIPLIERS[0] + 2 * n)
-            for k in range(1, n):
-                h = (h ^ (h >> np.uint32(15))) + a[k : len(a) - n + 1 + k] * np.uint32(MULTIPLIERS[k])
-            out.append((h ^ (h >> np.uint32(13))) * np.uint32(MULTIPLIERS[3]) >> np.uint32(16))
-    return np.concatenate(out)
+def subwords(text: str) -> Iterator[np.ndarray]:
+    """The buckets of all runs of a text, spaces around it included, SLICE code points at a time."""
+    whole = f" {text.lower()} "
+    for at in range(0, len(whole), SLICE):
+        a = np.frombuffer(whole[at : at + SLICE + max(RUNS) - 1].encode("utf-32-le", "surrogatepass"), np.uint32)
+        out = [np.empty(0, np.uint32)]
+        for n in RUNS:
+            m = min(len(a) - n + 1, SLICE)  # runs that start here; they end in the next slice at the latest
+            if m > 0:
+                h = a[:m] * np.uint32(MULTIPLIERS[0] + 2 * n)
+                for k in range(1, n):
+                    h = (h ^ (h >> np.uint32(15))) + a[k : m + k] * np.uint32(MULTIPLIERS[k])
+                out.append((h ^ (h >> np.uint32(13))) * np.uint32(MULTIPLIERS[3]) >> np.uint32(16))
+        yield np.concatenate(out)
 
 
 def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
     """The buckets of a text's subwords, and the share of each."""
-    rows, counts = np.unique(subwords(text), return_counts=True)
-    return rows.astype(np.int32), (counts / counts.sum()).astype(np.float32)
+    counts = sum(np.bincount(found, minlength=BUCKETS) for found in subwords(text))
+    rows = np.flatnonzero(counts)
+    return rows.astype(np.int32), (counts[rows] / counts.sum()).astype(np.float32)
 
 
 class Model:
@@ -70,12 +74,10 @@ class Model:
         self.languages, self.table, self.layer, self.bias, self.temperature, self.threshold = languages, table, layer, bias, temperature, threshold
 
     def logits(self, text: str) -> np.ndarray:
-        found = subwords(text)
-        if len(found) <= SLICE:
-            mean = self.table[found].mean(axis=0, dtype=np.float64)
-        else:
-            mean = sum(self.table[found[at : at + SLICE]].sum(axis=0, dtype=np.float64) for at in range(0, len(found), SLICE)) / len(found)
-        return self.of_mean(mean)
+        total, n = 0.0, 0
+        for found in subwords(text):
+            total, n = total + self.table[found].sum(axis=0, dtype=np.float64), n + len(found)
+        return self.of_mean(total / n)
 
     def of_mean(self, mean: np.ndarray) -> np.ndarray:
         return (mean if self.layer is None else mean @ self.layer) + self.bias

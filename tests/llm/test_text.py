@@ -158,6 +158,17 @@ def test_language_id_of_odd_rows(spark, odd, documents):
     assert {r["lang_pred"] for r in one} <= {"en", "und"}
 
 
+def test_slices_of_a_text_have_all_its_runs(monkeypatch):
+    for text in ("", "a", "Ab", "abcÀ 𝄞x" * 9, "x" * 20, "σΣ Σ" * 7):
+        whole = np.sort(np.concatenate(list(language_id.subwords(text))))
+        rows, share = language_id.bag(text)
+        for size in (1, 2, 3, 7, 10):
+            monkeypatch.setattr(language_id, "SLICE", size)
+            assert np.array_equal(np.sort(np.concatenate(list(language_id.subwords(text)))), whole)
+            assert np.array_equal(language_id.bag(text)[0], rows) and np.array_equal(language_id.bag(text)[1], share)
+            monkeypatch.undo()
+
+
 def test_calibration_finds_a_temperature():
     rng = np.random.default_rng(1)
     texts = ["aaa bbb" * rng.integers(1, 5) for _ in range(60)] + ["ccc ddd" * rng.integers(1, 5) for _ in range(60)]
