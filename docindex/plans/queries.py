@@ -524,18 +524,27 @@ def conversation_pairs(s, d):
     return q.join(t.filter("role = 'assistant'"), "conv_id").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("candidate_id"), "query_text", "text")
 
 
-@query()
+#: The stand-in scorer: the share of the query's distinct words that the text has.
+_WORDS = "list_distinct(list_filter(string_split_regex(lower(coalesce({0}, '')), '\\s+'), lambda w: w <> ''))"
+_SIGMOID = "1 / (1 + exp(-({0})))"
+
+
+@query(f""", asked AS (SELECT conv_id, {_WORDS.format("text")} AS q FROM conversations WHERE role = 'user' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1),
+scored AS (SELECT c.conv_id AS query_id, c.turn AS candidate_id, {_SIGMOID.format(f"CASE WHEN len(q) = 0 THEN -2.0 ELSE 4.0::DOUBLE * len(list_intersect(q, {_WORDS.format('c.text')})) / len(q) - 2.0 END")} AS score FROM asked JOIN conversations c ON c.conv_id = asked.conv_id WHERE c.role = 'assistant')
+SELECT query_id, candidate_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, candidate_id) AS rank FROM scored QUALIFY rank <= 10""")
 def e2_rerank(s, d):
     # a turn comes once in a conversation, so that a run of CANDIDATES turns is a request at most
     request = F.floor(F.col("candidate_id") / inference.CANDIDATES)
     return inference.rerank(conversation_pairs(s, d), inference.overlap_scorer(), 10, request).select("query_id", "candidate_id", F.round("rerank_score", 6).alias("score"), "rank")
 
 
-@query()
+@query(f""", photos AS (SELECT 'photos:' || asset_id AS file_id, trim(caption, ' ' || chr(10) || chr(9)) || CASE WHEN taken IS NULL AND place IS NULL THEN '' ELSE chr(10) || 'Taken: ' || concat_ws(', ', taken, place) END AS text FROM assets WHERE source = 'photos')
+SELECT point_id, file_id, kind, d.text, NULL::INT AS dim FROM chunks c JOIN documents d ON c.point_id = 'pt' || lpad(d.doc_id::VARCHAR, 12, '0') WHERE kind = 'caption' AND NOT EXISTS (SELECT 1 FROM photos p WHERE p.file_id = c.file_id)
+UNION ALL SELECT {_uuid_sql(ids.OID, "file_id || $$:caption:0$$")}, file_id, 'caption', text, 16 FROM photos""")
 def e3_ingest_captions(s, d):
     old = X.chunks(s, d).filter("kind = 'caption'").select("point_id", "file_id", "root_ids", "kind", "text", "mtime_ms", "tombstoned_at")
     out = inference.ingest_captions(old, X.assets(s, d).filter("source = 'photos'"), inference.hash_encoder(16), NOW)
-    return out.select("point_id", "file_id", "kind", "text", F.size("dense").alias("dim"))
+    return out.select("point_id", "file_id", "kind", "text", F.array_size("dense").alias("dim"))
 
 
 # --- vector search
@@ -567,7 +576,9 @@ def v3_score_chunks(s, d):
     return search.score_chunks(q, X.memory(s, d), "session_id").select("query_id", "chunk_no", F.round("score", 6).alias("score"), "rank")
 
 
-@query()
+@query(f""", ranked AS (SELECT q.query_id, m.chunk_no, row_number() OVER (PARTITION BY q.query_id ORDER BY round(list_cosine_similarity(q.dense, m.dense), 12) DESC, m.chunk_no) AS rank FROM memory_queries q JOIN memory m ON m.chunk_no // 200 = q.query_id // 200),
+again AS (SELECT *, CASE WHEN rank <= {search.RERANKED} THEN {_SIGMOID.format("CASE WHEN query_id = chunk_no THEN 2.0 ELSE -2.0 END")} END AS score FROM ranked)
+SELECT query_id, chunk_no, rank, row_number() OVER (PARTITION BY query_id ORDER BY (rank > {search.RERANKED})::INT, score DESC, rank) AS final_rank, round(score, 6) AS rerank_score FROM again""")
 def v4_retrieve_rerank(s, d):
     # documents of 200 chunks, each asked by its own queries: the queries' ids have only two residues of the 20 sessions
     group = lambda v: F.expr(f"{v} div 200")
