@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, curve_search, exact_dedup, language_id, ngram_join, source_mix, substring_dedup, token_files, url_filter, whitening
+from . import byte_bpe, chat_format, curve_search, exact_dedup, language_id, ngram_join, quality, source_mix, substring_dedup, token_files, url_filter, whitening
 from .common import table
 
 #: Where the public vocabularies are; a parameter, never copied.
@@ -79,8 +79,12 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", (F.col("at") + 1).cast("int").alias("component"), F.lit(w.n).cast("long").alias("n"), "deviation", "whitened", explained.alias("explained"), F.lit(w.error).alias("identity_error"))
 
 
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_curve_search, op2_chat_format, op3_source_mix, op4_substring_dedup, op5_ngram_join, op6_url_filter, op7_byte_bpe, op8_exact_dedup, op9_language_id, op10_token_files, op11_whitening)}
+    return {f.__name__: f for f in (op1_curve_search, op2_chat_format, op3_source_mix, op4_substring_dedup, op5_ngram_join, op6_url_filter, op7_byte_bpe, op8_exact_dedup, op9_language_id, op10_token_files, op11_whitening, op12_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
