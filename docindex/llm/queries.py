@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, curve_search, exact_dedup, language_id, ngram_join, quality, source_mix, substring_dedup, token_files, url_filter, whitening
+from . import byte_bpe, chat_format, curve_search, exact_dedup, hard_negatives, language_id, ngram_join, quality, source_mix, substring_dedup, token_files, url_filter, whitening
 from .common import table
 
 #: Where the public vocabularies are; a parameter, never copied.
@@ -83,8 +83,14 @@ def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by = F.col("vec_id")
+    label = F.when(by % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", label), by % 50 == 0)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_curve_search, op2_chat_format, op3_source_mix, op4_substring_dedup, op5_ngram_join, op6_url_filter, op7_byte_bpe, op8_exact_dedup, op9_language_id, op10_token_files, op11_whitening, op12_quality)}
+    return {f.__name__: f for f in (op1_curve_search, op2_chat_format, op3_source_mix, op4_substring_dedup, op5_ngram_join, op6_url_filter, op7_byte_bpe, op8_exact_dedup, op9_language_id, op10_token_files, op11_whitening, op12_quality, op13_hard_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:

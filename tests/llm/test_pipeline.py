@@ -75,4 +75,4 @@ def test_queries_against_sql(spark):
 
 
 def test_every_operator_has_its_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 13))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 14))
