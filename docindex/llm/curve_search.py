@@ -16,7 +16,7 @@ true neighbours are found. Every vector is indexed. In data without any structur
 no ordering finds high-dimensional neighbours in a small share: that share is then large; on clustered vectors it is small.
 
 Defined results: vectors that are null, zero, of another length than most, or hold null or non-finite components take no part;
-with fewer than K candidates all are returned; scores that agree in 12 digits are ties, which go to the smaller vec_id; an empty
+with fewer than K candidates all are returned; scores are compared as they are, and equal ones go to the smaller vec_id; an empty
 table gives no rows; repeated rows, and ids repeated with other vectors, are vectors of their own, but no query finds its own
 id; other columns are ignored, whatever their names.
 """
@@ -41,8 +41,6 @@ CURVES, CURVE = (2, 4, 8, 12, 16, 24), 0.01
 DIMENSIONS, BITS, RANGES = 7, 6, 128
 TILE, QUERIES = 8192, 8192
 SAMPLE, PROBES, GOAL, SEED = 4096, 256, 0.94, 5
-#: Scores are compared by so many digits.
-DIGITS = 12
 
 
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -162,7 +160,7 @@ def tile_scores(asked: np.ndarray, points: np.ndarray, least: np.ndarray, k: int
         kth = np.partition(rough, -k, axis=1)[:, -k] if len(points) > k else np.full(len(some), -np.inf)
         q, p = np.nonzero(rough >= kth[:, None] - 1e-9)
         score = np.concatenate([cosines(some[q[i : i + 50_000]], points[p[i : i + 50_000]]) for i in range(0, len(q), 50_000)])
-        order = np.lexsort((least[p], -np.round(score, DIGITS), q))
+        order = np.lexsort((least[p], -score, q))
         q, p, score = q[order], p[order], score[order]
         first = np.searchsorted(q, q)
         kept = np.arange(len(q)) - first < k
@@ -226,7 +224,7 @@ def search(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
 
     found = points.unionByName(asked).groupBy("curve", "range", "part", "slice").applyInPandas(score, "asker long, node long, least long, score double")
     found = found.groupBy("asker", "node").agg(F.max("score").alias("score"), F.min("least").alias("least"))
-    best = F.desc(F.round("score", DIGITS))
+    best = F.desc("score")
     # one of the k + 1 classes may hold nothing but the query itself
     near = W.partitionBy("asker").orderBy(best, "least", "node")
     found = cut(found.withColumn("i", F.row_number().over(near)).filter(F.col("i") <= k + 1).drop("i", "least"))
