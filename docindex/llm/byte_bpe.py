@@ -5,7 +5,12 @@ The vocabulary file (byte-level BPE, JSON) is read on each worker from its path,
 added tokens are found first, the rest is split into pieces by the tokenizer's pattern, and every piece is merged by itself,
 so memory is that of one text. Pieces repeat; a worker remembers up to PIECES_KEPT of them.
 
-Defined results: null is the empty text, with no ids; repeated rows are encoded each; other columns are ignored.
+A vocabulary with other settings than those of SETTINGS (a normaliser, a prefix space, another splitting, dropout, added tokens that strip
+or that want whole words) is refused by name when it is read, as its ids would differ.
+
+Defined results: null is the empty text, with no ids; repeated rows, and null or repeated ids, are encoded each; a very long text is
+encoded whole, and a very long piece (letters without a break) is merged as one, by its queue, without being remembered; an empty table gives no
+rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +28,9 @@ from pyspark.sql import functions as F
 
 #: Pieces of at most PIECE bytes that a worker remembers; older ones go when there are more.
 PIECES_KEPT, PIECE = 300_000, 64
-# The pattern of byte-level BPE vocabularies.
+# The settings that a vocabulary may have, as the file names them, and the pattern of byte-level BPE vocabularies.
+SETTINGS = {"normalizer": (None,), "model.type": ("BPE",), "model.dropout": (None, 0, 0.0), "model.continuing_subword_prefix": (None, ""), "model.end_of_word_suffix": (None, ""), "model.byte_fallback": (None, False), "model.ignore_merges": (None, False), "pre_tokenizer.type": ("ByteLevel",), "pre_tokenizer.add_prefix_space": (False,), "pre_tokenizer.use_regex": (None, True), "decoder.type": ("ByteLevel",)}
+ADDED = {"single_word": (None, False), "lstrip": (None, False), "rstrip": (None, False)}
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
@@ -34,11 +41,30 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def checked(spec: dict) -> dict:
+    """spec, if the vocabulary has no settings but those that Codec follows; else an error that names the first other one."""
+    for name, fine in SETTINGS.items():
+        value = spec
+        for part in name.split("."):
+            value = (value or {}).get(part)
+        if value not in fine:
+            raise ValueError(f"vocabulary setting {name} is {value!r}, not one of {fine}")
+    for token in spec.get("added_tokens") or []:
+        for name, fine in ADDED.items():
+            if token.get(name) not in fine:
+                raise ValueError(f"added token {token['content']!r}: {name} is {token[name]!r}, not one of {fine}")
+    letters, vocab = byte_letters(), spec["model"]["vocab"]
+    if missing := [c for c in letters if c not in vocab]:
+        raise ValueError(f"vocabulary has no token for the bytes {[letters[c] for c in missing]}")
+    return spec
+
+
 class Codec:
     """Encodes and decodes with the vocabulary at path."""
 
     def __init__(self, path: str):
-        spec = json.load(open(path, encoding="utf-8"))
+        with open(path, encoding="utf-8") as f:
+            spec = checked(json.load(f))
         letters, model = byte_letters(), spec["model"]
         vocab = {bytes(letters[c] for c in token): i for token, i in model["vocab"].items()}
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
@@ -48,7 +74,7 @@ class Codec:
             a, b = as_bytes(a), as_bytes(b)
             self.ranks[vocab[a], vocab[b]] = (rank, vocab[a + b])
         self.single = [vocab[bytes([b])] for b in range(256)]
-        self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.added = {t["content"]: t["id"] for t in spec.get("added_tokens") or []}
         self.is_added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.pieces = regex.compile(PATTERN)
         size = max([*vocab.values(), *self.added.values()]) + 1
