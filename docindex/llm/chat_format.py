@@ -17,7 +17,7 @@ chain never ends; level is null); of results: orphan, or repeated (a later resul
 Defined results: null texts are plain messages with null content; calls without an identifier are unanswered, each by itself;
 rows with a null conv_id belong to no conversation, so nothing links them: their calls are unanswered, their results orphans;
 `after` an unknown identifier counts as none; arguments that aren't an object are invalid, and so are those with a key that comes
-twice (they read as null); ties in turn go to the smaller text; of equal rows, one is the call or its answer, and the others are
+twice (they read as null); integers are numbers without a point or exponent, of 38 digits at most; ties in turn go to the smaller text; of equal rows, one is the call or its answer, and the others are
 duplicate or repeated; a very long text is one value, parsed by itself; an empty table gives no rows; other columns are ignored,
 whatever their names.
 """
@@ -34,7 +34,7 @@ from .common import cut
 #: tool -> argument -> (type, required). Types: string, integer, number, boolean, array, object.
 Schemas = dict[str, dict[str, tuple[str, bool]]]
 # How schema_of_variant names the JSON types.
-TYPES = {"string": "^STRING$", "integer": "^BIGINT$", "number": "^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$", "boolean": "^BOOLEAN$", "array": "^ARRAY", "object": "^OBJECT"}
+TYPES = {"string": "^STRING$", "integer": r"^(BIGINT|DECIMAL\((19|[23]\d),0\))$", "number": "^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$", "boolean": "^BOOLEAN$", "array": "^ARRAY", "object": "^OBJECT"}
 MESSAGE = "tool_calls array<struct<id string, name string, arguments variant, after string>>, tool_call_id string, content string"
 
 
