@@ -8,8 +8,8 @@ twice are then compared whole, by 128-bit hashes, and no pairs are ever formed.
 
 Documents with equal texts count once: where there are several, all their words repeat, and beyond that only what other texts
 share with them matters. (Texts are told apart by 128 bits.) Occurrences of one hash are counted where they are met first: a task sends one row per hash and batch, and what occurs twice
-inside a batch is known to repeat without leaving it. A passage that a third of all documents share thus sends one row per
-batch, not one per document. Each document's repeated places come back to it by a key of its content, and its words are
+inside a batch is known to repeat without leaving it, as does all that the task meets of it afterwards. A passage that a third of all
+documents share thus sends one row per task, not one per document; one that no batch (a million words) holds twice has few rows. Each document's repeated places come back to it by a key of its content, and its words are
 removed in one pass.
 
 Defined results: null is a text without words; documents shorter than a window keep all words; repeated rows repeat each
@@ -32,6 +32,8 @@ from .common import cut, hashed_words, mixed, packed_text, rolling, unpacked
 WINDOW, SEED = 35, 29
 #: Words that are put together before hashes are counted in a task.
 BATCH_WORDS = 1_000_000
+#: Hashes that a task remembers as repeating.
+HEADS = 1_000_000
 # Perfect difference sets, by period.
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18), 57: (0, 1, 3, 13, 32, 36, 43, 52), 73: (0, 1, 3, 7, 15, 31, 36, 54, 63)}
 
@@ -49,8 +51,43 @@ def anchor_places(n: int, window: int) -> np.ndarray:
     return np.flatnonzero(np.isin(np.arange(max(0, last + 1)) % period, places)) if n >= window else np.empty(0, np.int64)
 
 
-def counted(keys: np.ndarray, second: np.ndarray, doc: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
-    """Rows of one batch: (key, second, doc, place, run).
+class Heads:
+    """Pairs of hashes that a task has already told to repeat: HEADS of them, of which the older half goes when there are more."""
+
+    def __init__(self):
+        self.parts: list[np.ndarray] = []
+
+    def has(self, keys: np.ndarray, second: np.ndarray) -> np.ndarray:
+        pairs, out = as_pairs(keys, second), np.zeros(len(keys), bool)
+        for part in self.parts:
+            at = np.minimum(np.searchsorted(part["key"], keys), len(part) - 1)
+            out |= part[at] == pairs
+        return out
+
+    def add(self, keys: np.ndarray, second: np.ndarray) -> None:
+        """Pairs that aren't there yet. Of pairs with one key the first is remembered."""
+        if len(keys):
+            pairs = np.sort(as_pairs(keys, second), order=("key", "second"))
+            self.parts.append(pairs[np.unique(pairs["key"], return_index=True)[1]])
+            if len(self.parts) > 8:  # few parts, so that looking up stays quick
+                self.parts[:] = [self.joined(self.parts)]
+            if sum(map(len, self.parts)) > HEADS:
+                del self.parts[: max(1, len(self.parts) // 2)]
+
+    @staticmethod
+    def joined(parts: list[np.ndarray]) -> np.ndarray:
+        pairs = np.sort(np.concatenate(parts), order=("key", "second"))
+        return pairs[np.unique(pairs["key"], return_index=True)[1]]
+
+
+def as_pairs(keys: np.ndarray, second: np.ndarray) -> np.ndarray:
+    out = np.empty(len(keys), [("key", np.uint64), ("second", np.uint64)])
+    out["key"], out["second"] = keys, second
+    return out
+
+
+def counted(keys: np.ndarray, second: np.ndarray, doc: np.ndarray, place: np.ndarray, told: Heads | None = None) -> pa.RecordBatch:
+    """Rows of one batch: (key, second, doc, place, run). told: what earlier batches of the task have told to repeat.
 
     An occurrence alone in its batch goes out under its key. For one that isn't, the key goes out once without a document
     (twice is enough to know), and the known repeats go out under a key of their own, in runs of neighbouring places."""
@@ -60,8 +97,12 @@ def counted(keys: np.ndarray, second: np.ndarray, doc: np.ndarray, place: np.nda
     again = np.zeros(len(k), bool)
     again[1:] |= same
     again[:-1] |= same
-    alone = order[~again]
     heads = order[again & np.concatenate([[True], ~same])] if len(k) else order
+    if told is not None:
+        again |= told.has(k, s)
+        heads = heads[~told.has(keys[heads], second[heads])]
+        told.add(keys[heads], second[heads])
+    alone = order[~again]
     known = np.sort(order[again])
     d, p = doc[known], place[known]
     start = np.ones(len(known), bool)
@@ -85,10 +126,10 @@ def counted(keys: np.ndarray, second: np.ndarray, doc: np.ndarray, place: np.nda
 OCCURRENCES = "key long, second long, doc long, place int, run int"
 
 
-def _emit(pending: list[tuple], size: int) -> Iterator[pa.RecordBatch]:
+def _emit(pending: list[tuple], size: int, told: Heads) -> Iterator[pa.RecordBatch]:
     if size:
         keys, second, doc, place = (np.concatenate(x) for x in zip(*pending, strict=True))
-        rows = counted(keys, second, doc, place)
+        rows = counted(keys, second, doc, place, told)
         for at in range(0, rows.num_rows, 50_000):
             yield rows.slice(at, 50_000)
 
@@ -110,7 +151,7 @@ def anchors(docs: DataFrame, window: int) -> DataFrame:
     period, _ = cover(window)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pending, size, words_in, met = [], 0, 0, set()
+        pending, size, words_in, met, told = [], 0, 0, set(), Heads()
         for b in batches:
             new = fresh(b.column("doc").to_pylist(), met)
             doc, texts = b.column("doc").filter(new).to_numpy(), b.column("text").filter(new)
@@ -123,9 +164,9 @@ def anchors(docs: DataFrame, window: int) -> DataFrame:
                     pending.append((hashes[a + at], np.zeros(len(at), np.uint64), np.full(len(at), d, np.int64), at))
                     size, words_in = size + len(at), words_in + z - a
                 if words_in >= BATCH_WORDS:
-                    yield from _emit(pending, size)
+                    yield from _emit(pending, size, told)
                     pending, size, words_in = [], 0, 0
-        yield from _emit(pending, size)
+        yield from _emit(pending, size, told)
 
     return docs.mapInArrow(work, OCCURRENCES)
 
@@ -135,7 +176,7 @@ def windows(docs: DataFrame, window: int) -> DataFrame:
     period, _ = cover(window)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pending, size, met = [], 0, set()
+        pending, size, met, told = [], 0, set(), Heads()
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
@@ -151,9 +192,9 @@ def windows(docs: DataFrame, window: int) -> DataFrame:
                         pending.append((keys[a + p], second[a + p], np.full(len(p), d, np.int64), p))
                         size += len(p)
                     if size >= BATCH_WORDS // 2:
-                        yield from _emit(pending, size)
+                        yield from _emit(pending, size, told)
                         pending, size = [], 0
-        yield from _emit(pending, size)
+        yield from _emit(pending, size, told)
 
     return docs.mapInArrow(work, OCCURRENCES)
 
