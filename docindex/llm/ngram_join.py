@@ -34,10 +34,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, hashed_words, mixed, packed_text, rolling, unpacked
+from .common import cut, hashed_words, mixed, own_columns, packed_text, rolling, unpacked, unused
 from .components import components
 
 SHINGLE = 5
@@ -394,11 +393,12 @@ def linked(docs: DataFrame) -> DataFrame:
     heavy = np.array([(r["key"] & (1 << 64) - 1, r["n"], r["cell"]) for r in common], dtype=[("sig", np.uint64), ("n", np.int64), ("cell", np.int64)])
     heavy.sort(order="sig")
 
-    # common contents have keys of their own, so what a window holds is what few classes share
-    by, name = W.partitionBy("key"), ["class", "class2"]
-    met = signatures(rows.select("text"), heavy)
-    met = met.select("class", F.col("cell").alias("told"), F.min("class").over(by).alias("least"), F.max("class").over(by).alias("most"))
-    cells = met.filter("told is not null or least <> most").select(F.coalesce("told", "least").alias("cell"), "class").distinct()
+    # keys are summed up where they are met, and those that several classes have come back by a join: no task gathers a key's rows
+    name = ["class", "class2"]
+    met = cut(signatures(rows.select("text"), heavy))
+    own = met.filter("cell is null").select("key", "class")
+    shared = own.groupBy("key").agg(F.min("class").alias("cell"), F.max("class").alias("most")).filter("cell <> most").select("key", "cell")
+    cells = met.filter("cell is not null").select("cell", "class").unionByName(own.join(shared, "key").select("cell", "class")).distinct()
 
     # one row of each class stands for it, and its number names the class from here on
     classes = first.filter("kind = 0 and n > 3").groupBy(*name).agg(F.min(F.struct("row_no", "key", "key2", "n", "counts")).alias("r")).select(*name, F.col("r.row_no").alias("node"), "r.key", "r.key2", "r.n", "r.counts")
@@ -426,15 +426,16 @@ def representatives(docs: DataFrame) -> DataFrame:
 
     The keys of the rows that go are few beside the texts, and a table of their own: its size tells Spark whether to send it to
     the texts or to shuffle both."""
-    same = linked(docs).groupBy(F.col("key").alias("_k"), F.col("key2").alias("_k2")).agg(F.bool_or("kept").alias("_kept"), F.count("*").alias("_n"))
-    gone = cut(same.filter("not _kept or _n > 1"))
+    k, k2, kept, n, own, own2 = unused(docs, "_k", "_k2", "_kept", "_n", "_own", "_own2")
+    same = linked(docs).groupBy(F.col("key").alias(k), F.col("key2").alias(k2)).agg(F.bool_or("kept").alias(kept), F.count("*").alias(n))
+    gone = cut(same.filter(~F.col(kept) | (F.col(n) > 1)))
     key, key2 = keys(docs)
-    rows = docs.withColumn("_own", key).withColumn("_own2", key2)
-    on = (F.col("_own") == F.col("_k")) & (F.col("_own2") == F.col("_k2"))
-    once = rows.join(gone, on, "left_anti").select(docs.columns)
-    twins = gone.filter("_kept")
+    rows = docs.withColumn(own, key).withColumn(own2, key2)
+    on = (F.col(own) == F.col(k)) & (F.col(own2) == F.col(k2))
+    once = rows.join(gone, on, "left_anti").select(own_columns(docs))
+    twins = gone.filter(kept)
     if twins.isEmpty():
         return once
-    plain = [F.col(c) for c in docs.columns if not docs.schema[c].dataType.typeName().startswith(("map", "variant", "array", "struct"))]
-    again = rows.join(twins, on).groupBy("_k", "_k2").agg(F.max_by(F.struct(*docs.columns), F.xxhash64(*plain)).alias("r")).select("r.*")
+    plain = [c for c, f in zip(own_columns(docs), docs.schema, strict=True) if not f.dataType.typeName().startswith(("map", "variant", "array", "struct"))]
+    again = rows.join(twins, on).groupBy(k, k2).agg(F.max_by(F.struct(*own_columns(docs)), F.xxhash64(*plain)).alias("r")).select("r.*")
     return once.unionByName(again)
