@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, mixed
+from .common import cut, mixed, own_columns, unused
 
 #: Distinct digests that one filter holds on average.
 BUCKET = 50_000
@@ -200,13 +200,14 @@ def distinct_texts(docs: DataFrame) -> DataFrame:
     """The rows of docs that dedup() keeps, with all their columns.
 
     Of rows with one id and one text, which no key tells apart, the longest original stays."""
-    rows = dedup(docs).groupBy(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).agg(F.bool_or("kept").alias("_kept"), F.count("*").alias("_n"))
-    gone = cut(rows.filter("not _kept or _n > 1"))
-    keyed = docs.withColumn("_sha_own", F.sha2(normalised(F.col("text")).cast("binary"), 256))
+    of, sha, own, kept, n = unused(docs, "_id", "_sha", "_own", "_kept", "_n")
+    rows = dedup(docs).groupBy(F.col("doc_id").alias(of), F.col("text_sha256").alias(sha)).agg(F.bool_or("kept").alias(kept), F.count("*").alias(n))
+    gone = cut(rows.filter(~F.col(kept) | (F.col(n) > 1)))
+    keyed = docs.withColumn(own, F.sha2(normalised(F.col("text")).cast("binary"), 256))
     # texts are shuffled once, whatever the number of rows that go: the plan is the same at every size
-    met = keyed.join(gone.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_sha_own") == F.col("_sha")), "left")
-    once = met.filter("_sha is null").select(docs.columns)
-    if gone.filter("_kept").isEmpty():
+    met = keyed.join(gone.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col(of)) & (F.col(own) == F.col(sha)), "left")
+    once = met.filter(F.col(sha).isNull()).select(own_columns(docs))
+    if gone.filter(kept).isEmpty():
         return once
-    twins = met.filter("_kept").groupBy("_sha").agg(F.max_by(F.struct(*docs.columns), F.char_length(F.coalesce("text", F.lit("")))).alias("r")).select("r.*")
+    twins = met.filter(kept).groupBy(sha).agg(F.max_by(F.struct(*own_columns(docs)), F.char_length(F.coalesce("text", F.lit("")))).alias("r")).select("r.*")
     return once.unionByName(twins)

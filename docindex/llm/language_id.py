@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import own_columns, unused
+
 #: Rows of the training sample, and of a language at least.
 SAMPLE, FEW = 4000, 8
 #: Code points of a text that are hashed at once.
@@ -165,31 +167,35 @@ def learn(docs: DataFrame) -> Model:
     return train(bags, table.column("lang").to_pylist())
 
 
-def predictions(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with lang_pred, score and rejected; a narrow pass."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(model)
-    schema = f"{docs.select(*docs.columns)._jdf.schema().toDDL()}, _lang_pred STRING, _score DOUBLE, _rejected BOOLEAN"
+def predictions(docs: DataFrame, model: Model) -> tuple[DataFrame, list[str]]:
+    """(docs with the prediction beside its own columns, the names of language, score and rejected); a narrow pass."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    names = unused(docs, "lang_pred", "score", "rejected")
+    # columns pass the workers under plain names, as not every name of a table can be asked for there
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    schema = plain.withColumns({"lang_pred": F.lit(None).cast("string"), "score": F.lit(None).cast("double"), "rejected": F.lit(None).cast("boolean")}).schema
+    at_text = [c.lower() for c in docs.columns].index("text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for b in batches:
             for at in range(0, b.num_rows, 1024):
                 part = b.slice(at, 1024)
-                found = [m.predict(t.as_py()) for t in part.column("text")]
+                found = [m.predict(t.as_py()) for t in part.column(at_text)]
                 lang, score, rejected = zip(*found)
                 extra = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())]
-                yield pa.RecordBatch.from_arrays([*part.columns, *extra], [*part.schema.names, "_lang_pred", "_score", "_rejected"])
+                yield pa.RecordBatch.from_arrays([*part.columns, *extra], schema.names)
 
-    return docs.mapInArrow(work, schema)
+    return plain.mapInArrow(work, schema).toDF(*docs.columns, *names), names
 
 
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected of every row."""
-    rows = predictions(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), learn(docs))
-    return rows.select("doc_id", held_out().alias("held_out"), F.col("_lang_pred").alias("lang_pred"), F.col("_score").alias("score"), F.col("_rejected").alias("rejected"))
+    rows, _ = predictions(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), learn(docs))
+    return rows.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def identified(docs: DataFrame) -> DataFrame:
     """The rows of docs that are not rejected, with their own columns."""
-    return predictions(docs, learn(docs)).filter("not _rejected").select(docs.columns)
+    rows, (_, _, rejected) = predictions(docs, learn(docs))
+    return rows.filter(~F.col(rejected)).select(own_columns(docs))

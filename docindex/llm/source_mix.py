@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, cut
+from .common import NOT_SPACE, cut, own_columns, unused
 
 #: Words of a block, and so of a slot.
 BLOCK = 1024
@@ -138,9 +138,10 @@ def mix(docs: DataFrame, weights: DataFrame | None = None) -> tuple[DataFrame, D
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix as documents: each row as often as the mix takes it (the one that a source's last slot cuts counts as whole)."""
-    taken = mix(docs)[0].filter("taken > 0").groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"))
-    taken = taken.agg(F.sum(F.ceil(F.col("taken") / F.col("size"))).alias("_times"), F.count("*").alias("_rows"))
+    of, source, words, times, n, own, copy = unused(docs, "_id", "_source", "_size", "_times", "_rows", "_own", "_copy")
+    taken = mix(docs)[0].filter("taken > 0").groupBy(F.col("doc_id").alias(of), F.col("source").alias(source), F.col("size").alias(words))
+    taken = taken.agg(F.sum(F.ceil(F.col("taken") / F.col("size"))).alias(times), F.count("*").alias(n))
     size = F.coalesce(F.regexp_count("text", F.lit(NOT_SPACE)), F.lit(0)).cast("long")
-    rows = docs.withColumn("_own", size).join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_own") == F.col("_size")))
-    rows = rows.withColumn("_times", F.expr("cast(ceil(_times / _rows) as int)"))
-    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_copy")).drop("_copy")
+    rows = docs.withColumn(own, size).join(taken, F.col("doc_id").eqNullSafe(F.col(of)) & F.col("source").eqNullSafe(F.col(source)) & (F.col(own) == F.col(words)))
+    rows = rows.withColumn(times, F.ceil(F.col(times) / F.col(n)).cast("int"))
+    return rows.select(*own_columns(docs), F.explode(F.sequence(F.lit(1), F.col(times))).alias(copy)).drop(copy)

@@ -213,3 +213,39 @@ def test_components(spark):
     got = components(spark.createDataFrame(edges, "a long, b long"))
     assert {r["node"]: r["root"] for r in got.collect()} == want
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_a_task_tells_once_what_repeats():
+    told, rng = substring_dedup.Heads(), np.random.default_rng(3)
+    often, sent = rng.integers(0, 1 << 62, 50).astype(np.uint64), 0
+    for batch in range(12):
+        own = rng.integers(0, 1 << 62, 200).astype(np.uint64)
+        keys = np.concatenate([own, often, often if batch == 0 else often[:0]])
+        rows = substring_dedup.counted(keys, mixed_second(keys), np.full(len(keys), batch), np.arange(len(keys)), told).to_pydict()
+        sent += sum(k in set(often.view(np.int64).tolist()) for k in rows["key"])
+        # every occurrence goes out: by itself, or in a run that is known to repeat
+        assert sum(1 for r, d in zip(rows["run"], rows["doc"], strict=True) if r == 1) == 200
+        assert -sum(r for r in rows["run"] if r < 0) == len(keys) - 200
+    assert sent == 50
+    assert not told.has(often, often).any() and told.has(often, mixed_second(often)).all()
+
+
+def mixed_second(keys):
+    return common.mixed(keys)
+
+
+def test_substring_dedup_with_small_batches_and_a_short_memory(documents, texts, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "BATCH_WORDS", 700)
+    monkeypatch.setattr(substring_dedup, "HEADS", 40)
+    got = made(substring_dedup.remove_repeats(documents.coalesce(2)), "doc_id", "n_words", "n_removed", "kept_sha256")
+    assert got == sorted(brute.remove_repeats(pairs(texts)), key=repr)
+
+
+def test_ngram_join_of_a_key_that_most_documents_share(spark, monkeypatch):
+    # no content counts as common, so one key has a row of each document
+    monkeypatch.setattr(ngram_join, "HEAVY", 0)
+    rng = random.Random(8)
+    shared = " ".join(f"s{i}" for i in range(12))
+    rows = [(i, shared + " " + " ".join(rng.choice("abcdefgh") + str(rng.randint(0, 400)) for _ in range(rng.choice([1, 2, 60])))) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    assert made(ngram_join.linked(df), "doc_id", "n_shingles", "component_id") == sorted(brute.linked(rows), key=repr)

@@ -100,6 +100,13 @@ def test_tool_calls(spark):
     assert chat_format.linked(df.limit(0), SCHEMAS).count() == 0
 
 
+def test_whole_numbers_of_any_size_are_integers(spark):
+    kinds = {"1": True, "12345678901234567890123": True, "-9223372036854775809": True, "1.0": False, "1.5": False, "true": False, '"1"': False, "null": False}
+    rows = [(i, 1, "assistant", '{"tool_calls":[{"id":"a","name":"f","arguments":{"n":%s}}]}' % v) for i, v in enumerate(kinds)]
+    got = chat_format.linked(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), {"f": {"n": ("integer", True)}}).collect()
+    assert {r["conv_id"]: r["valid"] for r in got} == dict(enumerate(kinds.values()))
+
+
 def test_equal_rows_and_rows_without_a_conversation(spark):
     call = '{"tool_calls":[{"id":"a","name":"add","arguments":{"x":1,"y":2}}]}'
     rows = [(1, 1, "assistant", call)] * 2 + [(1, 2, "tool", '{"tool_call_id":"a","content":"3"}')] * 3 + [(None, 1, "assistant", call), (None, 2, "tool", '{"tool_call_id":"a","content":"3"}')]
@@ -130,10 +137,10 @@ def test_hilbert_neighbours_touch():
 
 
 def nearest(ids, x, q, k=5):
-    """[(id, cosine)] of the k nearest rows to row q by every pair, ties (in 12 digits) to the smaller id."""
+    """[(id, cosine)] of the k nearest rows to row q by every pair, ties to the smaller id."""
     x = x / np.abs(x).max(axis=1, keepdims=True)
-    s = [float(np.dot(x[q], y) / np.sqrt(np.dot(x[q], x[q]) * np.dot(y, y))) for y in x]
-    order = sorted((i for i in range(len(x)) if ids[i] != ids[q]), key=lambda i: (-round(s[i], 12), ids[i]))
+    s = [float(np.dot(x[q], y) / (np.sqrt(np.dot(x[q], x[q])) * np.sqrt(np.dot(y, y)))) for y in x]
+    order = sorted((i for i in range(len(x)) if ids[i] != ids[q]), key=lambda i: (-s[i], ids[i]))
     return [(ids[i], s[i]) for i in order[:k]]
 
 
@@ -184,17 +191,29 @@ def test_search_of_the_given_embeddings(spark, size):
 
 
 def test_search_gives_ties_to_the_smaller_id(spark):
-    # 30 multiples of the query by powers of two have scores that are equal to the bit, 30 by other factors about that
+    # 30 multiples of the query by powers of two have scores that are equal to the bit
     rows = [(0, [1.0, 2.0, 4.0])] + [(i, [c * 2.0**i for c in (1.0, 2.0, 4.0)]) for i in range(1, 31)]
     rng = np.random.default_rng(5)
     more = rows + [(i, (rng.standard_normal(3)).tolist()) for i in range(51, 400) if i % 50]
-    for table in (rows, more, [(i, [c * f for c in v]) for (i, v), f in zip(rows, np.linspace(1, 9, 31).tolist(), strict=True)]):
+    for table in (rows, more):
         got = searched(spark.createDataFrame(table, "vec_id long, embedding array<double>").repartition(5))
         assert [v for v, _ in got[0]] == [1, 2, 3, 4, 5] and all(abs(s - 1) < 1e-12 for _, s in got[0])
     got = searched(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
     assert len({s for _, s in got[0]}) == 1
 
 
+def test_search_orders_by_exact_scores(spark):
+    # cosines that differ by about 1e-14 only: the nearest ones have the largest ids
+    rows = [(0, [1.0, 0.0])] + [(i, [1.0, 0.01 - 1e-12 * i]) for i in range(1, 8)]
+    found = searched(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))[0]
+    assert [v for v, _ in found] == [7, 6, 5, 4, 3] and all(a > b for (_, a), (_, b) in zip(found, found[1:], strict=False))
+    # multiples by other factors than powers of two: as the last bits of their scores have it
+    factors = np.linspace(1, 9, 31).tolist()
+    x = np.array([[c * f for c in (1.0, 2.0, 4.0)] for f in factors])
+    found = searched(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"))[0]
+    assert found == sorted(found, key=lambda p: (-p[1], p[0])) and all(abs(s - 1) < 1e-12 for _, s in found)
+
+
 def test_search_of_large_and_tiny_doubles(spark):
     rng = np.random.default_rng(6)
     x = rng.standard_normal((120, 8))

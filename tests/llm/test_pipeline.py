@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from docindex.llm import language_id, queries
@@ -59,6 +60,34 @@ def test_stages_on_odd_rows(spark, odd):
     assert {r["n_tokens"] for r in rows if r["doc_id"] in (3, 4)} == {0}
 
 
+#: Every name that a stage gives a helper column, and names that need quotes.
+CLASHES = "_id _kept _sha _sha_own _n _k _k2 _own _own2 _size _source _times _rows _copy _rejected _score _lang_pred rejected score lang_pred i r key key2 node cell row_no digest best taken size Kept a.b c`d e`.f".split() + ["white space", "", "_ID2"]
+
+
+def test_stages_keep_columns_of_any_name(spark, odd, documents):
+    plain = documents.select("doc_id", "text", "lang", "source", "n_chars").unionByName(odd.select("doc_id", "text", "lang", "source", "n_chars"))
+    names = [c for c in CLASHES if c]
+    more = plain.select("*", *[F.lit(n).alias(c) for n, c in enumerate(names)], F.col("text").alias("_text"))
+    a, b = plain, more
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        a, b = cut(stage(spark, a, SMALL)), cut(stage(spark, b, SMALL))
+        assert b.columns == more.columns, name
+        ids = [sorted(map(repr, (r["doc_id"] for r in t.select("doc_id").collect()))) for t in (a, b)]
+        assert ids[0] == ids[1] and len(ids[0]), name
+        quoted = ["`" + c.replace("`", "``") + "`" for c in names]
+        assert b.select(*quoted).distinct().collect() == [tuple(range(len(names)))], name
+    last = corpus_pipeline.STAGES[-1][1]
+    assert sorted(map(tuple, last(spark, a, SMALL).collect()), key=repr) == sorted(map(tuple, last(spark, b, SMALL).collect()), key=repr)
+
+
+def test_pipeline_run_with_columns_that_clash(spark, odd, tmp_path):
+    names = ["_id", "_kept", "_sha", "_n", "_k", "_source", "_rejected", "rejected"]
+    odd.write.parquet(str(tmp_path / "plain/documents.parquet"))
+    odd.select("*", *[F.lit(1).alias(c) for c in names]).write.parquet(str(tmp_path / "more/documents.parquet"))
+    a, b = (sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path / d)).collect()), key=repr) for d in ("plain", "more"))
+    assert a == b
+
+
 def test_pipeline_of_an_empty_table(spark, odd, tmp_path):
     odd.limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     out = corpus_pipeline.run(spark, str(tmp_path))

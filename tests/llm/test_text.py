@@ -37,6 +37,29 @@ def test_byte_bpe_is_the_library():
         assert own.decode(ids) == lib.decode(want, skip_special_tokens=False)
 
 
+@pytest.mark.parametrize(
+    ("where", "value"),
+    [("pre_tokenizer.add_prefix_space", True), ("pre_tokenizer.use_regex", False), ("pre_tokenizer.type", "Whitespace"), ("normalizer", {"type": "NFC"}), ("model.dropout", 0.1), ("model.ignore_merges", True), ("model.byte_fallback", True), ("model.end_of_word_suffix", "</w>"), ("added_tokens.0.lstrip", True), ("added_tokens.0.single_word", True)],
+)
+def test_byte_bpe_refuses_settings_that_it_does_not_follow(where, value):
+    spec = json.load(open(BYTE, encoding="utf-8"))
+    assert byte_bpe.checked(spec) is spec
+    *path, last = where.split(".")
+    for part in path:
+        spec = spec[int(part)] if part.isdigit() else spec[part]
+    spec[last] = value
+    whole = json.load(open(BYTE, encoding="utf-8"))
+    at = whole
+    for part in path[:-1] if path else []:
+        at = at[int(part)] if part.isdigit() else at[part]
+    if path:
+        at[int(path[-1]) if path[-1].isdigit() else path[-1]] = spec
+    else:
+        whole = spec
+    with pytest.raises(ValueError, match=last):
+        byte_bpe.checked(whole)
+
+
 def test_byte_bpe_forgets_old_pieces(monkeypatch):
     monkeypatch.setattr(byte_bpe, "PIECES_KEPT", 10)
     own = byte_bpe.Codec(BYTE)
@@ -144,12 +167,12 @@ def test_language_id_on_held_out(documents, texts):
 
 def test_language_id_of_odd_rows(spark, odd, documents):
     model = language_id.learn(documents)
-    rows = language_id.predictions(odd, model).collect()
+    rows = language_id.predictions(odd, model)[0].collect()
     for r in rows:
         if r["text"] is None or not any(c.isalpha() for c in r["text"]):
-            assert (r["_lang_pred"], r["_score"], r["_rejected"]) == ("und", 0.0, True)
+            assert (r["lang_pred"], r["score"], r["rejected"]) == ("und", 0.0, True)
         else:
-            assert r["_lang_pred"] in model.languages
+            assert r["lang_pred"] in model.languages
     assert language_id.identified(documents).columns == documents.columns
     unlabelled = odd.withColumn("lang", F.lit(None).cast("string"))
     assert {r["lang_pred"] for r in language_id.identify(unlabelled).collect()} == {"und"}
