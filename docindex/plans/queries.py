@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from ..functions import ids, paths, scalars
 from ..operators import chunking, inference, jobs, ledger, reports, routing, search, upserts, verify
 from ..session import shared_dir, stored
-from ..sources import io
-from ..streaming import stream
+from ..sources import io, layout
+from ..streaming import feed, store, stream
 from . import fixtures as X
 from .indexing import apply_jobs, converted, index_batch, index_files
 
@@ -105,8 +105,8 @@ def s6_export_captions(s, d):
 @query("SELECT * FROM file_records")
 def s7_write_table(s, d):
     folder = f"{shared_dir(s)}/tables-{uuid.uuid4().hex}"
-    old = io.write_table(X.file_records(s, d).withColumn("size", F.when(F.col("vector_count") == 3, F.lit(-1)).otherwise(F.col("size"))), folder, "file_id")
-    new = io.replace_buckets(old, X.file_records(s, d).filter("vector_count = 3"), folder, "file_id")
+    old = io.write_table(X.file_records(s, d).withColumn("size", F.when(F.col("vector_count") == 3, F.lit(-1)).otherwise(F.col("size"))), folder, "file_id", 12)
+    new = io.replace_buckets(old, X.file_records(s, d).filter("vector_count = 3"), folder)
     return io.read_buckets(s, new)
 
 
@@ -814,6 +814,19 @@ def t1_stream_events(s, d):
     return s.read.parquet(f"{out}/jobs").drop("batch")
 
 
+@query("SELECT * FROM event_jobs")
+def t1_feed_source(s, d):
+    """The events as a keyset feed in pages, followed by a stream that is stopped and started again half-way."""
+    out = f"{shared_dir(s)}/stream-{uuid.uuid4().hex}"
+    events = X.file_events(s, d)
+    for half in (events.filter("seq % 2 = 0"), events.filter("seq % 2 = 1")):
+        # the second half's events lie between the first half's: moved behind them by an era, and back when they are told
+        era = F.when(F.col("seq") % 2 == 1, F.lit(1 << 50)).otherwise(0)
+        feed.publish(half.withColumn("detected_at", F.col("detected_at") + era), f"{out}/feed", 5000)
+        stream.stream_events_to_jobs(feed.read_feed(s, f"{out}/feed"), X.allowlist(s), X.rules(s), f"{out}/jobs", f"{out}/state").awaitTermination()
+    return s.read.parquet(f"{out}/jobs").drop("batch").withColumn("detected_at", F.col("detected_at") % (1 << 50))
+
+
 @query(f", c AS (SELECT 'u' || user_id AS feed, CASE WHEN user_id % 7 = 0 THEN 0 ELSE min(epoch_us(ts) // 1000) END AS since_ms, min(event_id) AS last_seq, max(epoch_us(ts) // 1000) AS top, any_value(user_id) AS u FROM events GROUP BY user_id) SELECT feed, CASE WHEN u % 3 = 0 THEN 5 ELSE {NOW} END AS detected_at, since_ms, last_seq, top AS archive_cutoff_ms, u % 6 = 0 AS triggered, u % 6 <> 0 AS fire FROM c WHERE u % 7 <> 0 AND since_ms < top AND u % 5 <> 0")
 def t2_cursor_gap(s, d):
     u = F.col("user_id")
@@ -825,6 +838,40 @@ def t2_cursor_gap(s, d):
     return stream.cursor_gap_transition(cursors, horizons, gaps, NOW)
 
 
+def gap_polls(s: SparkSession, d: str) -> DataFrame:
+    """A poll of the user's feed for each event, with a horizon before or behind its cursor, and the word that a verify started after
+    some of them."""
+    e, t = F.col("event_id"), F.col("t")
+    rows = X.table(s, d, "events").select("user_id", "event_id", X.epoch_ms("ts").alias("t"))
+    own = [F.concat(F.lit("u"), "user_id").alias("feed"), e.alias("at"), F.when(e % 11 == 0, 0).otherwise(t).alias("since_ms"), e.alias("last_seq"), (t + F.when(e % 3 < 2, 1000).otherwise(-1000)).alias("archive_cutoff_ms"), (e % 5 != 0).alias("has_archived")]
+    return rows.select(*own, F.lit(False).alias("started")).unionByName(rows.filter(e % 2 == 0).select(*own, F.lit(True).alias("started")))
+
+
+@query(""", p AS (SELECT 'u' || user_id AS feed, event_id AS polled_at, CASE WHEN event_id % 11 = 0 THEN 0 ELSE epoch_us(ts) // 1000 END AS since_ms, epoch_us(ts) // 1000 + CASE WHEN event_id % 3 < 2 THEN 1000 ELSE -1000 END AS cutoff, event_id % 5 <> 0 AS told, s AS started,
+  row_number() OVER (PARTITION BY user_id ORDER BY event_id, s) AS n FROM events, (VALUES (false), (true)) v(s) WHERE NOT s OR event_id % 2 = 0),
+q AS (SELECT *, told AND since_ms > 0 AND since_ms < cutoff AS behind FROM p),
+walk AS (
+  SELECT feed, 0::BIGINT AS n, NULL::BIGINT AS polled_at, NULL::VARCHAR AS step, NULL::BIGINT AS g, NULL::BIGINT AS g_since, NULL::BIGINT AS g_cutoff, NULL::BOOLEAN AS trig, NULL::BIGINT AS was, NULL::BIGINT AS w_since, NULL::BIGINT AS w_cutoff, NULL::BOOLEAN AS w_trig FROM (SELECT DISTINCT feed FROM q)
+  UNION ALL
+  SELECT q.feed, q.n, q.polled_at,
+    CASE WHEN q.started THEN CASE WHEN g IS NOT NULL AND NOT trig THEN 'started' END WHEN NOT told THEN NULL WHEN NOT behind THEN CASE WHEN g IS NOT NULL THEN 'cleared' END WHEN g IS NULL THEN 'recorded' WHEN NOT trig THEN 'retried' END,
+    CASE WHEN q.started OR NOT told THEN g WHEN NOT behind THEN NULL ELSE coalesce(g, q.polled_at) END,
+    CASE WHEN q.started OR NOT told OR g IS NOT NULL THEN g_since ELSE q.since_ms END, CASE WHEN q.started OR NOT told OR g IS NOT NULL THEN g_cutoff ELSE q.cutoff END,
+    CASE WHEN q.started THEN g IS NOT NULL WHEN NOT told OR g IS NOT NULL THEN trig ELSE false END, g, g_since, g_cutoff, trig
+  FROM walk w JOIN q ON q.feed = w.feed AND q.n = w.n + 1)
+SELECT feed, polled_at, step, coalesce(CASE WHEN step <> 'cleared' THEN g END, was) AS detected_at, CASE WHEN step = 'cleared' THEN w_since ELSE g_since END AS since_ms, coalesce(CASE WHEN step <> 'cleared' THEN g END, was) AS last_seq, CASE WHEN step = 'cleared' THEN w_cutoff ELSE g_cutoff END AS archive_cutoff_ms, CASE WHEN step = 'cleared' THEN w_trig ELSE trig END AS triggered, step IN ('recorded', 'retried') AS fire FROM walk WHERE step IS NOT NULL""")
+def t2_gap_stream(s, d):
+    """The feeds' gaps over several micro-batches, their state in the stream."""
+    out, polls = f"{shared_dir(s)}/stream-{uuid.uuid4().hex}", stored(gap_polls(s, d))
+    first, last = polls.agg(F.min("at"), F.max("at")).head()
+    share = F.floor((F.col("at") - (first or 0)) * 3 / F.lit((last or 0) - (first or 0) + 1))
+    for k in range(3):  # a feed's rows of a third are in one file, and thirds come one after the other
+        polls.filter(share == k).repartition(4, "feed").write.mode("append").parquet(f"{out}/in")
+    steps = stream.stream_gaps(s.readStream.schema(polls.schema).option("maxFilesPerTrigger", 4).parquet(f"{out}/in"))
+    steps.writeStream.format("parquet").option("path", f"{out}/steps").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    return s.read.schema(steps.schema).parquet(f"{out}/steps").withColumnRenamed("at", "polled_at")
+
+
 @query("SELECT start_ms, start_ms + 600000 AS end_ms, count(*) AS completed, round(count(*) / 10, 2) AS rate_per_min FROM (SELECT (done_at // 60000 - k) * 60000 AS start_ms FROM parse_jobs, range(0, 10) r(k) WHERE done_at IS NOT NULL) GROUP BY start_ms")
 def t3_throughput(s, d):
     return stream.stream_throughput(X.parse_jobs(s, d))
@@ -834,22 +881,34 @@ def t3_throughput(s, d):
 def t4_stream_apply(s, d):
     out = f"{shared_dir(s)}/stream-{uuid.uuid4().hex}"
     src = io.write_table(routing.events_to_jobs(X.file_events(s, d), X.allowlist(s), X.rules(s)), f"{out}/in")
-    feed = s.readStream.schema(s.read.parquet(src).schema).parquet(src)
-    stream.stream_apply(feed, lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/applied/batch={n}"), f"{out}/state").awaitTermination()
+    rows = s.readStream.schema(s.read.parquet(src).schema).parquet(src)
+    stream.stream_apply(rows, lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/applied/batch={n}"), f"{out}/state").awaitTermination()
     return s.read.parquet(f"{out}/applied").select("root_id", "path", "op", "seq")
 
 
-@query(_BEFORE + """SELECT root_id, path, file_id FROM fine_files WHERE doc_id % 97 <> 5 AND doc_id % 5 <> 0 AND doc_id % 13 NOT IN (0, 1, 2)
-UNION ALL SELECT o.root_id, o.path, o.file_id FROM old_paths o JOIN fine_files f ON f.root_id = o.root_id AND f.path = o.path WHERE f.doc_id % 97 = 5 OR (f.doc_id % 5 <> 0 AND f.doc_id % 13 IN (0, 1, 2))""")
+@query(_BEFORE + f""", came AS (SELECT * FROM batch WHERE doc_id % 97 <> 5 AND doc_id % 5 <> 0),
+stay AS (SELECT root_id, path, file_id FROM came UNION ALL SELECT o.root_id, o.path, o.file_id FROM old_paths o JOIN fine_files f ON f.root_id = o.root_id AND f.path = o.path WHERE f.doc_id % 97 = 5 OR (f.doc_id % 5 <> 0 AND f.doc_id % 13 IN (0, 1, 2))),
+left_by AS (SELECT DISTINCT file_id FROM old_paths o WHERE NOT EXISTS (SELECT 1 FROM stay l WHERE l.root_id = o.root_id AND l.path = o.path AND l.file_id = o.file_id)),
+names AS (SELECT file_id FROM old_records UNION SELECT file_id FROM came)
+SELECT 'path' AS kind, root_id || '|' || path AS name, file_id AS value FROM stay
+UNION ALL SELECT 'record', n.file_id, CASE WHEN coalesce(r.current, true) OR n.file_id IN (SELECT file_id FROM came WHERE indexable) THEN '{VERSION}' ELSE 'parser/0.2.0' END || ' ' || CASE WHEN n.file_id IN (SELECT file_id FROM came) THEN '-' WHEN n.file_id IN (SELECT file_id FROM left_by) AND n.file_id NOT IN (SELECT file_id FROM stay) THEN '{NOW}' WHEN r.dead THEN '1' ELSE '-' END FROM names n LEFT JOIN old_records r ON r.file_id = n.file_id
+UNION ALL SELECT 'chunk', file_id, CASE WHEN file_id IN (SELECT file_id FROM left_by) THEN coalesce((SELECT array_to_string(list_sort(list(DISTINCT root_id)), ',') FROM stay l WHERE l.file_id = r.file_id), '') || '@' || CASE WHEN file_id IN (SELECT file_id FROM stay) THEN '-' ELSE '{NOW}' END ELSE 'before@-' END FROM old_records r WHERE starts_with(file_id, 'old')""")
 def t4_stream_ledger(s, d):
-    """The paths of the ledger that follows a stream of jobs on the documents' files: some paths are deleted, one root retires, the
-    others are indexed unless they lie below a gate."""
+    """The ledger that follows a stream of jobs on the documents' files: some paths are deleted, one root retires, the others are indexed
+    unless they lie below a gate. Told are its paths, its records, and the chunks of the files that only lose paths."""
     k, out = F.col("doc_id"), f"{shared_dir(s)}/stream-{uuid.uuid4().hex}"
     op = F.when(k % 97 == 5, "retire_root").when(k % 5 == 0, "delete").otherwise("index")
     retires = op == "retire_root"
     todo = X.files(s, d).select(F.when(retires, "other").otherwise(F.col("root_id")).alias("root_id"), F.when(retires, "").otherwise(F.col("path")).alias("path"), op.alias("op"), F.lit(100).alias("priority"), F.col("mtime_ms").alias("detected_at"), F.col("id").alias("seq"))
     src = io.write_table(todo.repartition(3), f"{out}/in")
-    feed = s.readStream.schema(s.read.parquet(src).schema).option("maxFilesPerTrigger", 2).parquet(src)
-    change = lambda before, batch: apply_jobs(before, batch, X.files(s, d), X.allowlist(s), X.rules(s), VERSION, "hash/v1", NOW)
-    stream.stream_ledger(feed, before_batch(s, d), change, f"{out}/ledger", f"{out}/state").awaitTermination()
-    return stream.read_ledger(s, stream.last_snapshot(s, f"{out}/ledger"), jobs=False).paths.select("root_id", "path", "file_id")
+    jobs = s.readStream.schema(s.read.parquet(src).schema).option("maxFilesPerTrigger", 2).parquet(src)
+    # the files' contents are laid out by path, so that a batch reads the buckets of its own paths
+    contents, n = io.write_table(X.files(s, d), f"{out}/contents", ["root_id", "path"], store.BUCKETS), store.BUCKETS
+    fetch = lambda keys: io.read_buckets(s, contents, layout.buckets_of(keys, ["root_id", "path"], n)).join(keys, ["root_id", "path"], "left_semi")
+    change = lambda before, batch, files: apply_jobs(before, batch, files, X.allowlist(s), X.rules(s), VERSION, "hash/v1", NOW)
+    stream.stream_ledger(jobs, before_batch(s, d), fetch, change, f"{out}/ledger", f"{out}/state").awaitTermination()
+    after = store.read(s, f"{out}/ledger")
+    dead = F.coalesce(F.col("tombstoned_at").cast("string"), F.lit("-"))
+    rows = after.paths.select(F.lit("path").alias("kind"), F.concat_ws("|", "root_id", "path").alias("name"), F.col("file_id").alias("value"))
+    rows = rows.union(after.records.select(F.lit("record"), "file_id", F.concat_ws(" ", "parser_version", dead)))
+    return rows.union(after.chunks.filter("file_id like 'old%'").select(F.lit("chunk"), "file_id", F.concat(F.array_join("root_ids", ","), F.lit("@"), dead)))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import path_ext
 from ..operators.routing import MAX_FILE_BYTES
+from .layout import manifest, read_buckets, replace_buckets, write_table  # noqa: F401  S7
 
 PREVIEW = 40_000
 #: Rows of a page of captions, and events of a page, at most.
@@ -21,12 +21,15 @@ PAGE = 1024
 def read_files(spark: SparkSession, path: str, max_bytes: int = MAX_FILE_BYTES, **options) -> DataFrame:
     """Path, size, mtime_ms, mime, text (UTF-8, broken bytes replaced) of the files below path.
 
-    A file above max_bytes keeps its row, but its bytes are dropped before anything is decoded."""
+    A file above max_bytes, or above what the reader takes (spark.sql.sources.binaryFile.maxLength), has its row without text. Its
+    size is a filter of the scan that reads contents, so no byte of it is read; its row comes from a scan without contents."""
     raw = spark.read.format("binaryFile").options(recursiveFileLookup=True, **options).load(path)
-    large = F.col("length") > max_bytes
-    rows = raw.select("path", F.col("length").alias("size"), F.unix_millis("modificationTime").alias("mtime_ms"), large.alias("large"), F.when(~large, F.col("content")).alias("content"))
-    mime = F.when(F.col("large"), F.concat(F.lit("application/x-too-large/"), F.regexp_replace(path_ext(F.col("path")), r"^\.", "")))
-    return rows.select("path", "size", "mtime_ms", mime.alias("mime"), F.expr("make_valid_utf8(cast(content as string))").alias("text"))
+    most = min(max_bytes, int(spark.conf.get("spark.sql.sources.binaryFile.maxLength")))
+    own = ["path", F.col("length").alias("size"), F.unix_millis("modificationTime").alias("mtime_ms")]
+    none = F.lit(None).cast("string")
+    small = raw.filter(F.col("length") <= most).select(*own, none.alias("mime"), F.expr("make_valid_utf8(cast(content as string))").alias("text"))
+    mime = F.concat(F.lit("application/x-too-large/"), F.regexp_replace(path_ext(F.col("path")), r"^\.", ""))
+    return small.unionByName(raw.filter(F.col("length") > most).select(*own, mime.alias("mime"), none.alias("text")))
 
 
 class _Markdown(HTMLParser):
@@ -141,53 +144,3 @@ def export_captions(chunks: DataFrame, source: str, after_id: str | None, limit:
     page = rows.orderBy("point_id").limit(max(1, min(limit, PAGE)))
     prefix = source + ":"
     return page.filter(F.startswith("file_id", F.lit(prefix))).select("point_id", F.substring("file_id", len(prefix) + 1, 1 << 30).alias("asset_id"), "text", "mtime_ms")
-
-
-def write_table(df: DataFrame, folder: str, key: str | None = None, buckets: int = 8) -> str:
-    """A new snapshot of a table below folder, and its path. With a key, rows are laid out by `bucket`, a hash of it: each
-    bucket in a folder of its own, listed in the snapshot's manifest (bucket, path). Nothing that a plan still reads is overwritten."""
-    path = f"{folder.rstrip('/')}/snapshot-{uuid.uuid4().hex}"
-    if key is None:
-        df.write.parquet(path)
-    else:
-        df.withColumn("bucket", F.pmod(F.hash(key), F.lit(buckets))).repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/data")
-        _write_manifest(df, path, {b: f"{path}/data/bucket={b}" for b in range(buckets)})
-    return path
-
-
-def _write_manifest(df: DataFrame, path: str, paths: dict[int, str]) -> None:
-    """One row a bucket, and the schema of the table's rows as an empty table."""
-    spark = df.sparkSession
-    spark.createDataFrame(sorted(paths.items()), "bucket int, path string").coalesce(1).write.parquet(f"{path}/manifest")
-    df.limit(0).write.parquet(f"{path}/schema")
-
-
-def manifest(spark: SparkSession, path: str) -> dict[int, str]:
-    """Where each bucket of a bucketed snapshot is; as many rows as buckets."""
-    return {r["bucket"]: r["path"] for r in spark.read.parquet(f"{path}/manifest").collect()}
-
-
-def read_buckets(spark: SparkSession, path: str, only: list[int] | None = None) -> DataFrame:
-    """The rows of a bucketed snapshot, or of some of its buckets."""
-    schema = spark.read.parquet(f"{path}/schema").schema
-    found = [p for b, p in sorted(manifest(spark, path).items()) if only is None or b in only]
-    there = [p for p in found if _exists(spark, p)]  # a bucket without rows has no folder
-    return spark.read.schema(schema).parquet(*there) if there else spark.createDataFrame([], schema)
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
-def replace_buckets(old_path: str, new: DataFrame, folder: str, key: str, buckets: int = 8) -> str:
-    """S7 for upserts: a new snapshot in which the rows of new keys replace the old ones. Only the buckets of new rows are read and
-    written; the manifest names the folders of the others where they are."""
-    spark = new.sparkSession
-    touched = [r["bucket"] for r in new.select(F.pmod(F.hash(key), F.lit(buckets)).alias("bucket")).distinct().collect()]  # at most `buckets`
-    rest = read_buckets(spark, old_path, touched).join(new.select(key).distinct(), key, "left_anti")
-    path = f"{folder.rstrip('/')}/snapshot-{uuid.uuid4().hex}"
-    rows = rest.unionByName(new).withColumn("bucket", F.pmod(F.hash(key), F.lit(buckets)))
-    rows.repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/data")
-    _write_manifest(new, path, manifest(spark, old_path) | {b: f"{path}/data/bucket={b}" for b in touched})
-    return path

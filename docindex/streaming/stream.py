@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.ledger import Ledger
 from ..operators.routing import events_to_jobs
+from . import store
 
 WINDOW, SLIDE, LATE = "10 minutes", "1 minute", "10 minutes"
 
@@ -48,6 +51,51 @@ def set_triggered(gaps: DataFrame, started: DataFrame) -> DataFrame:
     return gaps.join(s, "feed", "left").withColumn("triggered", F.col("triggered") | F.coalesce("_started", F.lit(False))).drop("_started", "fire")
 
 
+#: What a feed's state holds, and what a transition tells.
+GAP = "detected_at long, since_ms long, last_seq long, archive_cutoff_ms long, triggered boolean"
+TRANSITION = f"feed string, at long, step string, {GAP}, fire boolean"
+Gap = tuple[int, int, int, int, bool]
+
+
+def gap_step(gap: Gap | None, poll: dict) -> tuple[Gap | None, str | None, bool]:
+    """(gap, step, fire) after one row of a feed, as cursor_gap_transition() has it: a poll, or the word that a verify has started."""
+    if poll["started"]:
+        return ((*gap[:4], True), "started", False) if gap and not gap[4] else (gap, None, False)
+    cutoff, since = poll["archive_cutoff_ms"], poll["since_ms"]
+    if cutoff is None or not poll["has_archived"]:
+        return gap, None, False
+    if not (since is not None and 0 < since < cutoff):
+        return None, "cleared" if gap else None, False
+    if gap is None:
+        return (poll["at"], since, poll["last_seq"], cutoff, False), "recorded", True
+    return (gap, None, False) if gap[4] else (gap, "retried", True)
+
+
+def stream_gaps(polls: DataFrame) -> DataFrame:
+    """T2 as a stream: the transitions of each feed's gap, whose state stays in the stream between polls.
+
+    polls: feed, at, since_ms, last_seq, archive_cutoff_ms, has_archived, started (true: no poll, but the word that the verify of the
+    recorded gap has started). Rows of a feed count by (at, started), in one micro-batch and from one to the next. steps: recorded,
+    retried (no verify has started yet), started, cleared. What a task holds is one micro-batch's rows of one feed."""
+
+    def moved(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        gap, out = tuple(state.get) if state.exists else None, []
+        polls = pd.concat(list(rows)).astype(object)
+        for poll in polls.where(polls.notna(), None).sort_values(["at", "started"], kind="stable").to_dict("records"):
+            was = gap
+            gap, step, fire = gap_step(gap, poll)
+            if step:
+                out.append((key[0], poll["at"], step, *(gap or was), fire))
+        if gap is not None:
+            state.update(gap)
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(out, columns=["feed", "at", "step", "detected_at", "since_ms", "last_seq", "archive_cutoff_ms", "triggered", "fire"])
+
+    rows = polls.select("feed", "at", "since_ms", "last_seq", "archive_cutoff_ms", "has_archived", F.coalesce("started", F.lit(False)).alias("started"))
+    return rows.groupBy("feed").applyInPandasWithState(moved, TRANSITION, GAP, "append", GroupStateTimeout.NoTimeout)
+
+
 def stream_throughput(jobs: DataFrame) -> DataFrame:
     """Completions per ten-minute window, from done_at (ms); late completions count for LATE."""
     done = jobs.filter("done_at is not null").select(F.timestamp_millis("done_at").alias("done_ts"))
@@ -72,37 +120,17 @@ def stream_apply(jobs: DataFrame, apply: Callable[[DataFrame, int], None], check
     return jobs.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-#: The tables of a ledger's snapshot.
-TABLES = ("records", "paths", "chunks", "jobs")
-
-
-def write_ledger(ledger: Ledger, path: str) -> None:
-    for name in TABLES:
-        if (table := getattr(ledger, name)) is not None:
-            table.write.mode("overwrite").parquet(f"{path}/{name}")
-
-
-def read_ledger(spark: SparkSession, path: str, jobs: bool = True) -> Ledger:
-    return Ledger(*(spark.read.parquet(f"{path}/{name}") for name in TABLES[:3]), spark.read.parquet(f"{path}/jobs") if jobs else None)
-
-
-def stream_ledger(jobs: DataFrame, start: Ledger, change: Callable[[Ledger, DataFrame], Ledger], folder: str, checkpoint: str) -> StreamingQuery:
-    """T4: the ledger follows the stream of jobs. Each micro-batch reads the snapshot of the batch before it (number 0: `start`),
-    changes it by its compacted jobs, and writes a snapshot under its own number: a batch that is run again after a failure starts
-    from the same snapshot and replaces what it had written."""
-
+def stream_ledger(jobs: DataFrame, start: Ledger, fetch: Callable[[DataFrame], DataFrame], change: Callable[[Ledger, DataFrame, DataFrame], Ledger], folder: str, checkpoint: str, buckets: int = store.BUCKETS) -> StreamingQuery:
+    """T4: the ledger follows the stream of jobs, from `start` on. Each micro-batch, compacted, reads and writes the buckets of the
+    files and paths that it touches (store.apply_batch tells what fetch and change do) and is committed by a mark under its number;
+    one that is run again after a failure starts from the state before it. store.read() gives the ledger as it was committed last."""
     spark = start.records.sparkSession  # not the stream's own: the changes are plans that adapt to what they meet
+    store.create(start, folder, buckets)
 
     def one(batch: DataFrame, number: int) -> None:
-        path = f"{folder}/{number:012d}"
-        latest_per_path(batch).write.mode("overwrite").parquet(f"{path}/compacted")
-        before = read_ledger(spark, f"{folder}/{number - 1:012d}", start.jobs is not None) if number else start
-        write_ledger(change(before, spark.read.parquet(f"{path}/compacted")), path)
+        path = f"{folder}/jobs-{number:012d}"
+        latest_per_path(batch).write.mode("overwrite").parquet(path)
+        store.apply_batch(spark, folder, number, spark.read.parquet(path), fetch, change)
+        store.forget(spark, folder)
 
     return jobs.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def last_snapshot(spark: SparkSession, folder: str) -> str:
-    """The folder of the newest snapshot that stream_ledger() wrote below folder."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    return max(f.getPath().toString() for f in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path))

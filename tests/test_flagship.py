@@ -8,46 +8,11 @@ from pyspark.sql import functions as F
 from tests_support import rows
 from docindex.operators import inference, search
 from docindex.operators.ledger import Ledger
-from docindex.plans.indexing import apply_jobs, converted, index_batch
+from docindex.plans.indexing import converted, index_batch
 from docindex.sources import io
 from docindex.streaming import stream
 
-RECORD = "file_id string, sha256_full string, size long, mime string, modalities_done string, parser_version string, indexed_at long, tombstoned_at long, vector_count long, last_error string"
-PATH = "root_id string, path string, file_id string, mtime_ms long"
-CHUNK = "point_id string, file_id string, root_ids array<string>, chunk_no int, text string, tombstoned_at long, mtime_ms long, dense array<float>"
-FILE = "root_id string, path string, content string, size long, mtime_ms long, priority int, id long"
-LONG = "some words that go on and on " * 6
-
-
-def name(content):
-    return hashlib.sha256(content.encode()).hexdigest()[:32]
-
-
-def file(i, root, path, content, size=None):
-    return (root, path, content, size or len(content), i * 10, 100, i)
-
-
-@pytest.fixture
-def control(spark):
-    exts = spark.createDataFrame([(e, True) for e in (".md", ".txt", ".html", ".pdf", ".doc", ".log")], "ext string, enabled boolean")
-    return exts, spark.createDataFrame([], "root_id string, path_glob string, action string")
-
-
-@pytest.fixture
-def before(spark):
-    dead, old, both = name("dead " + LONG), "old", "both"
-    return Ledger(
-        spark.createDataFrame([(dead, dead, 1, "text/plain", '{"text":"m"}', "v", 1, 5, 3, "err"), (old, old, 1, "text/plain", '{"text":"m"}', "v", 1, None, 1, None), (both, both, 1, "text/plain", '{"text":"m"}', "v", 1, None, 1, None)], RECORD),
-        spark.createDataFrame([("r1", "/a.txt", old, 1), ("r1", "/b.txt", both, 1), ("r2", "/b2.txt", both, 1)], PATH),
-        spark.createDataFrame([("p0", dead, [], 0, "d", 5, 1, None), ("p1", old, ["r1"], 0, "o", None, 1, None), ("p2", both, ["r1", "r2"], 0, "b", None, 1, None)], CHUNK),
-    )
-
-
-FILES = [
-    file(1, "r1", "/a.txt", LONG), file(2, "r1", "/b.txt", LONG), file(3, "r2", "/c.txt", "dead " + LONG), file(4, "r1", "/page.html", f"<h1>T</h1><p>{LONG}</p><script>x</script>"),
-    file(5, "r1", "/x.pdf", "%PDF raw " + LONG), file(6, "r1", "/x.doc", "OLE raw " + LONG), file(7, "r1", "/big.log", "big " + LONG, 5 << 20), file(8, "r1", "/DATA/@eaDir/g.txt", "gated " + LONG),
-    file(9, "r1", "/n.mov", "movie " + LONG), file(10, "r1", "/m.mov", "two " + LONG), file(11, "r3", "/m.txt", "two " + LONG), file(12, "r1", "/s.txt", "short"),
-]
+from ledger_support import FILE, FILES, LONG, before, control, name  # noqa: F401  fixtures
 
 
 def test_a_batch_goes_through_the_whole_plan(spark, before, control):
@@ -89,28 +54,6 @@ def test_a_failing_page_has_no_text(spark):
     assert got["/b.txt"]["text"] == "y" and got["/c.docx"]["text"] is None and got["/c.docx"]["stored_mime"] == "application/octet-stream/docx"
 
 
-def test_the_ledger_follows_a_stream(spark, before, control, tmp_path):
-    files = spark.createDataFrame(FILES, FILE)
-    todo = [(r, p, "index", 100, 10 + i, i) for i, (r, p, *_) in enumerate(FILES)] + [("r1", "/b.txt", "delete", 100, 900, 900), ("r2", "", "retire_root", 50, 901, 901), ("r1", "/nowhere.txt", "index", 100, 902, 902)]
-    jobs = spark.createDataFrame(todo, "root_id string, path string, op string, priority int, detected_at long, seq long")
-    change = lambda led, batch: apply_jobs(led, batch, files, *control, "v", "m", 99)
-    want = change(before, stream.latest_per_path(jobs))
-    src, folder, state = (str(tmp_path / x) for x in ("in", "ledger", "state"))
-    jobs.coalesce(1).write.parquet(src)
-    told = lambda led: (rows(led.paths.select("root_id", "path", "file_id")), rows(led.records.select("file_id", "mime", "tombstoned_at", "vector_count")), rows(led.chunks.select("point_id", "root_ids", "tombstoned_at")))
-    for _ in range(2):  # the second run finds nothing new
-        feed = spark.readStream.schema(jobs.schema).parquet(src)
-        stream.stream_ledger(feed, before, change, folder, state).awaitTermination()
-        assert told(stream.read_ledger(spark, stream.last_snapshot(spark, folder), jobs=False)) == told(want)
-    assert ("r2", "/b2.txt", "both") not in told(want)[0] and not any(p == "/b.txt" for _, p, _ in told(want)[0])
-    # a batch that is run again after a failure starts from the same snapshot
-    (tmp_path / "state" / "commits" / "0").unlink()
-    for crc in (tmp_path / "state" / "commits").glob(".0.crc"):
-        crc.unlink()
-    stream.stream_ledger(spark.readStream.schema(jobs.schema).parquet(src), before, change, folder, state).awaitTermination()
-    assert told(stream.read_ledger(spark, stream.last_snapshot(spark, folder), jobs=False)) == told(want)
-
-
 def test_throughput_as_a_stream_counts_late_rows_in_time(spark, tmp_path):
     minute = 60_000
     for i, done in enumerate(([100 * minute, 101 * minute], [130 * minute], [95 * minute, 125 * minute], [160 * minute])):
@@ -132,14 +75,3 @@ def test_recall_goes_by_point(spark):
     got = search.query_notes(queries, notes, 10, ["open"]).orderBy("rank").collect()
     assert [(r["note_id"], r["chunk_no"], r["text"], r["updated_at"]) for r in got] == [("a", 0, "a0", 40), ("a", 1, "a1", 41), ("a", 2, "a2", 42)]
     assert rows(search.candidate_counts(queries, memory)) == [(7, 6)]
-
-
-def test_untouched_buckets_stay_where_they_are(spark, tmp_path):
-    old = spark.createDataFrame([(f"k{i}", i) for i in range(50)], "k string, v long")
-    a = io.write_table(old, str(tmp_path), "k")
-    b = io.replace_buckets(a, spark.createDataFrame([("k3", -1), ("new", -2)], "k string, v long"), str(tmp_path), "k")
-    was, now = io.manifest(spark, a), io.manifest(spark, b)
-    assert len(now) == 8 and 1 <= sum(was[x] != now[x] for x in was) <= 2
-    got = dict(io.read_buckets(spark, b).collect())
-    assert len(got) == 51 and got["k3"] == -1 and got["new"] == -2 and got["k4"] == 4
-    assert len(dict(io.read_buckets(spark, a).collect())) == 50

@@ -58,3 +58,23 @@ def test_stream_rerun_adds_nothing(spark, tmp_path):
         feed = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 2).parquet(src)
         stream.stream_events_to_jobs(feed, exts, rules, out, state).awaitTermination()
         assert spark.read.parquet(out).count() == 20
+
+
+def test_files_above_the_readers_limit_have_their_row(spark, tmp_path):
+    (tmp_path / "ok.txt").write_bytes(b"fine")
+    (tmp_path / "edge.txt").write_bytes(b"x" * 100)
+    (tmp_path / "large.log").write_bytes(b"x" * 150)
+    (tmp_path / "huge.log").write_bytes(b"x" * 500)
+    key = "spark.sql.sources.binaryFile.maxLength"
+    for limit, most in ((100, 200), (1 << 20, 120)):
+        spark.conf.set(key, most)
+        try:
+            df = io.read_files(spark, str(tmp_path), limit)
+            got = {r["path"].rsplit("/", 1)[1]: (r["size"], r["mime"], r["text"]) for r in df.collect()}
+            plan = df._jdf.queryExecution().executedPlan().toString()
+        finally:
+            spark.conf.unset(key)
+        assert got == {"ok.txt": (4, None, "fine"), "edge.txt": (100, None, "x" * 100), "large.log": (150, "application/x-too-large/log", None), "huge.log": (500, "application/x-too-large/log", None)}
+        scans = [line for line in plan.splitlines() if "FileScan binaryFile" in line]
+        assert len(scans) == 2 and sum("content" in line.split("Batched")[0] for line in scans) == 1
+        assert all("length" in line.split("PushedFilters")[1] for line in scans)
