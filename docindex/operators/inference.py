@@ -1,17 +1,20 @@
 """Batched model inference with any encoder or scorer.
 
-An encoder is a picklable factory: called once per task, it gives a function from a list of texts to a list of (dense, sparse)
+An encoder is a picklable factory: called once per worker process, which keeps what it made for the tasks that follow, it gives a function from a list of texts to a list of (dense, sparse)
 with dense a list of floats and sparse a dict from token id to weight. The encoder here hashes words; it stands where a model
 would, and gives the same vectors on every run."""
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.resource import ResourceProfile
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,6 +24,8 @@ from ..functions.scalars import caption_text
 from .upserts import replace_by_key
 
 BATCH = 8
+#: Models that a worker keeps.
+MODELS = 2
 #: Candidates that a reranker takes in one request.
 CANDIDATES = 128
 VECTORS = "dense array<float>, sparse struct<indices:array<int>,values:array<float>>"
@@ -58,23 +63,54 @@ def sparse_weights(tokens: list[tuple[int, float]], excluded: tuple[int, ...] =
     return out
 
 
-def embed(df: DataFrame, encoder: Callable[[], Encoder], batch: int = BATCH) -> DataFrame:
-    """Df (text, ...) with dense and sparse. Give it one row a chunk, spread evenly: one long file is many rows."""
+_models: dict[str, Callable] = {}
+
+
+def named_model(factory: Callable[[], Callable]) -> tuple[str, Callable]:
+    """factory with a name for what it makes, by its own bytes: the same in all tasks of a plan."""
+    return hashlib.sha256(cloudpickle.dumps(factory)).hexdigest(), factory
+
+
+def model(named: tuple[str, Callable]) -> Callable:
+    """What a factory makes, made once in a worker process; the one that wasn't used for longest goes if there are more than MODELS."""
+    name, factory = named
+    made = _models.pop(name, None) or factory()
+    _models[name] = made
+    while len(_models) > MODELS:
+        del _models[next(iter(_models))]
+    return made
+
+
+def by_length(texts: list[str], encode: Encoder, batch: int) -> list:
+    """What encode gives for each text, asked in batches of texts of about one length, so that short ones aren't padded to long ones."""
+    out: list = [None] * len(texts)
+    order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
+    for at in range(0, len(order), batch):
+        some = order[at : at + batch]
+        for i, made in zip(some, encode([texts[i] for i in some]), strict=True):
+            out[i] = made
+    return out
+
+
+def embed(df: DataFrame, encoder: Callable[[], Encoder], batch: int = BATCH, profile: ResourceProfile | None = None) -> DataFrame:
+    """Df (text, ...) with dense and sparse. Give it one row a chunk, spread evenly: one long file is many rows. profile: what the
+    stage's executors have to offer, such as GPUs."""
+    named = named_model(encoder)
     schema = df.withColumn("dense", F.lit(None).cast("array<float>")).withColumn("sparse", F.lit(None).cast("struct<indices:array<int>,values:array<float>>")).schema
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        fields, encode = to_arrow_schema(schema), encoder()
+        fields, encode = to_arrow_schema(schema), model(named)
         for b in batches:
             for at in range(0, b.num_rows, batch * 64):
                 part = b.slice(at, batch * 64)
                 texts = [t or "" for t in part.column("text").to_pylist()]
-                made = [v for i in range(0, len(texts), batch) for v in encode(texts[i : i + batch])]
+                made = by_length(texts, encode, batch)
                 sparse = [{"indices": sorted(s), "values": [s[i] for i in sorted(s)]} for _, s in made]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([d for d, _ in made], fields.field("dense").type), pa.array(sparse, fields.field("sparse").type)], schema=fields)
 
-    return df.mapInArrow(work, schema)
+    return df.mapInArrow(work, schema, profile=profile)
 
 
 def aggregate_sparse(tokens: DataFrame, excluded: list[int]) -> DataFrame:
@@ -100,17 +136,19 @@ def overlap_scorer() -> Callable[[], Callable[[list[tuple[str, str]]], list[floa
     return make
 
 
-def score_pairs(pairs: DataFrame, scorer: Callable, query: str = "query_text", text: str = "text") -> DataFrame:
-    """pairs with `rerank_score`: the sigmoid of the scorer's logit."""
+def score_pairs(pairs: DataFrame, scorer: Callable, query: str = "query_text", text: str = "text", profile: ResourceProfile | None = None) -> DataFrame:
+    """pairs with `rerank_score`: the sigmoid of the scorer's logit, asked in requests of CANDIDATES pairs at most."""
+    named = named_model(scorer)
     schema = pairs.withColumn("rerank_score", F.lit(0.0)).schema
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = scorer()
+        score = model(named)
         for b in batches:
-            logits = score([(q or "", t or "") for q, t in zip(b.column(query).to_pylist(), b.column(text).to_pylist(), strict=True)])
+            both = [(q or "", t or "") for q, t in zip(b.column(query).to_pylist(), b.column(text).to_pylist(), strict=True)]
+            logits = [x for at in range(0, len(both), CANDIDATES) for x in score(both[at : at + CANDIDATES])]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([1 / (1 + math.exp(-x)) for x in logits], pa.float64())], [*b.schema.names, "rerank_score"])
 
-    return pairs.mapInArrow(work, schema)
+    return pairs.mapInArrow(work, schema, profile=profile)
 
 
 def rerank(pairs: DataFrame, scorer: Callable, top_k: int | None = None, request: Column | None = None) -> DataFrame:

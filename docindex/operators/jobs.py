@@ -68,8 +68,10 @@ def _with_error(jobs: DataFrame) -> Column:
 
 
 def apply_outcomes(jobs: DataFrame, outcomes: DataFrame, now_ms: int, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
-    """Outcomes (id, error; null: success). A failure counts once more, and ends the job at max_attempts."""
-    out = jobs.join(outcomes.select("id", F.col("error").alias("_error"), F.lit(True).alias("_told")), "id", "left")
+    """Outcomes (id, error; null: success). A failure counts once more, and ends the job at max_attempts. Of several outcomes of
+    a job in one batch a success counts before failures, and of these the last by its text, once."""
+    one = outcomes.groupBy("id").agg(F.when(F.count_if(F.col("error").isNull()) == 0, F.max("error")).alias("_error"), F.lit(True).alias("_told"))
+    out = jobs.join(one, "id", "left")
     failed = F.col("_told") & F.col("_error").isNotNull()
     ends = F.col("_told") & (F.col("_error").isNull() | (F.col("attempts") + 1 >= max_attempts))
     return out.withColumns({

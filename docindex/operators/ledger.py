@@ -97,13 +97,19 @@ def delete_paths(ledger: Ledger, keys: DataFrame, now_ms: int) -> Ledger:
     return _after_paths(ledger, left, gone, now_ms)
 
 
-def retire_roots(ledger: Ledger, roots: DataFrame, now_ms: int) -> tuple[Ledger, DataFrame]:
+def retire_roots(ledger: Ledger, roots: DataFrame, now_ms: int, more: DataFrame | None = None) -> tuple[Ledger, DataFrame]:
     """M4: roots (root_id) go with their paths and open jobs (but retire_root itself). Also: root_id, files_seen, tombstoned,
-    rehomed, jobs_dropped, as if the roots went one after the other in the order of their ids."""
+    rehomed, jobs_dropped, as if the roots went one after the other in the order of their ids. more: paths (root_id, path) of other
+    roots that go after them in the same pass (M3); the counts are those of the roots alone."""
     gone_roots = roots.select("root_id").distinct()
     gone = ledger.paths.join(gone_roots, "root_id", "left_semi")
     left = ledger.paths.join(gone_roots, "root_id", "left_anti")
-    out = _after_paths(ledger, left, gone, now_ms)
+    if more is None:
+        out = _after_paths(ledger, left, gone, now_ms)
+    else:
+        keys = stored(more.select("root_id", "path").distinct())
+        both = gone.unionByName(ledger.paths.join(keys, ["root_id", "path"], "left_semi"))
+        out = _after_paths(ledger, stored(left.join(keys, ["root_id", "path"], "left_anti")), both, now_ms)
     dropped = None
     if ledger.jobs is not None:
         dropped = open_jobs(ledger.jobs).filter("op <> 'retire_root'").join(gone_roots, "root_id", "left_semi")

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.paths import dirname, path_ext
+from ..session import stored
 
 #: Rows of a listing's page at most; counts of open jobs are told up to this.
 PAGE, COUNT_CAP = 500, 10_000
@@ -62,14 +63,29 @@ def with_status(records: DataFrame, paths: DataFrame, jobs: DataFrame) -> DataFr
     return records.join(busy, "file_id", "left").withColumn("status", status).drop("_busy")
 
 
-def list_files(records: DataFrame, paths: DataFrame, jobs: DataFrame, sort: str = "indexed_at", descending: bool = True, limit: int = 50, offset: int = 0, **filters) -> tuple[DataFrame, DataFrame]:
-    """(a page of records with paths and status, total). Paths and jobs are joined to the page only."""
+def behind(key: str, descending: bool, value, file_id: str) -> Column:
+    """Rows that come after (value, file_id) in the order of (key, file_id); null values are least."""
+    ids = F.col("file_id") < file_id if descending else F.col("file_id") > file_id
+    if key == "file_id":
+        return ids
+    own, null = F.col(key), F.col(key).isNull()
+    if value is None:
+        return null & ids if descending else ~null | ids
+    further = own < value if descending else own > value
+    return F.coalesce(further | ((own == value) & ids), F.lit(descending))
+
+
+def list_files(records: DataFrame, paths: DataFrame, jobs: DataFrame, sort: str = "indexed_at", descending: bool = True, limit: int = 50, offset: int = 0, after: tuple | None = None, **filters) -> tuple[DataFrame, DataFrame]:
+    """(a page of records with paths and status, total). The page begins at an offset, or behind the row `after`: (its value of
+    the sort column, its file_id), by a filter that reaches the scan. The page, PAGE rows at most, is written once; paths and jobs
+    are joined to it only."""
     if not 1 <= limit <= PAGE:
         raise ValueError(f"limit 1..{PAGE}")
     key = "file_id" if sort == "path" else sort
     fitting = filter_files(records, paths, **filters)
     order = [F.desc(c) if descending else F.asc(c) for c in dict.fromkeys((key, "file_id"))]
-    page = fitting.orderBy(*order).offset(offset).limit(limit)
+    rest = fitting if after is None else fitting.filter(behind(key, descending, *after))
+    page = stored(rest.orderBy(*order).offset(offset).limit(limit))
     of_page = paths.join(page.select("file_id"), "file_id", "left_semi")
     return files_with_paths(with_status(page, of_page, jobs), of_page), fitting.agg(F.count("*").alias("total"))
 

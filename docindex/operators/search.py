@@ -19,13 +19,20 @@ from .inference import score_pairs
 
 #: Vectors of a block that a key is cut into, and queries of a slice that meets it.
 BLOCK, SLICE = 20_000, 4096
+#: What a product of matrices may be off by; all that near are scored again pair by pair.
+CLOSE = 1e-9
 RERANKED = 20
 
 
-def best_of(scores: np.ndarray, order: np.ndarray, k: int) -> np.ndarray:
-    """Where the k best scores are, ties to the smaller `order`."""
-    near = np.flatnonzero(scores >= np.partition(scores, -k)[-k]) if len(scores) > k else np.arange(len(scores))
-    return near[np.lexsort((order[near], -scores[near]))[:k]]
+def near_best(rough: np.ndarray, k: int) -> np.ndarray:
+    """Where the scores are that may be among the k best, if they are off by less than CLOSE."""
+    return np.flatnonzero(rough >= np.partition(rough, -k)[-k] - CLOSE) if len(rough) > k else np.arange(len(rough))
+
+
+def exact_cosines(one: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The cosine of one vector with each row: its bits depend on the two vectors alone, so that ties are the same in every block."""
+    norm = lambda m: np.maximum(np.sqrt((m * m).sum(axis=-1)), np.finfo(float).tiny)
+    return (rows * one).sum(axis=1) / (norm(rows) * norm(one))
 
 
 def top_k(queries: DataFrame, vectors: DataFrame, k: int, key: str, id_column: str) -> DataFrame:
@@ -40,25 +47,27 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, key: str, id_column: s
     v = vectors.join(sizes, key).select(F.col(key).alias("_key"), one_of(id_column, "_salts").alias("_salt"), all_of("_slices").alias("_slice"), F.col(id_column).alias("_id"), as_double("dense").alias("_v"))
     q = queries.join(sizes, key).select(F.col(key).alias("_key"), all_of("_salts").alias("_salt"), one_of("query_id", "_slices").alias("_slice"), F.col("query_id").alias("_q"), as_double("dense").alias("_v"))
 
-    def unit(column: pd.Series) -> np.ndarray:
-        m = np.stack(column)
+    def unit(m: np.ndarray) -> np.ndarray:
         return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), np.finfo(float).tiny)
 
     def block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"query_id": left["_q"].iloc[:0], "found": right["_id"].iloc[:0], "score": np.empty(0)})
-        ids, asked, m = right["_id"].to_numpy(), left["_q"].to_numpy(), unit(right["_v"])
+        ids, asked, given = right["_id"].to_numpy(), left["_q"].to_numpy(), np.stack(right["_v"])
+        m = unit(given)
         order, out = np.unique(ids, return_inverse=True)[1], []
         for at in range(0, len(left), 256):
-            for i, line in zip(asked[at : at + 256], unit(left["_v"].iloc[at : at + 256]) @ m.T, strict=True):
-                # rounding differs between blocks in the last bits: ties are told at 12 digits
-                top = best_of(np.round(line, 12), order, k)
-                out.append((np.full(len(top), i), ids[top], line[top]))
+            some = np.stack(left["_v"].iloc[at : at + 256])
+            for i, own, line in zip(asked[at : at + 256], some, unit(some) @ m.T, strict=True):
+                near = near_best(line, k)
+                score = exact_cosines(own, given[near])
+                top = np.lexsort((order[near], -score))[:k]
+                out.append((np.full(len(top), i), ids[near[top]], score[top]))
         query_id, found, score = (np.concatenate(x) for x in zip(*out, strict=True))
         return pd.DataFrame({"query_id": query_id, "found": found, "score": score})
 
     found = q.groupBy("_key", "_salt", "_slice").cogroup(v.groupBy("_key", "_salt", "_slice")).applyInPandas(block, f"query_id long, found {vectors.schema[id_column].dataType.simpleString()}, score double")
-    order = W.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "found")
+    order = W.partitionBy("query_id").orderBy(F.desc("score"), "found")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).withColumnRenamed("found", id_column)
 
 
@@ -92,7 +101,7 @@ def score_chunks(queries: DataFrame, chunks: DataFrame, key: str = "file_id") ->
     """V3: every chunk of the query's document with `score` and its `rank`. A document's chunks are as many as its text has."""
     q = queries.select("query_id", key, F.col("dense").alias("_q"), *[c for c in queries.columns if c not in ("query_id", key, "dense")])
     rows = q.join(chunks, key).withColumn("score", cosine(F.col("_q"), F.col("dense"))).drop("_q")
-    return rows.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "chunk_no")))
+    return rows.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "chunk_no")))
 
 
 def retrieve_rerank(queries: DataFrame, chunks: DataFrame, scorer: Callable, key: str = "file_id") -> DataFrame:

@@ -63,8 +63,9 @@ def delete_files(chunks: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def set_chunk_roots(chunks: DataFrame, updates: DataFrame) -> DataFrame:
-    """Updates (file_id, new_roots, at): empty roots tombstone a file's chunks at `at`, others restore them."""
-    u = updates.select("file_id", F.col("new_roots").alias("_roots"), F.col("at").alias("_at"), F.lit(True).alias("_hit"))
+    """Updates (file_id, new_roots, at): empty roots tombstone a file's chunks at `at`, others restore them. Of several updates
+    of a file the latest counts, and of those of one time the last by its roots."""
+    u = last_per_key(updates.select("file_id", "new_roots", "at"), ["file_id"], ["at", "new_roots"]).select("file_id", F.col("new_roots").alias("_roots"), F.col("at").alias("_at"), F.lit(True).alias("_hit"))
     empty = F.size("_roots") == 0
     out = chunks.join(u, "file_id", "left")
     return out.withColumns({"root_ids": F.when(F.col("_hit"), F.col("_roots")).otherwise(F.col("root_ids")), "tombstoned_at": F.when(F.col("_hit"), F.when(empty, F.col("_at"))).otherwise(F.col("tombstoned_at"))}).select(chunks.columns)
@@ -75,8 +76,10 @@ RENEWED = ("size", "mime", "modalities_done", "parser_version", "indexed_at")
 
 
 def upsert_records(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Known files get the new RENEWED columns and lose their tombstone; new files come in whole."""
-    n = new.select("file_id", F.lit(True).alias("_new"), *[F.col(c).alias(f"_{c}") for c in new.columns if c != "file_id"])
+    """Known files get the new RENEWED columns and lose their tombstone; new files come in whole. Of several new rows of a file the
+    one indexed last counts."""
+    first = [c for c in ("indexed_at",) if c in new.columns]
+    n = last_per_key(new, ["file_id"], first + [c for c in new.columns if c not in ("file_id", *first)]).select("file_id", F.lit(True).alias("_new"), *[F.col(c).alias(f"_{c}") for c in new.columns if c != "file_id"])
     both = old.withColumn("_old", F.lit(True)).join(n, "file_id", "full_outer")
 
     def column(c: str) -> Column:

@@ -112,12 +112,7 @@ def rules(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(RULES, "root_id string, path_glob string, action string")
 
 
-#: Characters of a chunk's text that SQL tells.
-TOLD = 80
-
-
 def chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks with their whole texts, of which SQL tells the first TOLD characters."""
     i, caption = F.col("doc_id"), F.col("doc_id") % 6 == 0
     return table(spark, d, "documents").select(
         text("pt", F.lpad(i.cast("string"), 12, "0")).alias("point_id"), F.when(caption, text(F.col("source"), ":", i)).otherwise(content_id(F.col("text"))).alias("file_id"),
@@ -216,7 +211,7 @@ inventory_files AS (
 inventory_roots AS (SELECT DISTINCT 's' || (s_suppkey % 20) AS id, s_suppkey % 20 <> 3 AS enabled FROM supplier WHERE s_suppkey % 20 < 18),
 chunks AS (
   SELECT 'pt' || lpad(doc_id::VARCHAR, 12, '0') AS point_id, CASE WHEN doc_id % 6 = 0 THEN source || ':' || doc_id ELSE left(sha256(text), 32) END AS file_id, CASE WHEN doc_id % 6 = 0 THEN source ELSE 'r' || (doc_id % 7) END AS root_ids,
-         CASE WHEN doc_id % 50 = 0 THEN NULL WHEN doc_id % 6 = 0 THEN 'caption' ELSE 'body' END AS kind, left(text, 80) AS text, CASE WHEN doc_id % 4 <> 0 THEN doc_id * 1000 END AS mtime_ms, CASE WHEN doc_id % 31 = 0 THEN doc_id END AS tombstoned_at
+         CASE WHEN doc_id % 50 = 0 THEN NULL WHEN doc_id % 6 = 0 THEN 'caption' ELSE 'body' END AS kind, text, CASE WHEN doc_id % 4 <> 0 THEN doc_id * 1000 END AS mtime_ms, CASE WHEN doc_id % 31 = 0 THEN doc_id END AS tombstoned_at
   FROM documents),
 ledger_chunks AS (SELECT c.chunk_no, file_id, CASE WHEN size % 3000 <> 0 THEN size END AS mtime_ms, tombstoned_at FROM file_records, (VALUES (0), (1)) c(chunk_no)),
 memory AS (SELECT label::BIGINT AS user_id, vec_id % 20 AS session_id, vec_id AS chunk_no, 'v' || vec_id AS text, embedding::DOUBLE[] AS dense, vec_id * 1000 AS created_at FROM embeddings),

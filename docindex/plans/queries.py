@@ -41,9 +41,9 @@ def joined(column: Column, sep: str = ",") -> Column:
     return F.array_join(F.transform(column, lambda x: x.cast("string")), sep)
 
 
-def shown(rows: DataFrame) -> DataFrame:
-    """What SQL tells of chunks that an operator gave with their whole texts."""
-    return rows.withColumn("text", F.substring("text", 1, X.TOLD))
+def hashed(rows: DataFrame) -> DataFrame:
+    """Whole texts told by their digests."""
+    return rows.withColumn("text", F.sha2("text", 256)).withColumnRenamed("text", "text_sha256")
 
 
 def tables(s: SparkSession, d: str) -> ledger.Ledger:
@@ -97,9 +97,9 @@ def exported_captions(s, d):
     return io.export_captions(X.chunks(s, d).withColumn("tombstoned_at", F.lit(None).cast("long")), "src2", None, 1000)
 
 
-@query("SELECT point_id, substr(file_id, 6) AS asset_id, text, mtime_ms FROM (SELECT * FROM chunks WHERE root_ids = 'src2' AND kind = 'caption' ORDER BY point_id LIMIT 1000) WHERE starts_with(file_id, 'src2:')")
+@query("SELECT point_id, substr(file_id, 6) AS asset_id, sha256(text) AS text_sha256, mtime_ms FROM (SELECT * FROM chunks WHERE root_ids = 'src2' AND kind = 'caption' ORDER BY point_id LIMIT 1000) WHERE starts_with(file_id, 'src2:')")
 def s6_export_captions(s, d):
-    return shown(exported_captions(s, d))
+    return hashed(exported_captions(s, d))
 
 
 @query("SELECT * FROM file_records")
@@ -552,7 +552,7 @@ def e3_ingest_captions(s, d):
 
 _POINTS = f""", points AS (SELECT user_id, session_id, chunk_no // 20 AS chunk_no, text, dense, created_at, {_uuid_sql(ids.MEMORY, "user_id || $$:$$ || session_id || $$:$$ || (chunk_no // 20)")} AS point_id FROM memory),
 note_points AS (SELECT user_id, note_id, chunk_no % 3 AS chunk_no, 'v' || chunk_no AS text, type, status, chunk_no * 1000 AS updated_at, dense, {_uuid_sql(ids.MEMORY, "$$note:$$ || user_id || $$:$$ || note_id || $$:$$ || (chunk_no % 3)")} AS point_id FROM notes) """
-_TOP = "SELECT query_id, {0}, round(score, 6) AS score, rank FROM (SELECT q.query_id, m.*, list_cosine_similarity(q.dense, m.dense) AS score, row_number() OVER (PARTITION BY q.query_id ORDER BY round(list_cosine_similarity(q.dense, m.dense), 12) DESC, m.point_id) AS rank FROM memory_queries q JOIN {1} m ON m.user_id = q.user_id{2}) WHERE rank <= {3}"
+_TOP = "SELECT query_id, {0}, round(score, 6) AS score, rank FROM (SELECT q.query_id, m.*, list_cosine_similarity(q.dense, m.dense) AS score, row_number() OVER (PARTITION BY q.query_id ORDER BY list_cosine_similarity(q.dense, m.dense) DESC, m.point_id) AS rank FROM memory_queries q JOIN {1} m ON m.user_id = q.user_id{2}) WHERE rank <= {3}"
 
 
 @query("SELECT query_id, (SELECT count(*) FROM memory m WHERE m.user_id = q.user_id) AS candidates FROM memory_queries q")
@@ -570,13 +570,14 @@ def v2_query_notes(s, d):
     return search.query_notes(X.memory_queries(s, d), X.note_points(s, d), 10, ["open", "old"], ["fact"]).select("query_id", "point_id", "note_id", "chunk_no", "text", "type", "status", "updated_at", F.round("score", 6).alias("score"), "rank")
 
 
-@query("SELECT q.query_id, m.chunk_no, round(list_cosine_similarity(q.dense, m.dense), 6) AS score, row_number() OVER (PARTITION BY q.query_id ORDER BY round(list_cosine_similarity(q.dense, m.dense), 12) DESC, m.chunk_no) AS rank FROM memory_queries q JOIN memory m ON m.session_id = q.query_id % 20")
+@query("SELECT q.query_id, m.chunk_no, round(list_cosine_similarity(q.dense, m.dense), 6) AS score, row_number() OVER (PARTITION BY q.query_id ORDER BY list_cosine_similarity(q.dense, m.dense) DESC, m.chunk_no) AS rank FROM memory_queries q JOIN memory m ON m.chunk_no % 20 = (q.query_id // 50) % 20")
 def v3_score_chunks(s, d):
-    q = X.memory_queries(s, d).select("query_id", F.expr("query_id % 20").alias("session_id"), "dense")
+    # the queries' ids are multiples of 50: taken in turn they meet all 20 documents
+    q = X.memory_queries(s, d).select("query_id", F.expr("query_id div 50 % 20").alias("session_id"), "dense")
     return search.score_chunks(q, X.memory(s, d), "session_id").select("query_id", "chunk_no", F.round("score", 6).alias("score"), "rank")
 
 
-@query(f""", ranked AS (SELECT q.query_id, m.chunk_no, row_number() OVER (PARTITION BY q.query_id ORDER BY round(list_cosine_similarity(q.dense, m.dense), 12) DESC, m.chunk_no) AS rank FROM memory_queries q JOIN memory m ON m.chunk_no // 200 = q.query_id // 200),
+@query(f""", ranked AS (SELECT q.query_id, m.chunk_no, row_number() OVER (PARTITION BY q.query_id ORDER BY list_cosine_similarity(q.dense, m.dense) DESC, m.chunk_no) AS rank FROM memory_queries q JOIN memory m ON m.chunk_no // 200 = q.query_id // 200),
 again AS (SELECT *, CASE WHEN rank <= {search.RERANKED} THEN {_SIGMOID.format("CASE WHEN query_id = chunk_no THEN 2.0 ELSE -2.0 END")} END AS score FROM ranked)
 SELECT query_id, chunk_no, rank, row_number() OVER (PARTITION BY query_id ORDER BY (rank > {search.RERANKED})::INT, score DESC, rank) AS final_rank, round(score, 6) AS rerank_score FROM again""")
 def v4_retrieve_rerank(s, d):
@@ -597,14 +598,16 @@ def v5_preview_chunks(s, d):
 
 
 def upserted_chunks(s, d):
-    old = X.chunks(s, d).select("point_id", "file_id", "text")
+    # laid out by file, as an upsert's result would be for the next one: the join leaves the old side where it is
+    rows = X.chunks(s, d).select("point_id", "file_id", "text")
+    old = layout.clustered(rows, "file_id", max(16, -(-rows.count() // 100_000)))
     new = old.filter("point_id like '%3'").select(F.concat(F.lit("n"), "point_id").alias("point_id"), "file_id", F.lit("new").alias("text"))
     return upserts.upsert_chunks(old, new)
 
 
-@query("SELECT point_id, file_id, text FROM chunks WHERE file_id NOT IN (SELECT file_id FROM chunks WHERE point_id LIKE '%3') UNION ALL SELECT 'n' || point_id, file_id, 'new' FROM chunks WHERE point_id LIKE '%3'")
+@query("SELECT point_id, file_id, sha256(text) AS text_sha256 FROM chunks WHERE file_id NOT IN (SELECT file_id FROM chunks WHERE point_id LIKE '%3') UNION ALL SELECT 'n' || point_id, file_id, sha256('new') FROM chunks WHERE point_id LIKE '%3'")
 def u1_upsert_chunks(s, d):
-    return shown(upserted_chunks(s, d))
+    return hashed(upserted_chunks(s, d))
 
 
 @query("SELECT conv_id || '.' || turn AS point_id, CASE WHEN turn = 0 THEN 'new' ELSE text END AS text FROM conversations")
@@ -768,12 +771,12 @@ def m11_rescan_root(s, d):
 lef AS (SELECT p.root_id, p.path, p.file_id FROM file_paths p WHERE root_id IN (SELECT id FROM inventory_roots) AND NOT EXISTS (SELECT 1 FROM kept k WHERE k.root_id = p.root_id AND k.path = p.path AND k.class = 'extra'))
 SELECT 'job' AS kind, root_id || '|' || path AS name, CASE class WHEN 'missing' THEN 'index' ELSE 'reindex' END AS value FROM kept p WHERE class = 'missing' AND ext IN ({X.ENABLED}) AND NOT EXISTS (SELECT 1 FROM open_jobs o WHERE o.root_id = p.root_id AND o.path = p.path AND p.root_id IN (SELECT id FROM inventory_roots))
 UNION ALL SELECT 'job', root_id || '|' || path, 'reindex' FROM kept p WHERE class = 'stale' AND {_FREE}
-UNION ALL SELECT 'path', root_id || '|' || path, file_id FROM lef
+UNION ALL (WITH gone AS (SELECT DISTINCT file_id FROM file_paths p WHERE NOT EXISTS (SELECT 1 FROM lef l WHERE l.root_id = p.root_id AND l.path = p.path)) {_told("gone", "lef")})
 UNION ALL SELECT 'retired', root_id, NULL FROM (SELECT DISTINCT root_id FROM file_paths WHERE root_id NOT IN (SELECT id FROM inventory_roots))""")
 def m12_verify(s, d):
     out = verify.verify(tables(s, d), X.inventory_files(s, d), X.inventory_roots(s, d), X.allowlist(s), X.rules(s), NOW)
     name = F.concat_ws("|", "root_id", "path")
-    rows = out.jobs.select(F.lit("job").alias("kind"), name.alias("name"), F.col("op").alias("value")).union(out.ledger.paths.select(F.lit("path"), name, "file_id"))
+    rows = out.jobs.select(F.lit("job").alias("kind"), name.alias("name"), F.col("op").alias("value")).union(told(out.ledger))
     return rows.union(out.retired.select(F.lit("retired"), "root_id", F.lit(None).cast("string")))
 
 

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..session import shared_dir
+
 LAYOUT = "layout.json"
 
 
@@ -125,6 +127,25 @@ def replace_buckets(old_path: str, new: DataFrame, folder: str, gone: DataFrame
     return _commit(spark, path, Layout(old.key, old.buckets, old.schema, {b: p for b, p in old.folders.items() if b not in touched} | written))
 
 
+def clustered(df: DataFrame, key: str | list[str], buckets: int) -> DataFrame:
+    """df as a table of the shared folder that Spark knows to be bucketed and sorted by key: a join or aggregation by the key reads it
+    where it is, and only the other side is shuffled (into as many buckets)."""
+    key = [key] if isinstance(key, str) else list(key)
+    spark, name = df.sparkSession, f"docindex_{uuid.uuid4().hex}"
+    rows = df.repartition(buckets, *key).write.format("parquet").bucketBy(buckets, *key).sortBy(*key)
+    rows.option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
+def open_clustered(spark: SparkSession, path: str, schema: StructType, key: list[str], buckets: int) -> DataFrame:
+    """What clustered() left at path, in another session."""
+    name = f"docindex_{uuid.uuid4().hex}"
+    quoted = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    keys = ", ".join(f"`{k}`" for k in key)
+    spark.sql(f"CREATE TABLE {name} ({quoted}) USING parquet CLUSTERED BY ({keys}) SORTED BY ({keys}) INTO {buckets} BUCKETS LOCATION '{path}'")
+    return spark.table(name)
+
+
 def expire(spark: SparkSession, folder: str, kept: list[str]) -> list[str]:
     """Deletes the snapshots below folder that are not kept, and those of their buckets that no kept one names; what went."""
     used = {p.rsplit("/data/", 1)[0] for path in kept for p in layout(spark, path).folders.values()} | set(kept)
