@@ -2,10 +2,10 @@
 for byte checks, while duplicates inside the new batch are grouped separately.
 
 Texts are equal when identical after white space [\\x20\\x09-\\x0D] is deleted; null counts as empty. Each batch is first
-reduced to one row per digest (partial aggregation, so a group with a third of all rows leaves one row per task). Digests
-of the snapshot fall into buckets of about BUCKET keys, and each bucket has one filter, built once and kept beside the snapshot; an
-incoming digest that its bucket's filter rejects is certainly new and meets nothing else. The others are grouped with the
-snapshot by the whole 32-byte SHA-256.
+reduced to one row per digest (partial aggregation, so a group with a third of all rows leaves one row per task). The
+snapshot is laid out by digest in exact buckets, and has a filter for about every BUCKET digests, built once and kept beside it; an
+incoming digest that its filter rejects is certainly new and meets nothing else. The others are looked up in the exact
+buckets by the whole 32-byte SHA-256.
 
 Defined results: empty texts form one group; ties in length go to the smallest doc_id (null last), then to one of the
 repeated rows; a very long text is one value, hashed by itself; an empty table gives no rows; other columns are ignored, whatever
@@ -14,6 +14,7 @@ their names.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,10 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.layout import clustered, open_clustered
 from .common import cut, mixed, own_columns, unused
 
-#: Distinct digests that one filter holds on average.
-BUCKET = 50_000
+#: Distinct digests that one filter holds on average, and an exact bucket; exact buckets of a snapshot at least.
+BUCKET, STORED, LEAST = 50_000, 2_000_000, 16
+#: Groups of more than 1 / HOT of all rows are large.
+HOT = 1000
 #: Bits of a fingerprint; 2**-8 of the new digests pass by chance and are found out by the exact join.
 FINGERPRINT = np.uint8
 
@@ -122,28 +126,34 @@ def _build(pdf: pd.DataFrame) -> pd.DataFrame:
 
 @dataclass
 class Snapshot:
-    """Groups that don't change any more (digest, best, n) and their filters, one row a bucket."""
+    """Groups that don't change any more (digest, best, n), laid out by their digests in `stored_in` exact buckets, and their
+    filters, one row for each of the filters' own, smaller buckets."""
 
     groups: DataFrame
     filters: DataFrame
+    stored_in: int
 
     def save(self, folder: str) -> None:
-        self.groups.write.parquet(f"{folder}/groups")
-        self.filters.write.parquet(f"{folder}/filters")
+        self.groups.write.format("parquet").bucketBy(self.stored_in, "digest").sortBy("digest").option("path", f"{folder}/groups").saveAsTable(f"docindex_{uuid.uuid4().hex}")
+        self.filters.withColumn("stored_in", F.lit(self.stored_in)).write.parquet(f"{folder}/filters")
 
 
 def load(spark: SparkSession, folder: str) -> Snapshot:
-    """What save() wrote: later batches are screened without building the filters again."""
-    return Snapshot(spark.read.parquet(f"{folder}/groups"), spark.read.parquet(f"{folder}/filters"))
+    """What save() wrote: later batches are screened without building the filters or laying out the groups again."""
+    filters = spark.read.parquet(f"{folder}/filters")
+    first, schema = filters.select("stored_in").head(), spark.read.parquet(f"{folder}/groups").schema
+    if first is None:
+        return snapshot_of(spark.createDataFrame([], schema))
+    return Snapshot(open_clustered(spark, f"{folder}/groups", schema, ["digest"], first[0]), filters.drop("stored_in"), first[0])
 
 
 def snapshot_of(groups: DataFrame) -> Snapshot:
-    """A snapshot of grouped() rows, with a filter for each bucket of their digests."""
-    groups = cut(groups)
-    buckets = max(1, -(-groups.count() // BUCKET))
+    """A snapshot of grouped() rows (cut), with a filter for each of the filters' buckets of their digests."""
+    n = groups.count()
+    stored_in, buckets = max(LEAST, -(-n // STORED)), max(1, -(-n // BUCKET))
     keyed = groups.select(F.pmod(F.xxhash64("digest"), F.lit(buckets)).alias("bucket"), F.xxhash64("digest", F.lit(1)).alias("key"))
     filters = keyed.groupBy("bucket").applyInPandas(_build, "bucket long, seed int, segment int, segments int, cells binary")
-    return Snapshot(groups, cut(filters.withColumn("buckets", F.lit(buckets).cast("long"))))
+    return Snapshot(clustered(groups, "digest", stored_in), cut(filters.withColumn("buckets", F.lit(buckets).cast("long"))), stored_in)
 
 
 def screen(incoming: DataFrame, filters: DataFrame) -> DataFrame:
@@ -169,22 +179,43 @@ def screen(incoming: DataFrame, filters: DataFrame) -> DataFrame:
     return keyed.groupBy("bucket", "slice").cogroup(copies.groupBy("bucket", "slice")).applyInArrow(look, schema)
 
 
-def merged(snapshot: Snapshot, incoming: DataFrame) -> DataFrame:
-    """Groups of the snapshot and of an incoming batch (grouped(), cut) together: only digests that the filters let through meet
-    the snapshot's."""
+def met_and_new(snapshot: Snapshot, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(the snapshot's groups with what came to them, the new groups) of an incoming batch (grouped(), cut).
+
+    Digests that the filters let through are looked up in the snapshot's exact buckets, by their 32 bytes: only they travel, into as
+    many buckets, and the snapshot's groups stay where they are. What isn't found there came through the filter by chance."""
     screened = cut(screen(incoming, snapshot.filters))
-    met = snapshot.groups.unionByName(screened.filter("maybe").drop("maybe")).groupBy("digest").agg(F.max("best").alias("best"), F.sum("n").alias("n"))
-    return met.unionByName(screened.filter("not maybe").drop("maybe"))
+    through = screened.filter("maybe").select("digest", F.col("best").alias("best2"), F.col("n").alias("n2"))
+    found = snapshot.groups.join(through.hint("shuffle_merge"), "digest", "left")
+    met = found.select("digest", F.greatest("best", F.coalesce("best2", "best")).alias("best"), (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n"))
+    chance = screened.filter("maybe").drop("maybe").hint("shuffle_merge").join(snapshot.groups.select("digest"), "digest", "left_anti")
+    return met, screened.filter("not maybe").drop("maybe").unionByName(chance)
+
+
+def merged(snapshot: Snapshot, incoming: DataFrame) -> DataFrame:
+    """Groups of the snapshot and of an incoming batch (grouped(), cut) together."""
+    met, new = met_and_new(snapshot, incoming)
+    return met.unionByName(new)
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """Every row: doc_id, keep_id, group_size, kept, text_sha256, row_no.
 
-    The table is taken in as two batches, by a hash of the id: the first is the snapshot, the second is screened by its filters."""
+    The table is taken in as two batches, by a hash of the id: the first is the snapshot, the second is screened by its filters.
+    Rows of groups that hold more than 1 / HOT of all rows, 4 * HOT digests at most, get their group from a broadcast table, so that no
+    task gathers a large group; the others are joined by digest with the exact buckets, and with the new groups."""
     rows = cut(digests(docs))
     second = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 1
-    groups = merged(snapshot_of(grouped(rows.filter(~second))), cut(grouped(rows.filter(second))))
-    out = rows.join(groups, "digest")
+    first, incoming = cut(grouped(rows.filter(~second))), cut(grouped(rows.filter(second)))
+    met, new = met_and_new(snapshot_of(first), incoming)
+    least = rows.count() / (2 * HOT)
+    hot = F.broadcast(cut(first.filter(F.col("n") > least).select("digest").unionByName(incoming.filter(F.col("n") > least).select("digest")).distinct().coalesce(1)))
+    large = F.broadcast(met.join(hot, "digest", "left_semi").unionByName(new.join(hot, "digest", "left_semi")))
+    many = rows.join(large, "digest")
+    old = met.select("digest", F.col("best").alias("best1"), F.col("n").alias("n1"))
+    few = rows.join(hot, "digest", "left_anti").hint("shuffle_merge").join(old, "digest", "left").join(new, "digest", "left")
+    few = few.select(*rows.columns, F.coalesce("best1", "best").alias("best"), F.coalesce("n1", "n").alias("n"))
+    out = many.select(*few.columns).unionByName(few)
     keep_id = F.when(F.col("best.known"), F.bitwise_not("best.low_id"))
     return out.select(
         "doc_id",

@@ -56,6 +56,8 @@ def test_a_saved_snapshot_screens_later_batches(spark, documents, tmp_path):
     both = exact_dedup.merged(kept, second)
     whole = exact_dedup.merged(exact_dedup.snapshot_of(both), third).select("digest", "n", "best.n_points")
     assert made(whole, "digest", "n", "n_points") == made(exact_dedup.grouped(rows).select("digest", "n", "best.n_points"), "digest", "n", "n_points")
+    plan = exact_dedup.met_and_new(kept, second)[0]._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and plan.count("Exchange") <= 1  # the snapshot's groups stay in their buckets
     again = exact_dedup.screen(first, kept.filters)
     assert again.filter("maybe").count() == first.count() and again.columns == [*first.columns, "maybe"]
 
@@ -249,3 +251,16 @@ def test_ngram_join_of_a_key_that_most_documents_share(spark, monkeypatch):
     rows = [(i, shared + " " + " ".join(rng.choice("abcdefgh") + str(rng.randint(0, 400)) for _ in range(rng.choice([1, 2, 60])))) for i in range(300)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
     assert made(ngram_join.linked(df), "doc_id", "n_shingles", "component_id") == sorted(brute.linked(rows), key=repr)
+
+
+def test_large_groups_and_filters_that_let_all_through(spark, documents, texts, monkeypatch):
+    want = sorted(brute.dedup(pairs(texts)), key=repr)
+    told = ("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    monkeypatch.setattr(exact_dedup, "HOT", 60)  # groups of a few rows count as large
+    assert made(exact_dedup.dedup(documents), *told) == want
+    monkeypatch.setattr(exact_dedup, "maybe_in", lambda keys, *f: np.ones(len(keys), bool))
+    monkeypatch.setattr(exact_dedup, "HOT", 1)
+    assert made(exact_dedup.dedup(documents), *told) == want
+    rows = [(i, "same text" if i % 3 else f"own {i}") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    assert made(exact_dedup.dedup(df), *told) == sorted(brute.dedup(rows), key=repr)
