@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import mimetypes
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,6 +89,36 @@ def glob_regex(glob: str) -> str:
     return r"(?s)\A" + "".join(out) + r"\z"
 
 
+#: A path's pieces, each up to a sign: what prefixes of paths and globs are cut at.
+PIECE = r"[A-Za-z0-9]*[^A-Za-z0-9]"
+
+
+def glob_key(glob: str) -> str:
+    """A literal that every path the glob matches has, as one of its path_keys(): the longest literal prefix (p:), the whole name (n:), a
+    folder (f:) or the extension (e:); empty if the glob has none of these."""
+    start = re.split(r"[*?\[]", glob, maxsplit=1)[0]
+    prefix = "".join(re.findall(PIECE, start)) if start != glob else start[: start.rfind("/") + 1]
+    if len(prefix) > 1:
+        return "p:" + prefix
+    if name := re.search(r"/([^/*?\[\]]+)$", glob):
+        return "n:" + name[1]
+    if "[" not in glob and (folders := re.findall(r"(?<=/)[^/*?]+(?=/)", glob)):
+        return "f:" + max(folders, key=len)
+    if ext := re.search(r"\.([^./*?\[\]]+)$", glob):
+        return "e:" + ext[1]
+    return ""
+
+
+def path_keys(path: Column) -> Column:
+    """All keys that a glob which matches the path may have, but the empty one; as many as the path has signs and folders."""
+    pieces, parts = F.regexp_extract_all(path, F.lit(PIECE), 0), F.split(path, "/")
+    upto = lambda n: F.filter(F.sequence(F.lit(0), n), lambda i: i > 0)
+    prefixes = F.transform(upto(F.size(pieces)), lambda i: F.concat(F.lit("p:"), F.array_join(F.slice(pieces, F.lit(1), i), "")))
+    folders = F.transform(F.filter(parts, lambda _, i: (i > 0) & (i < F.size(parts) - 1)), lambda x: F.concat(F.lit("f:"), x))
+    name = F.array(F.concat(F.lit("n:"), F.element_at(parts, -1)), F.concat(F.lit("e:"), F.regexp_extract(path, r"\.([^./]*)\z", 1)))
+    return F.array_distinct(F.concat(prefixes, folders, name))
+
+
 def mime_types(spark: SparkSession) -> DataFrame:
     """(ext, mime) of the standard library's table."""
     return spark.createDataFrame(sorted(mimetypes.types_map.items()), "ext string, mime string")

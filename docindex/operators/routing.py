@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.paths import glob_regex, is_gated, path_ext
+from ..functions.paths import glob_key, glob_regex, is_gated, path_ext, path_keys
+from ..session import stored
 
 MAX_FILE_BYTES = 4 * 1024 * 1024
 # Extensions by the reader that takes them; all others are plain text.
@@ -13,8 +17,8 @@ MARKDOWN = (".md", ".markdown")
 CONVERTED = (".pdf", ".docx", ".pptx", ".xlsx", ".html", ".htm")
 LEGACY = (".doc", ".ppt", ".xls", ".wps")
 SOURCE = (".py", ".go", ".rs", ".ts", ".tsx", ".js", ".jsx", ".java", ".cpp", ".c", ".h", ".hpp", ".cs", ".rb", ".php", ".swift", ".kt", ".scala", ".sh", ".bash", ".sql", ".lua")
-#: Rules that become one expression at most; more are joined per path, up to so many different globs.
-RULES, GLOBS = 200, 20_000
+#: Rules that become one expression at most; more are joined with the paths by their keys.
+RULES = 200
 
 
 def route_files(files: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
@@ -45,23 +49,35 @@ def _by_rules(paths: DataFrame, rules: list[tuple[str, str, str]]) -> tuple[Colu
     return deny, allow
 
 
+def with_patterns(rules: DataFrame) -> DataFrame:
+    """root_id, action, path_glob of rules, with `_key` and `_pattern` of the globs."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            globs = b.column("path_glob").to_pylist()
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([glob_key(g) for g in globs], pa.string()), pa.array([glob_regex(g) for g in globs], pa.string())], [*b.schema.names, "_key", "_pattern"])
+
+    return rules.select("root_id", "action", "path_glob").filter("path_glob is not null").mapInArrow(work, "root_id string, action string, path_glob string, _key string, _pattern string")
+
+
 def indexable(paths: DataFrame, exts: DataFrame, rules: DataFrame) -> DataFrame:
     """P5: paths (root_id, path, ...) with `indexable`: never below a gate, never on a deny rule, else on an allow rule or by extension.
 
-    Rules are control rows typed in by people. Up to RULES of them become an expression; more are matched by a join of the
-    distinct (root_id, path) on root_id, so that a row only meets the rules of its own root."""
+    Up to RULES rules become an expression. More are keyed by a literal of their glob (glob_key), and a path meets only the rules
+    of its own root whose key it has; then the pattern decides. Rules whose glob has no literal to go by are an expression, as
+    long as they are few, and meet all paths of their root beyond that."""
     few = rules.select("root_id", "path_glob", "action").limit(RULES + 1).collect()
     if len(few) <= RULES:
         deny, allow = _by_rules(paths, [(r["root_id"], r["path_glob"], r["action"]) for r in few])
         ruled = paths.withColumn("_deny", deny).withColumn("_allow", allow)
     else:
-        globs = rules.select("path_glob").distinct().limit(GLOBS + 1).collect()
-        if len(globs) > GLOBS:
-            raise ValueError(f"more than {GLOBS} globs")
-        patterns = paths.sparkSession.createDataFrame([(g["path_glob"], glob_regex(g["path_glob"])) for g in globs], "path_glob string, _pattern string")
-        hits = paths.select("root_id", "path").distinct().join(rules.join(patterns, "path_glob"), "root_id").filter(F.expr("path rlike _pattern"))
-        hits = hits.groupBy("root_id", "path").agg(F.bool_or(F.col("action") == "deny").alias("_deny"), F.bool_or(F.col("action") == "allow").alias("_allow"))
-        ruled = paths.join(hits, ["root_id", "path"], "left")
+        keyed = stored(with_patterns(rules))
+        wide = keyed.filter("_key = ''").select("root_id", "path_glob", "action").limit(RULES + 1).collect()
+        deny, allow = _by_rules(paths, [(r["root_id"], r["path_glob"], r["action"]) for r in wide]) if len(wide) <= RULES else (F.lit(False), F.lit(False))
+        own = path_keys(F.col("path")) if len(wide) <= RULES else F.concat(path_keys(F.col("path")), F.array(F.lit("")))
+        met = paths.select("root_id", "path").distinct().withColumn("_key", F.explode(own)).join(keyed, ["root_id", "_key"]).filter(F.expr("path rlike _pattern"))
+        hits = met.groupBy("root_id", "path").agg(F.bool_or(F.col("action") == "deny").alias("_denied"), F.bool_or(F.col("action") == "allow").alias("_allowed"))
+        ruled = paths.join(hits, ["root_id", "path"], "left").withColumn("_deny", deny | F.coalesce("_denied", F.lit(False))).withColumn("_allow", allow | F.coalesce("_allowed", F.lit(False))).drop("_denied", "_allowed")
     named = ruled.withColumn("_e", path_ext(F.col("path"))).join(_enabled(exts), F.col("_e") == F.col("_ext"), "left")
     yes = ~is_gated(F.col("path")) & ~F.coalesce("_deny", F.lit(False)) & (F.coalesce("_allow", F.lit(False)) | F.col("_ext").isNotNull())
     return named.withColumn("indexable", yes).drop("_deny", "_allow", "_e", "_ext")

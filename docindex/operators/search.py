@@ -1,8 +1,8 @@
 """Exact filtered vector top-k (V1-V4).
 
 Vectors are dealt by (filter key, salt) and queries by (filter key, slice), and each block of vectors meets each slice of its key's
-queries: a hot key is spread over many tasks of bounded size. A task multiplies them, keeps the k best of each query, and one
-window merges the blocks' finds; pairs are never rows."""
+queries: a hot key is spread over many tasks of bounded size. A task passes over the pieces of its block that cannot hold any of the k best, multiplies
+the others, keeps the k best of each query by exact cosines, and one window merges the blocks' finds; pairs are never rows."""
 
 from __future__ import annotations
 
@@ -19,22 +19,55 @@ from .inference import score_pairs
 
 #: Vectors of a block that a key is cut into, and queries of a slice that meets it.
 BLOCK, SLICE = 20_000, 4096
+#: Rows of a piece of a block on average: what is passed over at once.
+PIECE = 256
 #: What a product of matrices may be off by; all that near are scored again pair by pair.
 CLOSE = 1e-9
+#: What the difference of two angles may be off by: near 0 an angle has half the digits of its cosine.
+ANGLE = 1e-7
 RERANKED = 20
 
 
-def near_best(rough: np.ndarray, k: int) -> np.ndarray:
-    """Where the scores are that may be among the k best, if they are off by less than CLOSE."""
-    return np.flatnonzero(rough >= np.partition(rough, -k)[-k] - CLOSE) if len(rough) > k else np.arange(len(rough))
-
-
 def exact_cosines(one: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """The cosine of one vector with each row: its bits depend on the two vectors alone, so that ties are the same in every block."""
+    """The cosine of each row with its other one: its bits depend on the two vectors alone, so that ties are the same in every block."""
     norm = lambda m: np.maximum(np.sqrt((m * m).sum(axis=-1)), np.finfo(float).tiny)
     return (rows * one).sum(axis=1) / (norm(rows) * norm(one))
 
 
+def candidates(q: np.ndarray, m: np.ndarray, k: int, piece: int = PIECE) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """(query, row) of all unit rows of m that may be among the k best of unit queries q, the pieces that were scored and all there are,
+    each counted once a query.
+
+    Rows are dealt to pieces by their nearest pivot (rows at even distances), and a piece knows its largest angle to the pivot. A query
+    scores the piece of its nearest pivot first; then only pieces that the angles leave a chance against its k-th score (the triangle
+    inequality on the sphere), so that what is left out is certainly no better."""
+    n = len(m) // piece
+    pivots = m[np.linspace(0, len(m) - 1, max(n, 1)).astype(np.int64)]
+    own = (m @ pivots.T).argmax(axis=1)
+    order = np.argsort(own, kind="stable")
+    edges = np.searchsorted(own[order], np.arange(len(pivots) + 1))
+    angle = lambda c: np.arccos(np.clip(c, -1, 1))
+    radius = np.array([angle((m[order[a:z]] * pivots[b]).sum(axis=1)).max(initial=0) for b, (a, z) in enumerate(zip(edges, edges[1:], strict=False))])
+    away = angle(q @ pivots.T)
+    bound = np.cos(np.maximum(away - radius - ANGLE, 0)) if n > 1 else np.ones_like(away)
+    first, kth = away.argmin(axis=1), np.full(len(q), -np.inf)
+    found, met = [], 0
+    for again in (False, True):
+        for b, (a, z) in enumerate(zip(edges, edges[1:], strict=False)):
+            which = np.flatnonzero((first != b) & (bound[:, b] >= kth - 2 * CLOSE) if again else first == b) if z > a else np.empty(0, np.int64)
+            for at in range(0, len(which), 256):
+                some = which[at : at + 256]
+                score = q[some] @ m[order[a:z]].T
+                if z - a >= k:
+                    kth[some] = np.maximum(kth[some], np.partition(score, -k, axis=1)[:, -k])
+                i, j = np.nonzero(score >= kth[some][:, None] - CLOSE)
+                found.append((some[i], order[a + j], score[i, j]))
+            met += len(which)
+    i, j, score = (np.concatenate(x) for x in zip(*found, strict=True))
+    fine = score >= kth[i] - CLOSE
+    return i[fine], j[fine], met, len(q) * int((np.diff(edges) > 0).sum())
+
+
 def top_k(queries: DataFrame, vectors: DataFrame, k: int, key: str, id_column: str) -> DataFrame:
     """query_id, id_column, score, rank: the k vectors of largest cosine among those with the query's key.
 
@@ -54,17 +87,13 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, key: str, id_column: s
         if left.empty or right.empty:
             return pd.DataFrame({"query_id": left["_q"].iloc[:0], "found": right["_id"].iloc[:0], "score": np.empty(0)})
         ids, asked, given = right["_id"].to_numpy(), left["_q"].to_numpy(), np.stack(right["_v"])
-        m = unit(given)
-        order, out = np.unique(ids, return_inverse=True)[1], []
-        for at in range(0, len(left), 256):
-            some = np.stack(left["_v"].iloc[at : at + 256])
-            for i, own, line in zip(asked[at : at + 256], some, unit(some) @ m.T, strict=True):
-                near = near_best(line, k)
-                score = exact_cosines(own, given[near])
-                top = np.lexsort((order[near], -score))[:k]
-                out.append((np.full(len(top), i), ids[near[top]], score[top]))
-        query_id, found, score = (np.concatenate(x) for x in zip(*out, strict=True))
-        return pd.DataFrame({"query_id": query_id, "found": found, "score": score})
+        order, some = np.unique(ids, return_inverse=True)[1], np.stack(left["_v"])
+        i, j, _, _ = candidates(unit(some), unit(given), k)
+        score = np.concatenate([exact_cosines(some[i[at : at + 50_000]], given[j[at : at + 50_000]]) for at in range(0, len(i), 50_000)])
+        best = np.lexsort((order[j], -score, i))
+        i, j, score = i[best], j[best], score[best]
+        kept = np.arange(len(i)) - np.searchsorted(i, i) < k
+        return pd.DataFrame({"query_id": asked[i[kept]], "found": ids[j[kept]], "score": score[kept]})
 
     found = q.groupBy("_key", "_salt", "_slice").cogroup(v.groupBy("_key", "_salt", "_slice")).applyInPandas(block, f"query_id long, found {vectors.schema[id_column].dataType.simpleString()}, score double")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "found")

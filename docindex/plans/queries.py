@@ -149,6 +149,21 @@ def p5_indexable(s, d):
     return routing.indexable(X.files(s, d).select("root_id", "path"), X.allowlist(s), X.rules(s))
 
 
+def many_rules(s: SparkSession, d: str) -> DataFrame:
+    """Rules for the documents' files, more than one for each: by prefix, by name, and by whole paths in another root."""
+    k, root = F.col("doc_id"), lambda n: X.text("r", F.expr(f"(doc_id + {n}) % 7"))
+    rows = X.table(s, d, "documents").select("doc_id", "source")
+    deny = rows.filter("doc_id % 3 = 0").select(root(0).alias("root_id"), X.text("/DATA/", F.col("source"), "/docs/d", k, ".*").alias("path_glob"), F.lit("deny").alias("action"))
+    allow = rows.filter("doc_id % 2 = 0").select(root(0).alias("root_id"), X.text("*/d", k, ".mov").alias("path_glob"), F.lit("allow").alias("action"))
+    other = rows.select(root(1).alias("root_id"), X.text("/DATA/", F.col("source"), "/docs/d", k, ".csv").alias("path_glob"), F.lit("allow").alias("action"))
+    return deny.unionByName(allow).unionByName(other)
+
+
+@query(f"SELECT root_id, path, doc_id % 13 NOT IN (0, 1, 2) AND doc_id % 3 <> 0 AND ((ext = '.mov' AND doc_id % 2 = 0) OR ext IN ({X.ENABLED})) AS indexable FROM files")
+def p5_many_rules(s, d):
+    return routing.indexable(X.files(s, d).select("root_id", "path"), X.allowlist(s), many_rules(s, d))
+
+
 @query(""", batch AS (SELECT id, CASE WHEN id % 8 = 1 THEN replace(path, '/DATA/', '/DATA/.Trash-7/') ELSE path END AS path, op IN ('index', 'reindex') AND id % 8 = 1 AS gated FROM parse_jobs WHERE done_at IS NULL) SELECT * FROM batch""")
 def p6_split_gated(s, d):
     """Some of the open jobs lie below a gate; those of them that index are skipped, deletions aren't."""
