@@ -84,8 +84,8 @@ def index_batch(
     paths = stored(upsert_paths(ledger.paths, actions.select("root_id", "path", "file_id", "mtime_ms").select(ledger.paths.columns)))
 
     full = actions.filter("action = 'FULL_INDEX' and indexable").select("root_id", "path", "file_id", "sha256_full", "size", "mtime_ms")
-    content = indexable(files.select("root_id", "path", "content"), exts, rules).filter("indexable").drop("indexable")
-    texts = converted(full.join(content, ["root_id", "path"]), converter)
+    # the chosen paths are indexable: the rules were asked once, above
+    texts = converted(full.join(files.select("root_id", "path", "content"), ["root_id", "path"]), converter)
     made = stored(chunk_routed(texts).select("file_id", "sha256_full", "size", "stored_mime", "mtime_ms", "chunks"))
     chunks = build_chunks(made, paths.select("root_id", "path", "file_id"), parser_version, model_version, now_ms)
     if encoder is not None:

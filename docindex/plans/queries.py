@@ -451,24 +451,99 @@ def c1_chunk_plain(s, d):
     return chunk_rows(chunking.chunk_plain_texts(X.table(s, d, "documents").select("doc_id", "text")), "doc_id")
 
 
-@query()
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+def _sections(texts: str, where: str) -> str:
+    """SQL of the lines of `texts` (doc_id, text), with where each begins, and whether it begins a section."""
+    return f"""texts AS ({texts}),
+split AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM texts),
+lines AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM split),
+placed AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos0, {where} AS begins FROM lines)"""
+
+
+#: Sections by heading; a heading's path has the last one of each smaller depth that no shallower one has come after.
+_MD_SECTIONS = _sections("SELECT doc_id, '# ' || source || chr(10) || chr(10) || replace(text, chr(10), CASE WHEN doc_id % 2 = 0 THEN chr(10) || chr(10) || '## Part' || chr(10) || chr(10) ELSE chr(10) || chr(10) END) AS text FROM documents", "regexp_matches(line, '^#{1,6}\\s+.+$')") + f""",
+heads AS (SELECT doc_id, pos0, length(regexp_extract(line, '^(#+)', 1)) AS depth, trim(regexp_extract(line, '^#+\\s+(.+)$', 1), {_BLANKS}) AS title, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS h FROM placed WHERE begins),
+last AS (SELECT *, {", ".join(f"coalesce(max(CASE WHEN depth = {n} THEN h END) OVER (PARTITION BY doc_id ORDER BY h), 0) AS l{n}" for n in range(1, 7))}, list(title) OVER (PARTITION BY doc_id ORDER BY h) AS titles, lead(pos0) OVER (PARTITION BY doc_id ORDER BY h) AS next FROM heads),
+ways AS (SELECT doc_id, h, pos0, next, list_filter([{", ".join(f"CASE WHEN depth >= {n} AND l{n} > greatest(0{''.join(f', l{m}' for m in range(1, n))}) THEN titles[l{n}] END" for n in range(1, 7))}], lambda t: t IS NOT NULL) AS way FROM last),
+secs AS (
+  SELECT t.doc_id, h, pos0 AS first, coalesce(next, length(text)) AS stop, array_to_string(way, ' > ') AS title, text[pos0 + 1:coalesce(next, length(text))] AS body FROM ways w JOIN texts t ON t.doc_id = w.doc_id
+  UNION ALL SELECT t.doc_id, 0, 0, pos0, '', text[1:pos0] FROM ways w JOIN texts t ON t.doc_id = w.doc_id WHERE h = 1 AND trim(text[1:pos0], {_BLANKS}) <> '')"""
+#: Sections by block of source code, titled by their first line.
+_SRC_SECTIONS = _sections("SELECT doc_id, 'def f' || doc_id || '():' || chr(10) || replace(text, chr(10), chr(10) || 'class C:' || chr(10) || '  ') AS text FROM documents", "i > 1 AND regexp_matches(line, '^(def |class |async def |func |fn |type |impl )')") + f""",
+secs AS (
+  SELECT t.doc_id, h, first, stop, left(trim(string_split(ltrim(text[first + 1:stop], {_BLANKS}), chr(10))[1], {_BLANKS}), {chunking.TITLE}) AS title, text[first + 1:stop] AS body
+  FROM (SELECT doc_id, pos0 AS first, row_number() OVER w AS h, lead(pos0) OVER w AS next FROM placed WHERE begins OR i = 1 WINDOW w AS (PARTITION BY doc_id ORDER BY pos0)) p
+  JOIN (SELECT *, length(text) AS n FROM texts) t ON t.doc_id = p.doc_id, LATERAL (SELECT coalesce(next, n) AS stop) WHERE stop > first)"""
+
+
+def _chunks_of(sections: str, least: int, number: str) -> str:
+    """SQL of the chunks of secs (doc_id, h, first, stop, title, body): a section that fits is one, a longer one is packed by recursion
+    along its paragraphs, or else its lines. number: of the section a chunk is in."""
+    target, keep = chunking.TARGET, 4 * chunking.OVERLAP
+    return f""", {sections},
+sized AS (SELECT *, length(body) AS n, trim(body, {_BLANKS}) AS whole, row_number() OVER (PARTITION BY doc_id ORDER BY h) - 1 AS ordinal FROM secs),
+fine AS (SELECT *, greatest(1, length(whole) // 4) AS tokens FROM sized WHERE whole <> '' AND greatest(1, length(whole) // 4) >= {least}),
+parts AS (SELECT doc_id, h, first, stop, n, body, regexp_extract_all(body, '\\n\\s*\\n') AS seps, string_split_regex(body, '\\n\\s*\\n') AS paras, string_split(body, chr(10)) AS rows FROM fine WHERE tokens > {target}),
+cuts AS (SELECT doc_id, h, first, stop, n, body, CASE WHEN len(seps) > 0
+    THEN list_transform(range(1, len(seps) + 1), lambda i: list_sum(list_transform(paras[1:i], lambda x: length(x))) + list_sum(list_transform(seps[1:i], lambda x: length(x))))
+    ELSE list_transform(range(1, len(rows)), lambda i: list_sum(list_transform(rows[1:i], lambda x: length(x) + 1))) END AS found FROM parts),
+ended AS (SELECT doc_id, h, first, stop, n, body, list_sort(list_distinct(list_append(list_transform(found, lambda x: x::BIGINT), n))) AS ends FROM cuts),
+packed AS (
+  SELECT doc_id, h, first, stop, n, body, ends, 0::BIGINT AS start, greatest(1, len(list_filter(ends, lambda x: x < {4 * (target + 1)}))) AS taken FROM ended
+  UNION ALL
+  SELECT doc_id, h, first, stop, n, body, ends, s, greatest(taken + 1, len(list_filter(ends, lambda x: x < s + {4 * (target + 1)})))
+  FROM (SELECT *, CASE WHEN ends[taken] - start > {keep} THEN ends[taken] - {keep} ELSE start END AS s FROM packed WHERE taken < len(ends))),
+pieces AS (
+  SELECT doc_id, h, first + start AS offset_start, CASE WHEN taken = len(ends) THEN stop ELSE first + ends[taken] END AS offset_end, trim(body[start + 1:ends[taken]], {_BLANKS}) AS text, taken FROM packed
+  UNION ALL SELECT doc_id, h, first, stop, whole, 0 FROM fine WHERE tokens <= {target}),
+kept AS (SELECT * FROM pieces WHERE text <> '' AND greatest(1, length(text) // 4) >= {least})
+SELECT k.doc_id, (row_number() OVER (PARTITION BY k.doc_id ORDER BY k.h, taken) - 1)::INT AS chunk_no, k.text, k.offset_start::INT AS offset_start, k.offset_end::INT AS offset_end, title AS section, ({number})::INT AS section_no
+FROM kept k JOIN sized s ON s.doc_id = k.doc_id AND s.h = k.h"""
+
+
+@query(_chunks_of(_MD_SECTIONS, 2, "ordinal"))
 def c2_chunk_markdown(s, d):
     return chunk_rows(chunking.chunk_markdown_texts(X.md_files(s, d)), "doc_id")
 
 
-@query()
+@query(_chunks_of(_SRC_SECTIONS, 5, "dense_rank() OVER (PARTITION BY k.doc_id ORDER BY k.h) - 1"))
 def c3_chunk_source(s, d):
     return chunk_rows(chunking.chunk_source_texts(X.src_files(s, d)), "doc_id")
 
 
-@query()
+def _routed_chunks(texts: str) -> str:
+    """SQL of the chunks of texts (key, ext, text; no headings, blocks, blank lines or markup in them): by route, with markup's converter
+    leaving one line."""
+    target, keep = chunking.TARGET, 4 * chunking.OVERLAP
+    return f"""read AS (SELECT key, CASE WHEN ext = '.html' THEN array_to_string(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> ''), ' ') ELSE text END AS text, CASE WHEN ext = '.py' THEN {chunking.LEAST["source"]} ELSE {chunking.LEAST["plain"]} END AS least FROM ({texts}) WHERE ext <> '.pdf' AND strlen(text) <= {routing.MAX_FILE_BYTES}),
+torn AS (SELECT key, text, least, length(text) AS n, string_split(text, chr(10)) AS rows FROM read WHERE text <> ''),
+ended AS (SELECT key, text, least, n, list_sort(list_distinct(list_append(list_transform(range(1, len(rows)), lambda i: list_sum(list_transform(rows[1:i], lambda x: length(x) + 1))::BIGINT), n))) AS ends FROM torn),
+packed AS (
+  SELECT key, text, least, n, ends, 0::BIGINT AS start, greatest(1, len(list_filter(ends, lambda x: x < {4 * (target + 1)}))) AS taken FROM ended
+  UNION ALL
+  SELECT key, text, least, n, ends, s, greatest(taken + 1, len(list_filter(ends, lambda x: x < s + {4 * (target + 1)})))
+  FROM (SELECT *, CASE WHEN ends[taken] - start > {keep} THEN ends[taken] - {keep} ELSE start END AS s FROM packed WHERE taken < len(ends))),
+pieces AS (SELECT key, least, start, taken, CASE WHEN taken = len(ends) THEN n ELSE ends[taken] END AS stop, trim(text[start + 1:ends[taken]], {_BLANKS}) AS text FROM packed),
+made AS (SELECT key, (row_number() OVER (PARTITION BY key ORDER BY taken) - 1)::INT AS chunk_no, text, start::INT AS offset_start, stop::INT AS offset_end FROM pieces WHERE text <> '' AND greatest(1, length(text) // 4) >= least)"""
+
+
+@query(f""", {_routed_chunks("SELECT path AS key, ext, content AS text FROM files")}
+SELECT path, CASE WHEN ext IN ('.html', '.pdf') THEN 'docling' WHEN ext = '.md' THEN 'markdown' WHEN ext = '.py' THEN 'source' ELSE 'plain' END AS route, chunk_no, text, offset_start, offset_end, '' AS section, chunk_no AS section_no FROM made JOIN files ON key = path""")
 def c4_chunk_files(s, d):
     return chunk_rows(chunking.chunk_routed(converted(X.files(s, d).select("path", "size", "content"))), "path", "route")
 
 
-@query()
+_STORED = "CASE WHEN size > 4194304 THEN 'application/x-too-large/' || ext[2:] WHEN ext = '.html' THEN 'text/markdown+docling/html' WHEN ext = '.pdf' THEN 'application/octet-stream/pdf' WHEN ext = '.md' THEN 'text/markdown' WHEN ext = '.py' THEN 'text/x-source' ELSE 'text/plain' END"
+
+
+@query(f""", chosen AS (SELECT file_id, any_value(content) AS text, any_value(size) AS size, arg_min(ext, (path, root_id)) AS ext, arg_min(mtime_ms, (path, root_id)) AS mtime_ms, array_to_string(list_sort(list(DISTINCT root_id)), ',') AS root_ids FROM fine_files WHERE indexable GROUP BY file_id),
+{_routed_chunks("SELECT file_id AS key, ext, text FROM chosen")}
+SELECT {_uuid_sql(ids.OID, "file_id || $$:body:$$ || chunk_no")} AS point_id, file_id, root_ids, 'body' AS kind, {_STORED} AS mime, chunk_no, {_uuid_sql(ids.OID, "file_id || $$:section:$$ || chunk_no")} AS parent_id, '' AS section, chunk_no AS section_no, made.text, offset_start, offset_end,
+  'auto' AS lang, '{VERSION}' AS parser_version, 'hash/v1' AS embed_model_version, {NOW}::BIGINT AS indexed_at, mtime_ms, NULL::BIGINT AS tombstoned_at FROM made JOIN chosen ON key = file_id""")
 def c5_build_chunks(s, d):
-    return index_files(X.files(s, d), X.allowlist(s), X.rules(s), VERSION, "hash/v1", NOW)
+    return index_files(X.files(s, d), X.allowlist(s), X.rules(s), VERSION, "hash/v1", NOW).withColumn("root_ids", F.array_join("root_ids", ","))
 
 
 @query(", fine AS (SELECT * FROM fine_files WHERE indexable) SELECT file_id, min(path) AS path, count(*) AS n_paths, array_to_string(list_sort(list(DISTINCT root_id)), ',') AS root_ids FROM fine GROUP BY file_id")
@@ -486,7 +561,6 @@ new_paths AS (SELECT root_id, path, file_id FROM batch UNION ALL SELECT root_id,
 lost AS (SELECT DISTINCT o.file_id FROM old_paths o JOIN batch b ON b.root_id = o.root_id AND b.path = o.path WHERE o.file_id <> b.file_id AND o.file_id NOT IN (SELECT file_id FROM new_paths)),
 work AS (SELECT b.file_id, any_value(size) AS size, min(path) AS any_path, bool_or(indexable) AND NOT coalesce(bool_or(r.current), false) AS indexed, arg_min(ext, (NOT indexable, doc_id)) AS ext, arg_min(b.ext, path) AS first_ext FROM batch b LEFT JOIN old_records r ON r.file_id = b.file_id GROUP BY b.file_id)
 """
-_STORED = "CASE WHEN size > 4194304 THEN 'application/x-too-large/' || ext[2:] WHEN ext = '.html' THEN 'text/markdown+docling/html' WHEN ext = '.pdf' THEN 'application/octet-stream/pdf' WHEN ext = '.md' THEN 'text/markdown' WHEN ext = '.py' THEN 'text/x-source' ELSE 'text/plain' END"
 
 
 def before_batch(s: SparkSession, d: str) -> ledger.Ledger:
@@ -516,17 +590,23 @@ def flagship_batch(s, d):
     return told.union(out.paths.select(F.lit("path"), F.concat_ws("|", "root_id", "path"), "file_id"))
 
 
-@query()
+@query(_BEFORE + f""", {_routed_chunks("SELECT w.file_id AS key, w.ext, f.text FROM work w JOIN (SELECT file_id, any_value(content) AS text FROM files GROUP BY file_id) f ON f.file_id = w.file_id WHERE indexed")},
+roots AS (SELECT file_id, array_to_string(list_sort(list(DISTINCT root_id)), ',') AS root_ids FROM new_paths GROUP BY file_id),
+moved AS (SELECT DISTINCT o.file_id FROM old_paths o JOIN batch b ON b.root_id = o.root_id AND b.path = o.path WHERE o.file_id <> b.file_id AND NOT EXISTS (SELECT 1 FROM new_paths n WHERE n.file_id = o.file_id AND n.root_id = o.root_id)),
+changed AS (SELECT file_id FROM moved UNION SELECT b.file_id FROM batch b LEFT JOIN old_records r ON r.file_id = b.file_id GROUP BY b.file_id HAVING count(*) > 1 OR coalesce(bool_or(r.current), false))
+SELECT {_uuid_sql(ids.OID, "key || $$:body:$$ || chunk_no")} AS point_id, key AS file_id, root_ids, chunk_no, text, NULL::BIGINT AS tombstoned_at, 16 AS dim FROM made JOIN roots ON roots.file_id = key
+UNION ALL SELECT {_uuid_sql(ids.OID, "r.file_id || $$:body:0$$")}, r.file_id, CASE WHEN r.file_id IN (SELECT file_id FROM changed) THEN coalesce(root_ids, '') ELSE 'before' END, 0, 'before', CASE WHEN r.file_id IN (SELECT file_id FROM changed) THEN CASE WHEN root_ids IS NULL THEN {NOW} END WHEN dead THEN 1 END, NULL FROM old_records r LEFT JOIN roots ON roots.file_id = r.file_id WHERE r.file_id NOT IN (SELECT key FROM made)""")
 def flagship_chunks(s, d):
     """The chunks that flagship_batch leaves, with their vectors."""
     out = index_batch(before_batch(s, d), X.files(s, d), X.allowlist(s), X.rules(s), VERSION, "hash/v1", NOW, encoder=inference.hash_encoder(16)).ledger
-    return out.chunks.select("point_id", "file_id", F.array_join("root_ids", ",").alias("root_ids"), "chunk_no", "text", "tombstoned_at", F.size("dense").alias("dim"))
+    return out.chunks.select("point_id", "file_id", F.array_join("root_ids", ",").alias("root_ids"), "chunk_no", "text", "tombstoned_at", F.array_size("dense").alias("dim"))
 
 
 # --- inference
 
 
-@query()
+@query(_PACKED + """, told AS (SELECT doc_id, (row_number() OVER w - 1)::INT AS chunk_no, list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS words
+FROM stretches WHERE text <> '' AND greatest(1, length(text) // 4) >= 5 WINDOW w AS (PARTITION BY doc_id ORDER BY start, stop)) SELECT doc_id, chunk_no, CASE WHEN len(words) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS norm, len(words)::INT AS n_terms FROM told""")
 def e1_embed(s, d):
     rows = chunk_rows(chunking.chunk_plain_texts(X.table(s, d, "documents").select("doc_id", "text")), "doc_id").select("doc_id", "chunk_no", "text")
     out = inference.embed(rows, inference.hash_encoder(64))

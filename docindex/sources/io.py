@@ -46,6 +46,8 @@ class _Markdown(HTMLParser):
     def handle_starttag(self, tag, attrs):
         if tag in self.SKIPPED:
             self.skip += 1
+        elif self.skip:
+            return
         elif tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
             self.out.append("\n\n" + "#" * int(tag[1]) + " ")
         elif tag == "li":
@@ -58,6 +60,8 @@ class _Markdown(HTMLParser):
     def handle_endtag(self, tag):
         if tag in self.SKIPPED:
             self.skip = max(0, self.skip - 1)
+        elif self.skip:
+            return
         elif tag in ("b", "strong"):
             self.out.append("**")
         elif tag in self.BLOCKS or tag[:1] == "h" and tag[1:].isdigit():

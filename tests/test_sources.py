@@ -78,3 +78,50 @@ def test_files_above_the_readers_limit_have_their_row(spark, tmp_path):
         scans = [line for line in plan.splitlines() if "FileScan binaryFile" in line]
         assert len(scans) == 2 and sum("content" in line.split("Batched")[0] for line in scans) == 1
         assert all("length" in line.split("PushedFilters")[1] for line in scans)
+
+
+def brute_markdown(html):
+    """The converter's rules by regular expressions over the page's tags."""
+    import re
+    from html import unescape
+
+    blocks = "p|div|article|section|ul|ol|table|tr|br|blockquote|pre|header|footer|main"
+    html = re.sub(r"(?s)<!--.*?-->|<!.*?>", "", html)
+    for tag in ("script", "style", "nav", "noscript", "template"):
+        html = re.sub(rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", "\x00", html)
+    out = []
+    for part in re.split(r"(<[^>]*>)", html.replace("\x00", "<skipped>")):
+        tag = re.match(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)", part)
+        if not tag:
+            data = unescape(part)
+            if data:
+                out.append(" " * data[:1].isspace() + " ".join(data.split()) + " " * data[-1:].isspace() if data.strip() else " ")
+            continue
+        end, name = tag[1], tag[2].lower()
+        if re.fullmatch("h[1-6]", name):
+            out.append("\n\n" if end else "\n\n" + "#" * int(name[1]) + " ")
+        elif name == "li" and not end:
+            out.append("\n- ")
+        elif name in ("b", "strong"):
+            out.append("**")
+        elif re.fullmatch(blocks, name):
+            out.append("\n\n")
+    text = re.sub(r" *\n *", "\n", re.sub(r" {2,}", " ", "".join(out)))
+    return re.sub(r"\n{3,}", "\n\n", text).strip()
+
+
+def test_pages_are_converted_like_brute_force(spark):
+    import hashlib
+
+    from docindex.operators import chunking
+    from docindex.plans.queries import QUERIES
+    from tests_support import DATA
+
+    d = str(DATA / "sf0.01")
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{d}/pages.parquet").collect()}
+    got = {r["page_id"]: r for r in QUERIES["s2_to_markdown"](spark, d).collect()}
+    assert got.keys() == pages.keys() and len(got) > 200
+    for i, html in pages.items():
+        text = brute_markdown(html)
+        assert got[i]["text_sha256"] == hashlib.sha256(text.encode()).hexdigest(), i
+        assert got[i]["n_chunks"] == len(chunking.chunk_markdown(text, least=20)) and got[i]["error"] is None
