@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, hashed_words, mixed, own_columns, packed_text, rolling, unpacked, unused
+from .common import cut, hashed_words, mixed, own_columns, packed_text, release, rolling, unpacked, unused
 from .components import components
 
 SHINGLE = 5
@@ -403,6 +403,7 @@ def linked(docs: DataFrame) -> DataFrame:
     # one row of each class stands for it, and its number names the class from here on
     classes = first.filter("kind = 0 and n > 3").groupBy(*name).agg(F.min(F.struct("row_no", "key", "key2", "n", "counts")).alias("r")).select(*name, F.col("r.row_no").alias("node"), "r.key", "r.key2", "r.n", "r.counts")
     cells = cut(cells.join(classes, "class").select("cell", "node", "n", "counts", "key", "key2"))
+    release(met)
     near = cut(with_near(in_blocks(cells)))
     named = cells.join(near.select("node").distinct(), "node").select("node", "key", "key2").distinct()
     # the texts are shuffled once, whatever the number of rows that are wanted: the plan is the same at every size
