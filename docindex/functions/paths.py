@@ -94,14 +94,14 @@ PIECE = r"[A-Za-z0-9]*[^A-Za-z0-9]"
 
 
 def glob_key(glob: str) -> str:
-    """A literal that every path the glob matches has, as one of its path_keys(): the longest literal prefix (p:), the whole name (n:), a
-    folder (f:) or the extension (e:); empty if the glob has none of these."""
+    """A literal that every path the glob matches has, as one of its path_keys(): the whole name (n:), the longest literal prefix (p:), a
+    folder (f:) or the extension (e:); empty if the glob has none of these. Names come first, as many rules share a folder."""
     start = re.split(r"[*?\[]", glob, maxsplit=1)[0]
-    prefix = "".join(re.findall(PIECE, start)) if start != glob else start[: start.rfind("/") + 1]
+    if name := re.search(r"/([^/*?\[\]]+)$", glob) or (start == glob and re.search(r"([^/]+)$", glob)):
+        return "n:" + name[1]
+    prefix = "".join(re.findall(PIECE, start))
     if len(prefix) > 1:
         return "p:" + prefix
-    if name := re.search(r"/([^/*?\[\]]+)$", glob):
-        return "n:" + name[1]
     if "[" not in glob and (folders := re.findall(r"(?<=/)[^/*?]+(?=/)", glob)):
         return "f:" + max(folders, key=len)
     if ext := re.search(r"\.([^./*?\[\]]+)$", glob):
