@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.paths import guess_mime, is_gated, path_ext
 from ..operators.chunking import build_chunks, chunk_routed
 from ..operators.inference import embed
-from ..operators.ledger import Ledger, dedup_files, delete_paths, identified, resolve_identity, retire_roots
+from ..operators.ledger import Ledger, dedup_files, identified, resolve_identity, retire_roots
 from ..operators.reports import root_ids
 from ..operators.routing import indexable, route_files
 from ..operators.upserts import set_chunk_roots, upsert_chunks, upsert_paths, upsert_records
@@ -120,8 +120,7 @@ def apply_jobs(ledger: Ledger, jobs: DataFrame, files: DataFrame, exts: DataFram
     """T4: the ledger after a batch of jobs (root_id, path, op, priority; one a path, see latest_per_path): retired roots (M4) and
     deleted paths (M3) go, then what is to be indexed is read from `files` (index_batch); a path that isn't there any more changes
     nothing."""
-    after, _ = retire_roots(ledger, jobs.filter("op = 'retire_root'").select("root_id"), now_ms)
-    after = delete_paths(after, jobs.filter("op = 'delete'").select("root_id", "path"), now_ms)
+    after, _ = retire_roots(ledger, jobs.filter("op = 'retire_root'").select("root_id"), now_ms, jobs.filter("op = 'delete'").select("root_id", "path"))
     todo = jobs.filter("op in ('index', 'reindex')").select("root_id", "path", F.col("priority").alias("_p")).dropDuplicates(["root_id", "path"])
     found = files.join(todo, ["root_id", "path"]).withColumn("priority", F.col("_p")).drop("_p")
     return index_batch(after, found, exts, rules, parser_version, model_version, now_ms, **options).ledger

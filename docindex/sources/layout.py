@@ -115,13 +115,17 @@ def read_buckets(spark: SparkSession, path: str, only: list[int] | None = None)
     return spark.read.schema(found.schema).parquet(*there) if there else spark.createDataFrame([], found.schema)
 
 
-def replace_buckets(old_path: str, new: DataFrame, folder: str, gone: DataFrame | None = None) -> str:
+def replace_buckets(old_path: str, new: DataFrame, folder: str, gone: DataFrame | None = None, touched: list[int] | None = None) -> str:
     """S7 for upserts: a new snapshot in which the rows of new keys, and of the keys of `gone`, are replaced by `new`. Only
-    their buckets are read and written, as many as the old snapshot has; the layout names the folders of the others where they are."""
+    their buckets are read and written, as many as the old snapshot has; the layout names the folders of the others where they are.
+    touched: the buckets of `gone`, told by a caller whose `gone` holds all keys of `new`, which is then evaluated once."""
     spark, old = new.sparkSession, layout(new.sparkSession, old_path)
-    keys = new.select(*old.key) if gone is None else new.select(*old.key).unionByName(gone.select(*old.key))
-    touched = buckets_of(keys, old.key, old.buckets)
-    rest = read_buckets(spark, old_path, touched).join(keys.distinct(), old.key, "left_anti").select(old.schema.names)
+    if touched is None:
+        keys = new.select(*old.key) if gone is None else new.select(*old.key).unionByName(gone.select(*old.key))
+        touched, keys = buckets_of(keys, old.key, old.buckets), keys.distinct()
+    else:
+        keys = gone.select(*old.key)
+    rest = read_buckets(spark, old_path, touched).join(keys, old.key, "left_anti").select(old.schema.names)
     path = f"{folder.rstrip('/')}/snapshot-{uuid.uuid4().hex}"
     written = _written(rest.unionByName(new.select(old.schema.names)), path, old.key, old.buckets) if touched else {}
     return _commit(spark, path, Layout(old.key, old.buckets, old.schema, {b: p for b, p in old.folders.items() if b not in touched} | written))

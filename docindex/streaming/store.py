@@ -59,12 +59,12 @@ def apply_batch(spark: SparkSession, folder: str, number: int, jobs: DataFrame,
     is run again starts from the same state."""
     tables = committed(spark, folder, number)["tables"]
     at = {n: layout(spark, p).buckets for n, p in tables.items()}
-    part = lambda n, rows: read_buckets(spark, tables[n], buckets_of(rows, KEYS[n], at[n])).join(F.broadcast(rows) if n == "jobs" else rows, KEYS[n], "left_semi")
+    part = lambda n, rows, touched: read_buckets(spark, tables[n], touched).join(rows, KEYS[n], "left_semi")
     jobs = stored(jobs)
     content = stored(fetch(jobs.filter("op in ('index', 'reindex')").select("root_id", "path")))
     named = jobs.filter("op <> 'retire_root'").select("root_id", "path").distinct()
     retired = jobs.filter("op = 'retire_root'").select("root_id").distinct()
-    old = part("paths", named).select("root_id", "path", "file_id")
+    old = part("paths", named, buckets_of(named, KEYS["paths"], at["paths"])).select("root_id", "path", "file_id")
     retires = not retired.isEmpty()
     if retires:
         old = old.unionByName(read_buckets(spark, tables["paths"]).join(retired, "root_id", "left_semi").select("root_id", "path", "file_id"))
@@ -74,15 +74,14 @@ def apply_batch(spark: SparkSession, folder: str, number: int, jobs: DataFrame,
     queued = None
     if "jobs" in tables:
         queued = read_buckets(spark, tables["jobs"]).join(retired, "root_id", "left_semi") if retires else spark.createDataFrame([], layout(spark, tables["jobs"]).schema)
-    before = Ledger(*(stored(part(n, files)) for n in ("records", "owners", "chunks")), queued if queued is None else stored(queued))
+    # the tables that are laid out by file share their buckets, unless the ledger was laid out in another way
+    of_files = {b: buckets_of(files, ["file_id"], b) for b in {at[n] for n in ("records", "owners", "chunks")}}
+    before = Ledger(*(stored(part(n, files, of_files[at[n]])) for n in ("records", "owners", "chunks")), queued if queued is None else stored(queued))
     after = change(before, jobs, content)
     paths = stored(after.paths)
-    new = {
-        "records": replace_buckets(tables["records"], stored(after.records), f"{folder}/records", files),
-        "chunks": replace_buckets(tables["chunks"], stored(after.chunks), f"{folder}/chunks", files),
-        "owners": replace_buckets(tables["owners"], paths, f"{folder}/owners", files),
-        "paths": replace_buckets(tables["paths"], paths.join(keys, KEYS["paths"], "left_semi"), f"{folder}/paths", keys),
-    }
+    # what the batch leaves has no other keys than the touched ones
+    new = {n: replace_buckets(tables[n], t, f"{folder}/{n}", files, of_files[at[n]]) for n, t in (("records", after.records), ("chunks", after.chunks), ("owners", paths))}
+    new["paths"] = replace_buckets(tables["paths"], paths.join(keys, KEYS["paths"], "left_semi"), f"{folder}/paths", keys, buckets_of(keys, KEYS["paths"], at["paths"]))
     if "jobs" in tables:
         new["jobs"] = replace_buckets(tables["jobs"], stored(after.jobs), f"{folder}/jobs", before.jobs.select("root_id", "path")) if retires else tables["jobs"]
     commit(spark, folder, number, new)
