@@ -357,9 +357,9 @@ def test_url_verdicts_by_brute_force(spark, size):
 def test_url_models_are_of_all_labelled_rows(spark):
     """More labelled URLs of each kind than a sample of 10,000 would hold: models and threshold are those of every one of them."""
     rng = random.Random(3)
-    n, letters = 12_500, "abcd"  # few enough that no two contexts meet in a cell
+    n, letters = 12_500, "abcdefgh"
     some = lambda k: "".join(rng.choice(letters) for _ in range(k))
-    urls = [f"x://{some(2)}.org/fr/{some(2)}" for _ in range(n)] + [f"x://{some(2)}.net/{some(2)}" for _ in range(n)] + [f"x://{some(3)}.{end}/{some(2)}" for end in ("org", "com") for _ in range(100)]
+    urls = [f"x://{some(2)}.org/fr/{some(2)}" for _ in range(n)] + [f"x://{some(2)}.net/{some(2)}" for _ in range(n)] + [f"x://{some(3)}.{end}/{some(2)}" for end in ("org", "nett") for _ in range(100)]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(5)
     got = url_filter.judge(pages, URL_RULES).collect()
     hashed = {r["page_id"]: r["h"] for r in pages.select("page_id", url_filter.read_text(F.col("url")).alias("read")).select("page_id", F.xxhash64("read", "page_id", F.lit(url_filter.SEED)).alias("h")).collect()}
@@ -403,18 +403,33 @@ def test_counts_told_in_pieces_add_up(spark, monkeypatch):
             sums[r["context"], r["pair"]] = sums.get((r["context"], r["pair"]), 0) + r["n"]
         pairs, contexts, counts = url_filter.counted([t for t, g in texts if g == good])
         assert sums == dict(zip(zip(contexts.view(np.int64).tolist(), pairs.view(np.int64).tolist(), strict=True), counts.tolist(), strict=True))
-    # models that Spark has summed up are those of the same texts in memory, cells that two hashes share included
-    monkeypatch.setattr(url_filter, "PAIR_BITS", 6)
-    monkeypatch.setattr(url_filter, "CONTEXT_BITS", 5)
+    # models that Spark has summed up are those of the same texts in memory, sets that are too small for their hashes included
+    for name, bits in (("PAIR_BITS", 6), ("CONTEXT_BITS", 5), ("WAY_BITS", 2)):
+        monkeypatch.setattr(url_filter, name, bits)
     for own, good in zip(url_filter.trained(spark.createDataFrame(texts, "read string, good boolean")), (True, False), strict=True):
         want = url_filter.Markov([t for t, g in texts if g == good])
         for x, y in ((own.pairs, want.pairs), (own.contexts, want.contexts)):
-            assert (x.tags == y.tags).all() and all((v == w).all() for v, w in zip(x.values, y.values, strict=True))
+            assert len(x.hashes) <= 64 and x.hashes.tolist() == y.hashes.tolist() and all((v == w).all() for v, w in zip(x.values, y.values, strict=True))
+
+
+def test_no_context_is_lost_while_there_is_room(monkeypatch):
+    rng = random.Random(6)
+    hashes = np.unique(np.array([rng.getrandbits(64) for _ in range(300_000)], np.uint64))
+    n = np.array([rng.randint(1, 9) for _ in hashes])
+    assert (url_filter.Cells(hashes, [n], url_filter.CONTEXT_BITS)(hashes)[0] == n).all()
+    assert url_filter.Cells(hashes[:0], [n[:0]], 20)(hashes[:3])[0].tolist() == [0, 0, 0]
+    # beyond that, each set keeps its heaviest, the larger hash first
+    monkeypatch.setattr(url_filter, "WAY_BITS", 3)
+    got = url_filter.Cells(hashes, [n], 10)(hashes)[0]
+    for own in range(128):
+        mine = np.flatnonzero(hashes >> np.uint64(57) == own)
+        best = sorted(mine, key=lambda i: (-n[i], -int(hashes[i])))[:8]
+        assert sorted(np.flatnonzero(got[mine])) == sorted(np.searchsorted(mine, best))
 
 
 def test_counts_beyond_32_bits():
     hashes, n = np.array([1 << 62, 3 << 62], np.uint64), np.array([7 << 40, 2])
-    assert url_filter.Cells(hashes, [n], 4)(hashes)[0].tolist() == n.tolist()
+    assert url_filter.Cells(hashes, [n], 20)(hashes)[0].tolist() == n.tolist()
 
 
 def test_threshold_over_ranges_is_that_of_all_scores(spark):
