@@ -3,7 +3,8 @@ with calibrated rejection.
 
 A text's subwords are the runs of 2, 3 and 4 code points of the lower-cased text, hashed into BUCKETS rows of an embedding
 table; the mean of their rows goes through one linear layer and a softmax. Training takes a bounded sample (SAMPLE rows shared by
-all languages, at least FEW of each), whole texts, which tasks turn into counts of at most BUCKETS subwords; a fifth of it calibrates
+all languages, at least FEW of each), whole texts, which tasks turn into counts of at most BUCKETS subwords; one task goes through
+them, as each step follows from the one before, and the driver gets the model alone. A fifth of the sample calibrates
 a temperature and the score below which a prediction is rejected. Prediction takes every whole text, and only the text. Workers get
 the embeddings and the layer, or their product where that is smaller: its size depends on the number of languages alone.
 
@@ -15,6 +16,7 @@ columns are kept or ignored, whatever their names.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -141,15 +143,15 @@ def calibrated(model: Model, bags: list[tuple[np.ndarray, np.ndarray]], y: np.nd
 
 
 def learn(docs: DataFrame) -> Model:
-    """Trains on the bounded sample of docs' labelled rows that are not held out. What comes to the driver is a row for each
-    language, and the sample's counts."""
+    """Trains on the bounded sample of docs' labelled rows that are not held out, in a task. What comes to the driver is a row for
+    each language, and the model."""
     labelled = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
     langs = labelled.groupBy("lang").count().orderBy("lang").collect()
     if not langs:
         return train([], [])
     each = max(FEW, SAMPLE // len(langs))
     # a hash lets about twice as many rows through as are wanted, of each language its share; only those are ordered
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 30))
+    place = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 30))
     share = F.create_map(*[F.lit(x) for r in langs for x in (r["lang"], int(min(1.0, 2 * each / r["count"]) * (1 << 30)))])
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,11 +162,19 @@ def learn(docs: DataFrame) -> Model:
                 packed = [pa.array([x.astype(kind).tobytes() for x in c], pa.binary()) for c, kind in zip(zip(*bags, strict=True), ("<u2", "<f4"), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), *packed], ["doc_id", "lang", "rows", "shares"])
 
-    sample = labelled.filter(drawn < share[F.col("lang")]).mapInArrow(counted, "doc_id long, lang string, rows binary, shares binary")
+    sample = labelled.filter(place < share[F.col("lang")]).mapInArrow(counted, "doc_id long, lang string, rows binary, shares binary")
     first = W.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id", F.xxhash64("rows", "shares"))
-    table = sample.withColumn("i", F.row_number().over(first)).filter(F.col("i") <= each).orderBy("lang", "i").select("lang", "rows", "shares").toArrow()
-    bags = [(np.frombuffer(r.as_py(), "<u2").astype(np.int32), np.frombuffer(s.as_py(), "<f4")) for r, s in zip(table.column("rows"), table.column("shares"), strict=True)]
-    return train(bags, table.column("lang").to_pylist())
+    drawn = sample.withColumn("i", F.row_number().over(first)).filter(F.col("i") <= each).repartition(1).sortWithinPartitions("lang", "i").select("lang", "rows", "shares")
+
+    def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bags, langs = [], []
+        for b in batches:
+            bags += [(np.frombuffer(r.as_py(), "<u2").astype(np.int32), np.frombuffer(s.as_py(), "<f4")) for r, s in zip(b.column("rows"), b.column("shares"), strict=True)]
+            langs += b.column("lang").to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(bags, langs))], pa.binary())], ["model"])
+
+    found = drawn.mapInArrow(trained, "model binary").head()
+    return pickle.loads(found["model"]) if found else train([], [])
 
 
 def predictions(docs: DataFrame, model: Model) -> tuple[DataFrame, list[str]]:

@@ -206,6 +206,24 @@ def test_many_languages_are_all_learned(spark):
     assert len(model.languages) == 150 and model.layer is not None
 
 
+def result_bytes(spark):
+    """Bytes of the results that tasks have sent to the driver so far."""
+    gateway, sc = spark.sparkContext._gateway, spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    stages = sc.statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return sum(stages.apply(i).resultSize() for i in range(stages.size()))
+
+
+def test_language_sample_stays_off_the_driver(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, "".join(map(chr, rng.integers(0x4E00, 0x9FA5, 1000))), f"l{i % 2}") for i in range(500)]
+    before = result_bytes(spark)
+    model = language_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    sent = result_bytes(spark) - before
+    sample = sum(6 * len(language_id.bag(text)[0]) for i, text, _ in rows if zlib.crc32(str(i).encode()) % 5)
+    assert model.table.nbytes < sent < model.table.nbytes + 500_000 < sample / 5
+
+
 def spelled_out(text, model):
     """Language and score of a text by plain integers, from the model's tables."""
     if not text or not any(c.isalpha() for c in text):
