@@ -44,6 +44,13 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(n == 0, F.lit(0.0)).otherwise(dot(a, b) / F.when(n == 0, 1.0).otherwise(n))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """x to so many digits, halves away from zero, as DuckDB rounds: in doubles, where Spark's round makes a decimal of each value."""
+    scaled = F.abs(x) * 10.0**digits
+    whole = F.floor(scaled)
+    return F.signum(x) * ((whole + (scaled - whole >= 0.5).cast("int")) / 10.0**digits)
+
+
 def sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
 

@@ -669,7 +669,7 @@ def v2_query_notes(s, d):
 def v3_score_chunks(s, d):
     # the queries' ids are multiples of 50: taken in turn they meet all 20 documents
     q = X.memory_queries(s, d).select("query_id", F.expr("query_id div 50 % 20").alias("session_id"), "dense")
-    return search.score_chunks(q, X.memory(s, d), "session_id").select("query_id", "chunk_no", F.round("score", 6).alias("score"), "rank")
+    return search.score_chunks(q, X.memory(s, d), "session_id").select("query_id", "chunk_no", scalars.rounded(F.col("score"), 6).alias("score"), "rank")
 
 
 @query(f""", ranked AS (SELECT q.query_id, m.chunk_no, row_number() OVER (PARTITION BY q.query_id ORDER BY list_cosine_similarity(q.dense, m.dense) DESC, m.chunk_no) AS rank FROM memory_queries q JOIN memory m ON m.chunk_no // 200 = q.query_id // 200),
